@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, repetition, token_counts
+from . import bpe, exact_dedup, mixing, near_dedup, repetition, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,17 +24,40 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix_counts(_documents(spark, sf_dir)))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir), n=2, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_bpe,
         op3_repetition,
+        op4_mixing,
         op5_token_counts,
+        op6_exact_dedup,
+        op9_urls,
+        op10_near_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
+}
