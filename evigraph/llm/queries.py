@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, repetition, token_counts, urls
+from . import bpe, exact_dedup, mixing, near_dedup, quality, repetition, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_documents(spark, sf_dir))
 
@@ -36,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -48,10 +56,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_bpe,
+        op2_toxicity,
         op3_repetition,
         op4_mixing,
         op5_token_counts,
         op6_exact_dedup,
+        op7_quality,
         op9_urls,
         op10_near_dedup,
     )
