@@ -1,26 +1,65 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Each stage works on all rows that the one before kept. All but the last return the columns of documents; the last one
+returns doc_id and the token ids.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evigraph.llm import bpe
+from evigraph.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from evigraph.llm.common import written
 
 
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+def _of_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs with these ids, one for each id; kept: _id."""
+    own = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return own.dropDuplicates(["doc_id"])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier accepts."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one that exact deduplication keeps."""
+    return _of_ids(docs, exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return _of_ids(docs, near_dedup.near_dedup(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every document."""
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("bpe", bpe_stage)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-#: The toxicity stage learns a model, which SQL cannot express.
+#: The toxicity stage learns a model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD_CLASS, written
 
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -52,9 +52,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
         F.sum("weight").over(every).alias("all_weight"),
     )
     share = (F.col("all_size") - F.col("cap_before")).cast("double") / (F.col("all_weight") - F.col("weight_before")).cast("double")
-    run = run.withColumn("share", share).withColumn("free", F.col("share") * F.col("weight") <= F.col("cap"))
-    run = run.withColumn("unit", F.min(F.when(F.col("free"), F.col("share"))).over(every))
-    target = F.when(F.col("free"), F.col("unit") * F.col("weight")).otherwise(F.col("cap").cast("double"))
+    fits = F.col("share") * F.col("weight") <= F.col("cap")
+    run = run.withColumn("share", share).withColumn("place", F.row_number().over(by_cap))
+    # from the first source whose share fits, none is above its cap
+    run = run.withColumn("first", F.min(F.when(fits, F.struct("place", "share"))).over(every))
+    target = F.when(F.col("place") >= F.col("first.place"), F.col("first.share") * F.col("weight")).otherwise(F.col("cap").cast("double"))
     out = run.withColumn("target", target)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     return out.select("source", "n_docs", "source_size", "target", rate.alias("rate"))
@@ -122,10 +124,12 @@ with s as (
   window w as (order by (source_size * 3)::double / weight, source nulls last rows between unbounded preceding and 1 preceding)
 ), shared as (
   select *, (all_size - cap_before)::double / (all_weight - weight_before)::double as share from run
+), placed as (
+  select *, row_number() over (order by cap::double / weight, source nulls last) as place from shared
 ), unit as (
-  select *, share * weight <= cap as free, min(case when share * weight <= cap then share end) over () as unit from shared
+  select *, min(case when share * weight <= cap then {{'place': place, 'share': share}} end) over () as first from placed
 ), targets as (
-  select source, source_size, case when free then unit * weight else cap::double end as target from unit
+  select source, source_size, case when place >= first.place then first.share * weight else cap::double end as target from unit
 ), rates as (
   select *, case when source_size > 0 then target / source_size::double else 0.0 end as rate,
     ('0x' || substr(md5('7:' || coalesce('=' || source, 'null')), 1, 13))::bigint::double / 4503599627370496.0 as off
@@ -133,7 +137,7 @@ with s as (
 ), classed as (
   select *, length(bin(size)) as class from s
 ), parts as (
-  select *, coalesce(doc_id % ceil(count(*) over (partition by source, class) / 4096.0)::bigint, 0) as part from classed
+  select *, coalesce(doc_id % ceil(count(*) over (partition by source, class) / 1024.0)::bigint, 0) as part from classed
 ), ranked as (
   select *, row_number() over (partition by source order by class, part, size, doc_id nulls last) as rank from parts
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, repetition, token_counts, toxicity, urls
+from . import bpe, exact_dedup, mixing, near_dedup, quality, repetition, suffix_lm, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(_documents(spark, sf_dir))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op5_token_counts,
         op6_exact_dedup,
         op7_quality,
+        op8_suffix_lm,
         op9_urls,
         op10_near_dedup,
     )

@@ -16,17 +16,22 @@ largest. Without labels of both classes no sign is known, and every score is the
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, held_out, mix, small_batches, text_frame
+from .common import Batches, held_out, small_batches, text_frame
 from .linear import Sparse, log_count_ratios, logistic, sigmoid_fit
 
-SPACE_OF_SIGNS = 1 << 22
+TERMS = 1 << 22
+#: A term is a sign when a text has it so many times; sign numbers are 3 * term + position.
+TIMES = (1, 2, 4)
 MAX_LABELLED = 12_000
 #: Signs that are kept, those that lexicons are made of, and the lexicons.
 MOST_SIGNS, MOST_TERMS, PARTS = 6000, 240, 4
@@ -44,36 +49,47 @@ ADDRESSED = frozenset("you your youre you're u ur du dein ihr tu toi vous ton er
 _EDGES = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 
 
-class _Word(dict):
-    """Word -> its signs' numbers as packed int32, and bits: 1 an insult, 2 addresses somebody; bounded."""
+def _numbers(word: str) -> tuple[int, ...]:
+    """A word's terms: itself without signs at its ends, and its beginnings."""
+    plain = word.strip(_EDGES)
+    if not plain:
+        return ()
+    return zlib.crc32(plain.encode()) % TERMS, *[zlib.crc32(plain[:n].encode(), n) % TERMS for n in BEGINNINGS if len(plain) >= n]
+
+
+class _Terms(dict):
+    """Word -> numbers of those of its terms that are wanted (None: all), and 1 << 40 for an insult; bounded."""
+
+    def __init__(self, wanted: frozenset[int] | None):
+        super().__init__()
+        self.wanted = wanted
 
-    def __missing__(self, word: str) -> tuple[bytes, int]:
-        if len(self) >= 250_000:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 400_000:
             self.clear()
-        plain = word.strip(_EDGES)
-        terms = [plain, *(f"{n}:{plain[:n]}" for n in BEGINNINGS if len(plain) >= n)] if plain else []
-        numbers = np.array([xxhash.xxh64_intdigest(t.encode()) % SPACE_OF_SIGNS for t in terms], np.int32)
-        self[word] = x = numbers.tobytes(), (plain in INSULTS) + 2 * (plain in ADDRESSED)
+        x = _numbers(word)
+        if self.wanted is not None:
+            x = tuple(t for t in x if t in self.wanted)
+        if word.strip(_EDGES) in INSULTS:
+            x += (_INSULT,)
+        self[word] = x
         return x
 
 
-_words = _Word()
+_INSULT = 1 << 40
 
 
 class Read:
-    """What voters and the classifier see of a text."""
+    """What voters and the classifier see of a text: its signs' numbers, and what the patterns need."""
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes, terms: _Terms):
         words = text.decode("utf-8", "replace").lower().split()
-        seen = list(map(_words.__getitem__, words))
-        ids, count = np.unique(np.frombuffer(b"".join([s[0] for s in seen]), np.int32), return_counts=True)
-        ids = ids.astype(np.uint64)
-        more = [(mix(ids[count >= k] + np.uint64(k << 24)) % np.uint64(SPACE_OF_SIGNS)) for k in (2, 4)]
-        self.signs = np.unique(np.concatenate([ids, *more])).astype(np.int64)
-        self.n_words = len(words)
-        bits = [s[1] for s in seen]
-        self.insults = sum(1 for b in bits if b & 1)
-        self.addressed = bool(self.insults) and any(b & 2 and any(c & 1 for c in bits[max(0, i - 3) : i + 4]) for i, b in enumerate(bits))
+        count = Counter(chain.from_iterable(map(terms.__getitem__, words)))
+        self.n_words, self.insults, self.addressed = len(words), count.pop(_INSULT, 0), False
+        self.signs = np.array(sorted(3 * t + k for t, n in count.items() for k, least in enumerate(TIMES) if n >= least), np.int64)
+        if self.insults:
+            you = [i for i, w in enumerate(words) if w.strip(_EDGES) in ADDRESSED]
+            self.addressed = any(w.strip(_EDGES) in INSULTS for i in you for w in words[max(0, i - 3) : i + 4])
         self.shouts = text.count(b"!")
 
 
@@ -87,6 +103,13 @@ class Signs:
         part[strong] = np.arange(len(strong)) % PARTS
         self.numbers, self.odds, self.part = numbers[order], odds[order], part[order]
         self.toxic, self.clean = 1.0, -1.0
+        self.terms = _Terms(frozenset((self.numbers // 3).tolist()))
+
+    def __reduce__(self):
+        return _signs_of, (self.numbers, self.odds, self.part, self.toxic, self.clean)
+
+    def read(self, text: bytes) -> Read:
+        return Read(text, self.terms)
 
     def of(self, read: Read) -> np.ndarray:
         """Positions of the text's signs."""
@@ -96,6 +119,12 @@ class Signs:
         return at[self.numbers[at] == read.signs]
 
 
+def _signs_of(numbers, odds, part, toxic, clean) -> Signs:
+    out = Signs(numbers, odds, np.zeros(len(numbers)))
+    out.part, out.toxic, out.clean = part, toxic, clean
+    return out
+
+
 def votes(read: Read, at: np.ndarray, signs: Signs) -> str:
     """1 toxic, 0 clean, 2 nothing, for each voter: insults, lexicon parts, summed odds, density, addressed, shouting, no sign."""
     parts = signs.part[at]
@@ -179,9 +208,10 @@ def _signs(labelled: DataFrame) -> tuple[Signs, float]:
     """The signs that the labels set apart best, and the share of toxic rows."""
 
     def run(batches: Batches) -> Batches:
+        every_term = _Terms(None)
         for b in batches:
             y = np.array(b.column("_y").to_pylist(), np.int64)
-            x = Sparse([Read(t).signs for t in b.column("text").to_pylist()])
+            x = Sparse([Read(t, every_term).signs for t in b.column("text").to_pylist()])
             numbers, at = np.unique(x.index, return_inverse=True)
             toxic = np.bincount(at, y[x.row] > 0, len(numbers)).astype(np.int64)
             every = np.bincount(at, minlength=len(numbers)).astype(np.int64)
@@ -212,7 +242,7 @@ class Model:
         return float(self.w[at].sum()) / max(1e-5, float(np.sqrt(self.squares[at].sum()))) + self.bias
 
     def score(self, text: bytes) -> float:
-        z = self.a * self.margin(self.signs.of(Read(text))) + self.b
+        z = self.a * self.margin(self.signs.of(self.signs.read(text))) + self.b
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
@@ -228,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def look(batches: Batches) -> Batches:
         for b in batches:
-            at = [kept.value.of(Read(t)).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
+            at = [kept.value.of(kept.value.read(t)).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(at, pa.binary())], names=["_id", "_y", "x"])
 
     rows = labelled.mapInArrow(look, "_id long, _y int, x binary").dropDuplicates(["_id"]).toPandas().sort_values("_id")
@@ -242,13 +272,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         for b in batches:
             counts: dict[str, int] = {}
             for t in b.column("text").to_pylist():
-                v = votes(r := Read(t), voters.value.of(r), voters.value)
+                v = votes(r := voters.value.read(t), voters.value.of(r), voters.value)
                 counts[v] = counts.get(v, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
     def own(batches: Batches) -> Batches:
         for b in batches:
-            v = [votes(r := Read(t), voters.value.of(r), voters.value) for t in b.column("text").to_pylist()]
+            v = [votes(r := voters.value.read(t), voters.value.of(r), voters.value) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(v, pa.string())], names=["_id", "votes"])
 
     training = text_frame(docs, held_out(0).alias("out")).where("not out").select("text")
