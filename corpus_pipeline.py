@@ -7,17 +7,20 @@ returns doc_id and the token ids.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from evigraph.llm.common import written
 
 
-def _of_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs with these ids, one for each id; kept: _id."""
-    own = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+def _rows(docs: DataFrame, sha: Column) -> DataFrame:
+    """Whole rows of docs as one column, so that no name clashes, with their id as text and a digest."""
+    return docs.select(F.struct(*docs.columns).alias("row"), _key("doc_id").alias("id"), sha.alias("sha"))
+
+
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +29,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one that exact deduplication keeps."""
-    return _of_ids(docs, exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")))
+    """Of equal texts the row that exact deduplication keeps."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.concat_ws(":", _key("doc_id"), "text_sha256").alias("key"))
+    rows = _rows(docs, exact_dedup.text_sha256(F.col("text"))).withColumn("key", F.concat_ws(":", "id", "sha"))
+    own = rows.join(kept, "key", "left_semi")
+    longest = F.max_by("row", F.coalesce(F.length("row.text"), F.lit(-1)))
+    return own.groupBy("key").agg(longest.alias("row")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return _of_ids(docs, near_dedup.near_dedup(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")))
+    kept = near_dedup.near_dedup(docs, n=5, percent=80).where("kept").select(_key("doc_id").alias("id")).distinct()
+    rows = _rows(docs, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return rows.join(kept, "id", "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

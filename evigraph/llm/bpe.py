@@ -58,7 +58,7 @@ class WordBpe:
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
         self.symbols = _byte_symbols()
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
         self.most = cache
 
     def merge(self, parts: list[str]) -> list[str]:
@@ -98,59 +98,52 @@ class WordBpe:
                     heapq.heappush(heap, (r, x, piece[x], piece[y]))
         return [p for p in piece if p is not None]
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        """A normalised stretch without white space: its ids as packed int32, and its tokens joined by spaces."""
-        if (known := self.cache.get(text)) is not None:
-            return known
-        found = self.pieces.findall(text)
+    def chunk(self, text: str) -> bytes:
+        """The ids of a normalised stretch without white space, as packed int32."""
         if len(self.cache) >= self.most:
             self.cache.clear()
-        if len(found) > 1:
-            parts = [self.cache.get(p) or self.piece(p) for p in found]
-            out = b"".join(x[0] for x in parts), " ".join(x[1] for x in parts if x[0])
-            if len(text) < 40:
-                self.cache[text] = out
-            return out
-        return self.piece(found[0]) if found else (b"", "")
-
-    def piece(self, text: str) -> tuple[bytes, str]:
+        found = self.pieces.findall(text)
+        if len(found) == 1:
+            return self.piece(found[0])
+        out = b"".join([self.cache.get(p) or self.piece(p) for p in found])
+        if len(text) < 40:
+            self.cache[text] = out
+        return out
+
+    def piece(self, text: str) -> bytes:
         """One word, digit or run of signs, encoded by merging."""
         parts = list(text) if text.isascii() and text.isprintable() else [self.symbols[b] for b in text.encode()]
         parts[-1] += self.suffix
-        tokens = [t for t in self.merge(parts) if t in self.vocab]
-        out = array("i", [self.vocab[t] for t in tokens]).tobytes(), " ".join(tokens)
+        out = array("i", [i for t in self.merge(parts) if (i := self.vocab.get(t)) is not None]).tobytes()
         if len(text) < 200:
             self.cache[text] = out
         return out
 
-    def encode_text(self, text: str) -> tuple[bytes, str]:
-        """The whole text's ids as packed int32, and its decoded form."""
+    def encode_text(self, text: str) -> bytes:
+        """The whole text's ids as packed int32."""
         ids: list[bytes] = []
-        decoded: list[str] = []
         at = 0
         for m in self.split_special.finditer(text) if self.split_special and "<" in text else ():
-            self._segment(text[at : m.start()], ids, decoded)
+            self._segment(text[at : m.start()], ids)
             ids.append(array("i", [self.special[m.group()]]).tobytes())
-            decoded.append(m.group())
             at = m.end()
-        self._segment(text[at:] if at else text, ids, decoded)
-        return b"".join(ids), " ".join(decoded)
+        self._segment(text[at:] if at else text, ids)
+        return b"".join(ids)
 
-    def _segment(self, text: str, ids: list[bytes], decoded: list[str]) -> None:
+    def _segment(self, text: str, ids: list[bytes]) -> None:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lowered one by one: no final sigma
         text = text.lower()
         chunks = _CHUNK.findall(text) if _ODD_SPLITS.search(text) else text.split()
         cache, chunk = self.cache, self.chunk
-        for c in chunks:
-            x = cache.get(c) or chunk(c)
-            if x[0]:
-                ids.append(x[0])
-                decoded.append(x[1])
+        ids += [cache.get(c) or chunk(c) for c in chunks]
 
     def decode_ids(self, ids) -> str:
         """The tokens joined by spaces, as a tokenizer without a decoder does; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
 @lru_cache(maxsize=2)
@@ -164,16 +157,14 @@ def _int_lists(packed: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: each whole text encoded, and decoded again from its tokens."""
+    """doc_id, ids array<int>, decoded string: each whole text encoded, and decoded again from its ids."""
 
     def run(batches: Batches) -> Batches:
         bpe = tokenizer(path)
         for b in batches:
-            out = [bpe.encode_text(t.decode("utf-8", "replace")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), _int_lists([x[0] for x in out]), pa.array([x[1] for x in out], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            packed = [bpe.encode_text(t.decode("utf-8", "replace")) for t in b.column("text").to_pylist()]
+            decoded = [bpe.decode_ids(memoryview(x).cast("i")) for x in packed]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _int_lists(packed), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     frame = text_frame(docs)
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Batches, row_numbers, text_frame, written
+from .common import SPACE, SPACE_CLASS, Batches, row_numbers, text_frame, written
 
 MAX_DEPTH = 16
 #: A task's own texts are held up to this size, then given out.
@@ -105,6 +105,11 @@ def directory(cells: dict[int, int], bucket_bytes: int) -> list[tuple[int, int,
     return sorted(done)
 
 
+def text_sha256(text: Column) -> Column:
+    """What the index calls text_sha256, as a column: lowercase hex of the normalised text's digest."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", "").cast("binary"), 256)
+
+
 def _cell(key: str = "key") -> Column:
     return F.shiftrightunsigned(F.col(key), 64 - MAX_DEPTH).cast("int")
 

@@ -25,9 +25,9 @@ WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 1024
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source, size: number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -68,21 +68,25 @@ def _offset(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row for each row of docs."""
+def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row for each row of docs; whole: and the row itself, as row."""
     sized = written(sizes(docs), "mix-sizes")
     per_source = written(targets(sized, weights, most), "mix-targets")
     size_class = F.length(F.bin("size"))
     classes = sized.groupBy("source", size_class.alias("class")).agg(F.count("*").alias("rows"))
     # each class in so many parts that a bucket has about BUCKET_ROWS rows
     classes = classes.select(F.col("source").alias("c_source"), "class", F.ceil(F.col("rows") / BUCKET_ROWS).alias("parts"))
-    classed = sized.withColumn("class", size_class)
+    row = ["row"] if whole else []
+    classed = (sizes(docs, F.struct(*docs.columns).alias("row")) if whole else sized).withColumn("class", size_class)
     dealt = classed.join(classes, classed["source"].eqNullSafe(classes["c_source"]) & (classed["class"] == classes["class"])).select(
-        "doc_id", "source", "size", classed["class"], F.coalesce(F.pmod(F.col("doc_id"), F.col("parts")), F.lit(0)).alias("part")
+        "doc_id", "source", "size", classed["class"], F.coalesce(F.pmod(F.col("doc_id"), F.col("parts")), F.lit(0)).alias("part"), *row
     )
     inside = Window.partitionBy("source", "class", "part").orderBy("size", F.col("doc_id").asc_nulls_last())
     ranked = dealt.withColumn("rank", F.row_number().over(inside))
-    counts = dealt.groupBy("source", "class", "part").agg(F.count("*").alias("rows"))
+    part = F.coalesce(F.pmod(F.col("doc_id"), F.col("parts")), F.lit(0)).alias("part")
+    slim = sized.withColumn("class", size_class)
+    slim = slim.join(classes, slim["source"].eqNullSafe(classes["c_source"]) & (slim["class"] == classes["class"])).select("source", slim["class"], part)
+    counts = slim.groupBy("source", "class", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("source").alias("s_source"), F.col("class").alias("s_class"), F.col("part").alias("s_part"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
@@ -94,7 +98,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     at = F.col("start") + F.col("rank")
     offset = _offset(seed)
     copies = F.floor(at * F.col("rate") + offset) - F.floor((at - 1) * F.col("rate") + offset)
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *row)
 
 
 def digest(mixed: DataFrame) -> DataFrame:
@@ -103,10 +107,8 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    copies = mix_counts(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_n"))
-    copies = copies.groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*(docs[c] for c in docs.columns))
+    taken = mix_counts(docs, whole=True, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = rf"""
