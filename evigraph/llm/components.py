@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.select("u", "v").where("u != v").distinct(), "cc-edges")
     before = None
     for _ in range(most_rounds):
-        now = written(_star(_star(now, True), False), "cc-edges")
+        edges, now = now, written(_star(_star(now, True), False), "cc-edges")
+        discard(edges)
         # the smaller ends only fall: equal sums mean that nothing has changed
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         state = (r["n"], r["s"])

@@ -11,9 +11,12 @@ Method:
 3. Links are confirmed on full sets: first each member's most similar leader, then all other pairs whose ends are not
    connected yet.
 4. What leaders alone can't tell: buckets whose members still lie in two or more components. Their members are cut into
-   blocks; pairs of blocks are dealt to tasks, where sketches of members of different components are compared. Pairs
-   that pass are confirmed like the others, until no bucket gives a new link. So a link between different texts is lost
-   only if all bands miss it: (1 - 0.8**ROWS)**BANDS, 5e-8 at the threshold itself.
+   blocks; pairs of blocks are dealt to tasks, where sketches of members of different components are compared, the
+   MinHash samples' first, then parity bitmaps of the sets themselves (of a share of their hashes, for large sets).
+   The population count never exceeds the number of shingles that one set has and the other lacks, so for sets of up to
+   SAMPLE shingles no pair at the threshold is let go, and hardly any below it stays. Pairs that pass are confirmed like
+   the others. So a link between different texts is lost only if all bands miss it: (1 - 0.8**ROWS)**BANDS, 5e-8 at the
+   threshold itself.
 5. Components come from star contraction over links between classes.
 
 Null texts, empty texts and texts without words have an empty set and are linked with nothing. Texts of fewer words
@@ -29,14 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, mix, shingles, text_frame, written
+from .common import Batches, discard, mix, shingles, text_frame, written
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
 #: Estimates this far below the threshold are let go: five standard deviations of the sketch at 128 samples.
 SLACK = 0.25
-BLOCK = 256
+BLOCK = 384
+#: Larger sets are sampled by hash, so that about so many shingles are folded into the set's own bitmap.
+SAMPLE = 400
 
 _rng = np.random.default_rng(20_240_601)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -68,6 +73,28 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def sample_level(size: int) -> int:
+    """A set of this size is sampled at 1 / 2**level."""
+    return (max(0, size - 1) // SAMPLE).bit_length()
+
+
+def set_sketches(s: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the shingles at the set's level and at the next one, for pairs whose levels differ by one."""
+    level, out = sample_level(len(s)), []
+    for k in (level, level + 1):
+        x = s[(s & np.uint64((1 << k) - 1)) == 0]
+        bits = (np.bincount(((x >> np.uint64(40)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+        out.append(np.packbits(bits).view(np.int64))
+    return np.concatenate(out)
+
+
+def most_set_bits(total: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """Bound of the bitmaps' XOR for pairs at the threshold; total: shingles of both sets. Sampled: six deviations more."""
+    most = total * (100 - percent) / (100 + percent)
+    share = most * 0.5**level
+    return np.where(level == 0, most, share + 6 * np.sqrt(share) + 4)
+
+
 def most_different_bits(threshold: float) -> int:
     """The XOR's population count of a pair at threshold - SLACK: n/2 * (1 - exp(-4 k (1 - j) / n))."""
     k, n = BANDS * ROWS, SKETCH_BITS
@@ -77,7 +104,7 @@ def most_different_bits(threshold: float) -> int:
 def _sign(n: int):
     def run(batches: Batches) -> Batches:
         for b in batches:
-            sizes, high, low, bands, sketches = [], [], [], [], []
+            sizes, high, low, bands, sketches, own = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text.lower().split(), n)
                 sizes.append(len(s))
@@ -87,10 +114,11 @@ def _sign(n: int):
                 samples = minhash(s)
                 bands.append(band_hashes(samples))
                 sketches.append(odd_sketch(samples))
+                own.append(set_sketches(s).tobytes())
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(bands, rows), _lists(sketches, rows)],
-                names=["doc_id", "n_shingles", "high", "low", "bands", "sketch"],
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(bands, rows), _lists(sketches, rows), pa.array(own, pa.binary())],
+                names=["doc_id", "n_shingles", "high", "low", "bands", "sketch", "own"],
             )
 
     return run
@@ -144,6 +172,7 @@ class _Links:
         return written(own.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "near-sets")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Adds those of the pairs that are links."""
         both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u")
         both = both.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
         good = written(both.select("u", "v", "x", "y").mapInArrow(_confirm(self.percent), "u long, v long"), "near-links")
@@ -161,6 +190,20 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("u_label != v_label").drop("u_label", "v_label")
 
 
+class _Side:
+    """A block's members as arrays."""
+
+    def __init__(self, members: list[dict]):
+        self.id, self.label, self.n = (np.array([m[k] for m in members], np.int64) for k in ("id", "label", "n"))
+        self.sketch = np.array([m["sketch"] for m in members], np.int64)
+        self.own = np.frombuffer(b"".join(m["own"] for m in members), np.int64).reshape(len(members), 2, -1)
+        self.level = np.array([sample_level(n) for n in self.n.tolist()], np.int64)
+
+
+def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64)
+
+
 def _compare_blocks(most_bits: int, percent: int):
     """Pairs of members of two blocks (or of one) of different components whose sketches and sizes are near."""
 
@@ -168,20 +211,24 @@ def _compare_blocks(most_bits: int, percent: int):
         for b in batches:
             us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True):
-                x, y = (np.array([[m["id"], m["label"], m["n"], *m["sketch"]] for m in side], np.int64) for side in (p, q))
-                for row in x:
-                    bits = np.bitwise_count((y[:, 3:] ^ row[3:]).view(np.uint64)).sum(1, dtype=np.int64)
-                    near = (bits <= most_bits) & (y[:, 1] != row[1])
-                    near &= 100 * np.minimum(y[:, 2], row[2]) >= percent * np.maximum(y[:, 2], row[2])
-                    us.append(np.maximum(y[near, 0], row[0]))
-                    vs.append(np.minimum(y[near, 0], row[0]))
+                x, y = _Side(p), _Side(q)
+                for i in range(len(x.id)):
+                    near = np.flatnonzero((y.label != x.label[i]) & (100 * np.minimum(y.n, x.n[i]) >= percent * np.maximum(y.n, x.n[i])))
+                    near = near[_bits(y.sketch[near], x.sketch[i]) <= most_bits]
+                    level, own = y.level[near], x.level[i]
+                    theirs = np.where((level < own)[:, None], y.own[near, 1], y.own[near, 0])
+                    mine = np.where((level > own)[:, None], x.own[i, 1], x.own[i, 0])
+                    most = most_set_bits(y.n[near] + x.n[i], np.maximum(level, own), percent)
+                    near = near[(np.abs(level - own) > 1) | (_bits(theirs, mine) <= most)]
+                    us.append(np.maximum(y.id[near], x.id[i]))
+                    vs.append(np.minimum(y.id[near], x.id[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
 
 
-def _left_apart(entries: DataFrame, classes: DataFrame, labels: DataFrame, most_bits: int, percent: int) -> DataFrame:
-    """u, v: pairs in a bucket of different components whose sketches are near.
+def _left_apart(entries: DataFrame, classes: DataFrame, labels: DataFrame, most_bits: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """u, v: pairs in a bucket of different components whose sketches are near; and the tables that they come from.
 
     A component of many members in a bucket has blocks of its own, which are not compared with each other; others
     share blocks. So a large group that is connected costs a comparison with the bucket's other members only.
@@ -192,24 +239,24 @@ def _left_apart(entries: DataFrame, classes: DataFrame, labels: DataFrame, most_
     plan = counts.join(mixed, "band").select(
         "band", "label", F.when(F.col("own") >= BLOCK, F.col("label")).alias("pure"), F.ceil(F.when(F.col("own") >= BLOCK, F.col("own")).otherwise(F.col("small")) / BLOCK).alias("parts")
     )
-    members = labelled.join(plan, ["band", "label"]).join(classes.select("id", "sketch", "n"), "id")
+    members = labelled.join(plan, ["band", "label"]).join(classes.select("id", "sketch", "own", "n"), "id")
     key = F.struct("pure", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("key")
-    blocks = members.groupBy("band", key).agg(F.collect_list(F.struct("id", "label", "n", "sketch")).alias("side"))  # about BLOCK members
+    blocks = members.groupBy("band", key).agg(F.collect_list(F.struct("id", "label", "n", "sketch", "own")).alias("side"))  # about BLOCK members
     blocks = written(blocks.select(F.xxhash64("band", "key.pure", "key.part").alias("key"), "side"), "near-blocks")
     pure = members.select("band", "pure", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).distinct()
     keys = written(pure.select("band", "pure", F.xxhash64("band", "pure", "part").alias("key")), "near-keys")
     other = keys.select("band", F.col("pure").alias("pure_q"), F.col("key").alias("key_q"))
     pairs = keys.withColumnRenamed("key", "key_p").join(other, "band").where("key_p <= key_q and (pure is null or pure_q is null or pure != pure_q)")
     sides = pairs.join(blocks.select(F.col("key").alias("key_p"), F.col("side").alias("p")), "key_p").join(blocks.select(F.col("key").alias("key_q"), F.col("side").alias("q")), "key_q")
-    return sides.select("p", "q").mapInArrow(_compare_blocks(most_bits, percent), "u long, v long").distinct()
+    return sides.select("p", "q").mapInArrow(_compare_blocks(most_bits, percent), "u long, v long").distinct(), (blocks, keys)
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id: an integer)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, high long, low long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, high long, low long, bands array<long>, sketch array<long>, own binary"
     signed = written(text_frame(docs).mapInArrow(_sign(n), schema), "near-signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("n_shingles").alias("n"))
     classes = written(classes, "near-classes")
     sketches = classes.select("id", "sketch")
     most_bits = most_different_bits(percent / 100)
@@ -230,15 +277,20 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     best = pairs.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
     best = written(best, "near-best")
     links.confirm(best, sets)
-    rest = _apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), links.labels())
+    first = links.labels()
+    rest = _apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), first)
     links.confirm(rest, sets)
+    discard(sets, best, first)
 
     labels = links.labels()
-    more = _left_apart(entries, classes, labels, most_bits, percent).join(pairs, ["u", "v"], "left_anti")
-    more = written(more, "near-more")
+    more, scratch = _left_apart(entries, classes, labels, most_bits, percent)
+    more = written(more.join(pairs, ["u", "v"], "left_anti"), "near-more")
     if not more.isEmpty():
-        links.confirm(more, links.sets(more))
+        sets = links.sets(more)
+        links.confirm(more, sets)
+        discard(sets, labels)
         labels = links.labels()
+    discard(entries, pairs, more, *scratch)
 
     found = signed.select("doc_id", "n_shingles", "high", "low")
     named = classes.select("high", "low", "id").join(labels.withColumnRenamed("vertex", "id"), "id", "left")
