@@ -42,6 +42,9 @@ SLACK = 0.25
 BLOCK = 384
 #: Larger sets are sampled by hash, so that about so many shingles are folded into the set's own bitmap.
 SAMPLE = 400
+#: Texts are read again for the sets of pairs' ends; those whose hashed id falls in no end's cell don't reach the shuffle.
+#: The number is fixed, so that with very many ends the filter lets all pass, and the join alone decides.
+CELLS = 1 << 19
 
 _rng = np.random.default_rng(20_240_601)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -167,9 +170,14 @@ class _Links:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """doc_id, shingles of the pairs' ends."""
         ends = pairs.select(F.explode(F.array("u", "v")).alias("_end")).distinct()
-        wanted = text_frame(self.docs).join(ends, F.col("doc_id") == F.col("_end"), "left_semi")
-        own = wanted.mapInArrow(_sets(self.n), "doc_id long, shingles binary")
-        return written(own.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "near-sets")
+        ends = written(ends, "near-ends")
+        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
+        cells = ends.select(cell("_end").alias("_cell")).distinct()  # CELLS rows at most, so it may be broadcast
+        near = text_frame(self.docs).join(F.broadcast(cells), cell("doc_id") == F.col("_cell"), "left_semi")
+        wanted = near.join(ends, F.col("doc_id") == F.col("_end"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        own = written(wanted.mapInArrow(_sets(self.n), "doc_id long, shingles binary"), "near-sets")
+        discard(ends)
+        return own
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Adds those of the pairs that are links."""
