@@ -94,14 +94,10 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     # characters that neither model has seen in any context say nothing
     scored = scored.groupBy("folded", "ruled").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
     scored = written(scored, "urls-scores")
-    sides = scored.where("ruled is not null").groupBy("ruled").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd"))
-    side = {r["ruled"]: r for r in sides.collect()}  # two rows
-    if len(side) < 2:
-        threshold = float("-inf")
-    else:  # equally many deviations from either mean
-        a, b = side["allow"], side["block"]
-        spread = a["sd"] + b["sd"]
-        threshold = (a["mean"] * b["sd"] + b["mean"] * a["sd"]) / spread if spread else (a["mean"] + b["mean"]) / 2
+    edge = F.when(F.col("ruled") == "allow", F.percentile_approx("score", 0.02, 10_000)).otherwise(F.percentile_approx("score", 0.98, 10_000))
+    sides = scored.where("ruled is not null").groupBy("ruled").agg(edge.alias("edge")).collect()  # two rows
+    # midway between the lowest scores of accepted training URLs and the highest of rejected ones, but for 2 % of each
+    threshold = sum(r["edge"] for r in sides) / 2 if len(sides) == 2 else float("-inf")
     open_score = F.when(F.col("ruled").isNull(), F.coalesce("score", F.lit(0.0)))
     out = judged.join(scored.groupBy("folded").agg(F.max("score").alias("score")), "folded", "left")
     return out.select(

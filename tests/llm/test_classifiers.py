@@ -17,14 +17,14 @@ def accuracy(spark, sf_dir, rows, label):
 
 
 @pytest.mark.parametrize(("query", "label", "threshold"), [("op2_toxicity", "toxic", 0.5), ("op7_quality", "quality", 0.3)])
-def test_query_on_whole_table(spark, small, query, label, threshold):
-    rows = queries.QUERIES[query](spark, small).collect()
-    assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
+def test_query_on_whole_table(spark, large, query, label, threshold):
+    rows = queries.QUERIES[query](spark, large).collect()
+    assert len(rows) == spark.read.parquet(f"{large}/documents.parquet").count()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= threshold)
-    right, auc, n = accuracy(spark, small, rows, label)
-    assert n >= 50 and auc > 0.85 and right > 0.8, (right, auc, n)
+    right, auc, n = accuracy(spark, large, rows, label)
+    assert n >= 500 and auc > 0.95 and right > 0.97, (right, auc, n)
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])

@@ -47,7 +47,8 @@ def test_query_on_whole_table(spark, small):
     got = queries.op4_mixing(spark, small).collect()
     want, taken = check(rows, got)
     for s in want:
-        assert taken[s] == pytest.approx(float(want[s]), rel=0.03)
+        largest = max(r["size"] for r in got if r["doc_id"] in {i for i, _, x in rows if x == s})
+        assert abs(taken[s] - float(want[s])) <= largest
     assert sorted(map(tuple, got)) == sorted(map(tuple, queries.op4_mixing(spark, small).collect()))
 
 
