@@ -42,3 +42,8 @@ def tiny():
 @pytest.fixture(scope="session")
 def small():
     return f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def large():
+    return f"{DATA}/sf0.1"
