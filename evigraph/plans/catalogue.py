@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import connections, governance, links, quality, reports
+from ..operators import claims, connections, governance, links, quality, reports
 from ..sources import files, testdata
 from ..sources.testdata import table
 from ..streaming import limits
@@ -369,3 +369,50 @@ def difflib_topk(s: SparkSession, d: str) -> DataFrame:
     names = table(s, d, "part").select(F.col("p_name").alias("name")).distinct()
     best = lambda phrase: names.select(F.lit(phrase).alias("phrase"), "name", text.similarity(F.lit(phrase), "name").alias("ratio")).orderBy(F.desc("ratio"), "name").limit(5)
     return best("blue green metal").unionByName(best("small plated brass"))
+
+
+@query
+def routes(s: SparkSession, d: str) -> DataFrame:
+    """For each pair of diseases that share a mechanism, the first one."""
+    shared = links.shared_pairs(links.links(testdata.mechanism_edges(s, d), "src", "dst"))
+    return shared.groupBy("a", "b").agg(F.min("target").alias("mechanism"))
+
+
+@query
+def name_matches(s: SparkSession, d: str) -> DataFrame:
+    part = table(s, d, "part")
+    nodes = part.select(F.col("p_partkey").alias("id"), F.lit("disease").alias("type"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("synonyms"))
+    mentions = part.select(F.lit("disease").alias("type"), F.col("p_type").alias("text")).distinct()
+    return claims.match_names(mentions, nodes)
+
+
+@query
+def candidates_in_context(s: SparkSession, d: str) -> DataFrame:
+    claimed = testdata.nodes(s, d).where("type = 'disease'").select(F.col("id").alias("subject"), F.lit("disease_mechanism").alias("relation"))
+    return claims.candidates_in_context(claimed, testdata.mechanism_edges(s, d).where(links.supported()))
+
+
+@query
+def spotted_terms(s: SparkSession, d: str) -> DataFrame:
+    """The first word and the first two words of benchmark passages, as terms in conversations' turns."""
+    first = F.split("text", " ")
+    terms = table(s, d, "benchmark").select(F.explode(F.array(first[0], F.array_join(F.slice(first, 1, 2), " "))).alias("term"))
+    turns = table(s, d, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return claims.spot_terms(turns, terms, "key").select("key.*", "term", "at")
+
+
+@query
+def quote_locators(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 6, 10), " ").alias("quote"), "text")
+    return claims.quote_locators(rows).select("doc_id", "valid", "start", "end", "sha256")
+
+
+@query
+def quote_word_budget(s: SparkSession, d: str) -> DataFrame:
+    return claims.quote_budget(table(s, d, "conversations"), "conv_id", "text")
+
+
+@query
+def funding_shares(s: SparkSession, d: str) -> DataFrame:
+    cents = F.sum(F.round(F.col("total_cost") * 100).cast("long")).alias("cents")
+    return claims.shares(testdata.awards(s, d).groupBy("institute").agg(cents), "institute", "cents")

@@ -218,4 +218,22 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
         n as (select e.event_id, e.user_id, row_number() over (partition by e.user_id, w.t order by e.ts, e.event_id) as k
           from events e join w on w.user_id = e.user_id and e.ts >= w.t and e.ts < w.t + interval 1 day)
         select event_id, user_id from n where k > 3""",
+    "routes": GRAPH + """, l as (select distinct src as disease, dst as target from edges where type = 'disease_mechanism' and stance = 'supports' and status = 'verified')
+        select x.disease as a, y.disease as b, min(x.target) as mechanism from l x join l y on x.target = y.target and x.disease < y.disease group by all""",
+    "name_matches": """with n as (select p_partkey as id, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) as key from part, unnest([p_name, p_brand, p_type]) t(x)),
+        i as (select key, min(id) as id from n where key != '' group by key)
+        select 'disease' as type, text, id from (select distinct p_type as text from part) left join i on key = trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))""",
+    "candidates_in_context": GRAPH + """, c as (select src, count(distinct dst) as n from edges
+          where type = 'disease_mechanism' and stance = 'supports' and status = 'verified' group by src)
+        select distinct id as subject, 'disease_mechanism' as relation, coalesce(n, 0) as n_candidates, n is null as fallback from nodes left join c on id = src where nodes.type = 'disease'""",
+    "quote_locators": r"""with q as (select doc_id, text, array_to_string(string_split(text, ' ')[6:15], ' ') as quote from documents),
+        v as (select *, coalesce(quote != '' and trim(quote) = quote and len(regexp_extract_all(quote, '\S+')) <= 25, false) as valid from q),
+        l as (select *, case when valid then nullif(strpos(text, quote), 0) - 1 end as start from v)
+        select doc_id, valid, start, start + length(quote) as "end", sha256(quote) as sha256 from l""",
+    "quote_word_budget": r"""with w as (select conv_id, coalesce(sum(len(regexp_extract_all(text, '\S+'))), 0)::bigint as n_words from (select distinct conv_id, text from conversations) group by conv_id)
+        select conv_id, n_words, n_words > 25 as "over" from w""",
+    "funding_shares": """with c as (select o_orderpriority as institute, sum(round(o_totalprice * 100)::bigint)::bigint as cents from orders group by 1),
+        s as (select institute, cents, cents / (sum(cents) over ())::double as share,
+          coalesce(sum(cents) over (order by cents desc, institute rows between unbounded preceding and 1 preceding), 0)::bigint / (sum(cents) over ())::double as "offset" from c)
+        select *, case when share < 0.01 then '<1%' else floor(share * 100 + 0.5)::bigint || '%' end as label from s""",
 }
