@@ -36,3 +36,25 @@ def test_query_equals_sql(spark, tiny, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(oracle.ORACLE_SQL)))
 def test_other_queries_run(spark, tiny, name):
     assert catalogue.QUERIES[name](spark, tiny).collect()
+
+
+def test_all_rows_are_evidence(spark, tiny, db):
+    got = catalogue.QUERIES["evidence_by_source_all_rows"](spark, tiny).agg({"n": "sum"}).first()[0]
+    assert got == db.sql("select count(*) from lineitem").fetchall()[0][0]
+    assert {f"{n}_all_rows" for n in catalogue.LINEAR} == {n for n in oracle.ORACLE_SQL if n.endswith("_all_rows")}
+
+
+def test_pairs_over_all_rows(spark, tiny, db):
+    """Against pairs made here, one mechanism after the other."""
+    links = {(m, d) for m, d in db.sql("select distinct l_suppkey, 'd' || l_partkey from lineitem where l_returnflag = 'A' and l_linestatus = 'F'").fetchall()}
+    of = {}
+    for m, d in links:
+        of.setdefault(m, set()).add(d)
+    want = {}
+    for ds in of.values():
+        for a in ds:
+            for b in ds:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    got = catalogue.QUERIES["shared_mechanism_pairs_all_rows"](spark, tiny).collect()
+    assert {(r["a"], r["b"]): r["n_shared"] for r in got} == want
