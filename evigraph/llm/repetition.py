@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from .common import Batches, text_frame, window_hashes, word_hashes
 
 #: Window lengths, and the largest share of word characters (in percent) that repeats of that length may cover.
-COVER_LIMITS = {3: 60, 5: 50, 10: 45}
-LINE_LIMIT = 50
+COVER_LIMITS = {3: 50, 5: 40, 10: 37}
+LINE_LIMIT = 20
 MIN_WORDS = 50
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)

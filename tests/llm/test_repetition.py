@@ -49,5 +49,15 @@ def test_verdict(spark):
     assert got == {1: True, 2: True, 3: False}
 
 
+def test_repeats_below_the_base_rule(spark):
+    """A passage found twice, 43 % of the text, and lines found again, 25 %: the base rule passes both."""
+    own = [f"word{i}" for i in range(200)]
+    passage = " ".join(own + own[50:104])
+    lines = " ".join(own) + "\n" + "\n".join([" ".join(own[:9])] * 9)
+    rows = spark.createDataFrame([(1, passage), (2, lines), (3, " ".join(own))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in repetition.repetition(rows).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True)}
+
+
 def test_empty_table(none):
     assert repetition.repetition(none).collect() == []
