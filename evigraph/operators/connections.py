@@ -35,7 +35,8 @@ def communities(group_edges: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def connections(mechanisms: DataFrame, investigators: DataFrame, parents: DataFrame, contradicted: DataFrame) -> DataFrame:
-    """focus, candidate, kind, n_shared, supported, n_qualifiers, rank: every focus's candidates outside its family.
+    """focus, candidate, kind, n_shared, supported, n_qualifiers, rank: every focus's candidates outside its family that share
+    a mechanism or an investigator with it; those that share phenotypes only, or links of its children, are not built.
 
     kind: mechanism before investigator. supported: some shared target is verified on both sides. Ranked by kind, supported
     first, fewest qualifiers, most shared, then id.
