@@ -136,6 +136,7 @@ def connections_ranked(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def two_hop_neighbourhood(s: SparkSession, d: str) -> DataFrame:
+    """From a stated query set: parts whose number leaves 1 when divided by 100, as in the SQL."""
     start = table(s, d, "part").where("p_partkey % 100 = 1").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("id"))
     return links.two_hop(testdata.mechanism_edges(s, d).unionByName(testdata.parent_edges(s, d)), start, testdata.nodes(s, d), VISIBLE)
 
