@@ -65,9 +65,9 @@ def text_frame(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def held_out(remainder: int, modulus: int = 5) -> Column:
+def held_out(remainder: int, modulus: int = 5, column: str = "doc_id") -> Column:
     """crc32 of the document's id as text has this remainder; a null id counts as empty text."""
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    crc = F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
     return F.pmod(crc, F.lit(modulus)) == remainder
 
 

@@ -56,16 +56,59 @@ def test_held_out_labels_change_nothing(spark, tiny):
         assert a == b
 
 
-def test_label_model_finds_accuracies():
+def ballots(labelled=0.1):
+    """Votes of four voters and the class; the fifth voter copies the second one nine times of ten."""
     rng = np.random.default_rng(3)
-    y = rng.random(6000) < 0.2
-    votes = np.stack([np.where(rng.random(6000) < acc, np.where(y, 1, 0), np.where(y, 0, 1)) for acc in (0.9, 0.8, 0.75, 0.7)], 1)
-    label = np.where(rng.random(6000) < 0.1, y.astype(int), 2)
-    patterns, at, n = np.unique(np.column_stack([label, votes]), axis=0, return_inverse=True, return_counts=True)
-    model = toxicity.LabelModel(patterns, n.astype(float))
-    guess = model.posterior[at.ravel()] > 0.5
-    majority = votes.sum(1) >= 3
-    assert (guess == y).mean() >= max(0.9, (majority == y).mean() - 0.01)
+    y = (rng.random(6000) < 0.2).astype(int)
+    votes = np.stack([np.where(rng.random(6000) < acc, y, 1 - y) for acc in (0.9, 0.8, 0.75, 0.7)], 1)
+    copy = np.where(rng.random(6000) < 0.9, votes[:, 1], 2)
+    return np.column_stack([votes, copy]), y, rng.random(6000) < labelled
+
+
+def label_model(votes, y, labelled):
+    patterns, at = np.unique(votes, axis=0, return_inverse=True)
+    at = at.ravel()
+    counts = [np.bincount(at, m, len(patterns)) for m in (~labelled, labelled & (y == 0), labelled & (y == 1))]
+    return toxicity.LabelModel(patterns, *counts), at
+
+
+def test_label_model_finds_accuracies():
+    for share in (0.1, 0.0):
+        votes, y, labelled = ballots(share)
+        model, at = label_model(votes, y, labelled)
+        majority = votes[:, :4].sum(1) >= 3
+        assert ((model.posterior[at] > 0.5) == y).mean() >= max(0.9, (majority == y).mean() - 0.01)
+        assert model.parent[4] == 1 or model.parent[1] == 4  # the copy is found
+
+
+def test_label_model_against_one_document_after_the_other():
+    """Expectation-maximisation over documents, given the model's tree, ends where the model does over patterns."""
+    votes, y, labelled = ballots()
+    votes, y, labelled = votes[:400], y[:400], labelled[:400]
+    model, at = label_model(votes, y, labelled)
+    weight = min(1.0, labelled.sum() / (~labelled).sum())
+    p = model.posterior[at].tolist()
+    for _ in range(3):
+        table, sizes = {}, [1.0, 1.0]
+        for v, t, known, q in zip(votes.tolist(), y.tolist(), labelled.tolist(), p, strict=True):
+            for c, w in ((1, q), (0, 1 - q)):
+                w = float(t == c) if known else weight * w
+                sizes[c] += w
+                for i, j in enumerate(model.parent):
+                    key = (c, i, v[j] if j >= 0 else 0, v[i])
+                    table[key] = table.get(key, 0.5) + w
+        new = []
+        for v in votes.tolist():
+            both = []
+            for c in (0, 1):
+                like = sizes[c] / sum(sizes)
+                for i, j in enumerate(model.parent):
+                    row = [table.get((c, i, v[j] if j >= 0 else 0, k), 0.5) for k in range(3)]
+                    like *= row[v[i]] / sum(row)
+                both.append(like)
+            new.append(both[1] / sum(both))
+        p = new
+    assert p == pytest.approx(model.posterior[at].tolist(), abs=1e-3)
 
 
 def test_hinge_dual_separates():
