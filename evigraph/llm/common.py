@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,15 +21,18 @@ MAX_BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset: one machine shares all."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/evigraph-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="evigraph-"))
     return base.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
 
@@ -51,6 +55,23 @@ def discard(*tables: DataFrame) -> None:
         hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def join_hubs(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big.join(small, key, how) where no key of big fills a task; small has few rows for each key, big is a written table.
+
+    Keys with more than 1/10,000 of the rows (and 256) are hubs, 10,000 at most; their rows of small are broadcast, so
+    big's rows stay where they are. All others are joined by a shuffle.
+    """
+    most = max(256, big.count() // 10_000)
+    hubs = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(key)
+    found = hubs.collect()  # 10,000 at most
+    if not found:
+        return big.join(small, key, how)
+    hubs = F.broadcast(big.sparkSession.createDataFrame(found, hubs.schema))
+    hub_rows = F.broadcast(small.join(hubs, key, "left_semi"))
+    rest = big.join(hubs, key, "left_anti").join(small.join(hubs, key, "left_anti"), key, how)
+    return big.join(hubs, key, "left_semi").join(hub_rows, key, how).unionByName(rest)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows, so that a batch of very long texts still fits a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > MAX_BATCH_ROWS:

@@ -1,6 +1,7 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps on DataFrames.
 
-Each step shuffles edges only; nothing is collected. Lineage is cut by tables in the shared folder.
+Each step shuffles edges only; nothing is collected but the names of hubs, which are few. Lineage is cut by tables in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -8,24 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, join_hubs, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours (larger ones, or those not larger) of each vertex to the smallest of its neighbourhood.
 
-    The smallest neighbour comes from an aggregate with partial sums and is joined back, so a vertex with very many
-    neighbours is never gathered in one task.
+    The smallest neighbour comes from an aggregate with partial sums; hubs get it by a broadcast of their own, so a
+    vertex with very many neighbours is never gathered in one task.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
     if large:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = written(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        out = written(join_hubs(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-edges")
+        discard(both)
+        return out
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    joined = e.join(least, "u")
-    links = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return links.where("u != v").distinct()
+    joined = join_hubs(edges, least, "u")
+    links = joined.where("u != v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out = written(links.where("u != v").distinct(), "cc-edges")
+    discard(edges)
+    return out
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,7 +38,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.select("u", "v").where("u != v").distinct(), "cc-edges")
     before = None
     for _ in range(most_rounds):
-        edges, now = now, written(_star(_star(now, True), False), "cc-edges")
+        edges, now = now, _star(_star(now, True), False)
         discard(edges)
         # the smaller ends only fall: equal sums mean that nothing has changed
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

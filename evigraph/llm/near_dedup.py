@@ -9,19 +9,26 @@ Method:
    band. That is linear in the members. The population count of the XOR of two odd sketches estimates the similarity;
    pairs far below the threshold are let go.
 3. Links are confirmed on full sets: first each member's most similar leader, then all other pairs whose ends are not
-   connected yet.
+   connected yet. A leader's set goes once to each task that compares it, with SIDE of its members at most.
 4. What leaders alone can't tell: buckets whose members still lie in two or more components. Their members are cut into
    blocks; pairs of blocks are dealt to tasks, where sketches of members of different components are compared, the
    MinHash samples' first, then parity bitmaps of the sets themselves (of a share of their hashes, for large sets).
    The population count never exceeds the number of shingles that one set has and the other lacks, so for sets of up to
-   SAMPLE shingles no pair at the threshold is let go, and hardly any below it stays. Pairs that pass are confirmed like
-   the others. So a link between different texts is lost only if all bands miss it: (1 - 0.8**ROWS)**BANDS, 5e-8 at the
-   threshold itself.
+   SAMPLE shingles no pair at the threshold is let go, and hardly any below it stays. For larger sets the bound leaves
+   six standard deviations. Pairs that pass are confirmed like the others. So a link between different texts is lost
+   only if all bands miss it, (1 - 0.8**ROWS)**BANDS or 5e-8 at the threshold itself, or by those deviations; the tests
+   measure the recall of pairs near the threshold, and the README states it.
 5. Components come from star contraction over links between classes.
 
+A key of many rows (a bucket, its leader, a vertex) never fills a task: such hubs, 10,000 at most, are joined by a
+broadcast of their own small rows. Members of one bucket that are near in their sketches and yet not linked are compared
+pairwise, block by block, which no way around the full sets spares.
+
 Null texts, empty texts and texts without words have an empty set and are linked with nothing. Texts of fewer words
-than a shingle are one shingle. A null doc_id gets a component of its own: itself, not linked. Rows that repeat a
-doc_id are one document each with equal results if their texts are equal; otherwise they share the doc_id's component.
+than a shingle are one shingle. Very long texts are read whole. A pair exactly at the threshold is linked; of equals the
+smallest doc_id stays. A null doc_id gets a component of its own: itself, not linked. Rows that repeat a doc_id are one
+document each with equal results if their texts are equal; otherwise they share the doc_id's component, which any of
+their texts may link. An empty table gives no rows; other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, discard, mix, shingles, text_frame, written
+from .common import Batches, discard, join_hubs, mix, shingles, text_frame, written
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -46,6 +53,9 @@ SAMPLE = 400
 #: The number is fixed, so that with very many ends the filter lets all pass, and the join alone decides.
 CELLS = 1 << 19
 
+#: Members that a leader's set is compared with in one run.
+SIDE = 256
+
 _rng = np.random.default_rng(20_240_601)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -137,21 +147,35 @@ def _sets(n: int):
     def run(batches: Batches) -> Batches:
         for b in batches:
             packed = [shingles(t.lower().split(), n).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+            digest = [xxhash.xxh3_128_digest(p) for p in packed]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "digest", "shingles"])
 
     return run
 
 
 def _confirm(percent: int):
+    """u, v of links; rows come sorted, for each leader and side first its sets (no member), then its members'."""
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
     def run(batches: Batches) -> Batches:
+        now, own = None, []
         for b in batches:
-            good = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            out = pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"])
-            yield out.filter(pa.array(good, pa.bool_()))
+            us, vs = [], []
+            for leader, side, member, s in zip(*(b.column(c).to_pylist() for c in ("leader", "side", "member", "shingles")), strict=True):
+                if now != (leader, side):
+                    now, own = (leader, side), []
+                s = np.frombuffer(s, np.uint64)
+                if member is None:
+                    own.append(s)
+                elif any(linked(x, s) for x in own):
+                    us.append(max(leader, member))
+                    vs.append(min(leader, member))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -161,29 +185,37 @@ def _different_bits(x: str, y: str) -> Column:
 
 
 class _Links:
-    """Confirms pairs on full sets, and keeps what is linked so far."""
+    """Confirms pairs (member, leader) on full sets, and keeps what is linked so far."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.percent = docs, n, percent
         self.links: DataFrame | None = None
+        self.scratch: list[DataFrame] = []
 
     def sets(self, pairs: DataFrame) -> DataFrame:
-        """doc_id, shingles of the pairs' ends."""
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("_end")).distinct()
+        """doc_id, shingles of the pairs' ends; a doc_id with several texts has several rows."""
+        ends = pairs.select(F.explode(F.array("member", "leader")).alias("_end")).distinct()
         ends = written(ends, "near-ends")
         cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
         cells = ends.select(cell("_end").alias("_cell")).distinct()  # CELLS rows at most, so it may be broadcast
         near = text_frame(self.docs).join(F.broadcast(cells), cell("doc_id") == F.col("_cell"), "left_semi")
-        wanted = near.join(ends, F.col("doc_id") == F.col("_end"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        own = written(wanted.mapInArrow(_sets(self.n), "doc_id long, shingles binary"), "near-sets")
+        wanted = near.join(ends, F.col("doc_id") == F.col("_end"), "left_semi").dropDuplicates(["doc_id", "text"])
+        own = wanted.mapInArrow(_sets(self.n), "doc_id long, digest binary, shingles binary").dropDuplicates(["doc_id", "digest"])
+        own = written(own.select("doc_id", "shingles"), "near-sets")
         discard(ends)
         return own
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Adds those of the pairs that are links."""
-        both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u")
-        both = both.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-        good = written(both.select("u", "v", "x", "y").mapInArrow(_confirm(self.percent), "u long, v long"), "near-links")
+        """Adds those of the pairs, a written table, that are links."""
+        sides = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides")), "near-sides")
+        dealt = join_hubs(pairs, sides, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("sides")).cast("int").alias("side"), F.col("member").alias("doc_id"))
+        members = dealt.join(sets, "doc_id").select("leader", "side", F.col("doc_id").alias("member"), "shingles")
+        leaders = sides.join(sets.withColumnRenamed("doc_id", "leader"), "leader")
+        leaders = leaders.select("leader", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.lit(None).cast("long").alias("member"), "shingles")
+        rows = leaders.unionByName(members).repartition("leader", "side").sortWithinPartitions("leader", "side", F.col("member").asc_nulls_first())
+        good = written(rows.mapInArrow(_confirm(self.percent), "u long, v long"), "near-links")
+        discard(sides)
+        self.scratch.append(good)
         self.links = good if self.links is None else self.links.unionByName(good)
 
     def labels(self) -> DataFrame:
@@ -191,11 +223,12 @@ class _Links:
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends no links connect yet."""
-    for end in ("u", "v"):
-        own = labels.select(F.col("vertex").alias(end), F.col("component").alias(f"{end}_label"))
-        pairs = pairs.join(own, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
-    return pairs.where("u_label != v_label").drop("u_label", "v_label")
+    """Pairs, a written table, whose ends no links connect yet."""
+    own = labels.select(F.col("vertex").alias("leader"), F.col("component").alias("leader_label"))
+    pairs = join_hubs(pairs, own, "leader", "left")
+    own = labels.select(F.col("vertex").alias("member"), F.col("component").alias("member_label"))
+    pairs = pairs.join(own, "member", "left")  # a member has BANDS leaders at most
+    return pairs.where(F.coalesce("member_label", "member") != F.coalesce("leader_label", "leader")).select("member", "leader")
 
 
 class _Side:
@@ -242,12 +275,14 @@ def _left_apart(entries: DataFrame, classes: DataFrame, labels: DataFrame, most_
     share blocks. So a large group that is connected costs a comparison with the bucket's other members only.
     """
     labelled = entries.join(labels.withColumnRenamed("vertex", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
+    labelled = written(labelled.withColumn("slot", F.xxhash64("band", "label")), "near-labelled")
     counts = labelled.groupBy("band", "label").agg(F.count("*").alias("own"))
     mixed = counts.groupBy("band").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0)).alias("small")).where("labels > 1")
     plan = counts.join(mixed, "band").select(
         "band", "label", F.when(F.col("own") >= BLOCK, F.col("label")).alias("pure"), F.ceil(F.when(F.col("own") >= BLOCK, F.col("own")).otherwise(F.col("small")) / BLOCK).alias("parts")
     )
-    members = labelled.join(plan, ["band", "label"]).join(classes.select("id", "sketch", "own", "n"), "id")
+    plan = plan.select(F.xxhash64("band", "label").alias("slot"), "pure", "parts")
+    members = join_hubs(labelled, plan, "slot").join(classes.select("id", "sketch", "own", "n"), "id")
     key = F.struct("pure", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("key")
     blocks = members.groupBy("band", key).agg(F.collect_list(F.struct("id", "label", "n", "sketch", "own")).alias("side"))  # about BLOCK members
     blocks = written(blocks.select(F.xxhash64("band", "key.pure", "key.part").alias("key"), "side"), "near-blocks")
@@ -256,7 +291,7 @@ def _left_apart(entries: DataFrame, classes: DataFrame, labels: DataFrame, most_
     other = keys.select("band", F.col("pure").alias("pure_q"), F.col("key").alias("key_q"))
     pairs = keys.withColumnRenamed("key", "key_p").join(other, "band").where("key_p <= key_q and (pure is null or pure_q is null or pure != pure_q)")
     sides = pairs.join(blocks.select(F.col("key").alias("key_p"), F.col("side").alias("p")), "key_p").join(blocks.select(F.col("key").alias("key_q"), F.col("side").alias("q")), "key_q")
-    return sides.select("p", "q").mapInArrow(_compare_blocks(most_bits, percent), "u long, v long").distinct(), (blocks, keys)
+    return sides.select("p", "q").mapInArrow(_compare_blocks(most_bits, percent), "u long, v long").distinct(), (labelled, blocks, keys)
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -269,36 +304,41 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sketches = classes.select("id", "sketch")
     most_bits = most_different_bits(percent / 100)
 
-    entries = classes.select("id", F.explode("bands").alias("band"))
+    entries = written(classes.select("id", F.explode("bands").alias("band")), "near-entries")
     turn = F.struct(F.xxhash64("id", "band").alias("turn"), "id")
     shared = entries.groupBy("band").agg(F.count("*").alias("members"), F.min(turn).alias("leader")).where("members > 1")
-    entries = written(entries.join(shared.select("band", F.col("leader.id").alias("leader")), "band"), "near-entries")
+    shared = written(shared.select("band", F.col("leader.id").alias("leader")), "near-shared")
+    alone, entries = entries, written(join_hubs(entries, shared, "band"), "near-entries")
+    discard(alone, shared)
 
-    pairs = entries.where("id != leader").select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
-    for end in ("u", "v"):
-        pairs = pairs.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"{end}_sketch")), end)
-    pairs = pairs.select("u", "v", _different_bits("u_sketch", "v_sketch").alias("bits")).where(F.col("bits") <= most_bits)
-    pairs = written(pairs, "near-pairs")
+    pairs = written(entries.where("id != leader").select(F.col("id").alias("member"), "leader").distinct(), "near-pairs")
+    own = sketches.withColumnRenamed("sketch", "leader_sketch").withColumnRenamed("id", "leader")
+    near = join_hubs(pairs, own, "leader").join(sketches.withColumnRenamed("id", "member"), "member")
+    near = near.select("member", "leader", _different_bits("sketch", "leader_sketch").alias("bits")).where(F.col("bits") <= most_bits)
+    all_pairs, pairs = pairs, written(near.groupBy("member", "leader").agg(F.min("bits").alias("bits")), "near-pairs")
+    discard(all_pairs)
 
     links = _Links(docs, n, percent)
     sets = links.sets(pairs)
-    best = pairs.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    best = pairs.groupBy("member").agg(F.min(F.struct("bits", "leader")).alias("best")).select("member", F.col("best.leader").alias("leader"))
     best = written(best, "near-best")
     links.confirm(best, sets)
     first = links.labels()
-    rest = _apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), first)
-    links.confirm(rest, sets)
-    discard(sets, best, first)
+    rest = written(pairs.select("member", "leader").join(best, ["member", "leader"], "left_anti"), "near-rest")
+    apart = written(_apart(rest, first), "near-apart")
+    links.confirm(apart, sets)
+    discard(sets, best, first, rest, apart)
 
     labels = links.labels()
     more, scratch = _left_apart(entries, classes, labels, most_bits, percent)
-    more = written(more.join(pairs, ["u", "v"], "left_anti"), "near-more")
+    done = pairs.select(F.greatest("member", "leader").alias("u"), F.least("member", "leader").alias("v")).distinct()
+    more = written(more.join(done, ["u", "v"], "left_anti").select(F.col("u").alias("member"), F.col("v").alias("leader")), "near-more")
     if not more.isEmpty():
         sets = links.sets(more)
         links.confirm(more, sets)
         discard(sets, labels)
         labels = links.labels()
-    discard(entries, pairs, more, *scratch)
+    discard(entries, pairs, more, *scratch, *links.scratch)
 
     found = signed.select("doc_id", "n_shingles", "high", "low")
     named = classes.select("high", "low", "id").join(labels.withColumnRenamed("vertex", "id"), "id", "left")
