@@ -4,14 +4,16 @@ Method: systematic sampling. Within a source every document's expected copies ar
 prefix-summed, one random offset is added for the source, and a document is emitted once for each integer boundary
 that its interval crosses.
 
-The prefix sum has two levels, so that no source has to fit one task: documents are dealt to buckets of bounded size
-(by size class, then by doc_id), ranked inside the bucket, and buckets' counts are summed up within the source. As
-documents come in the order of their size classes, the words taken stay near the target.
-
-Size is the number of words (null text: 0). Targets: weights 5, 2, 1, repeating over sources by code point (null
-last), stop at ``most`` times the source's size, the excess shared again by weight. A source of size 0 has target 0
-and takes nothing. Empty documents take 0 words. Repeated rows are documents of their own; equal doc_ids are ordered
-by size, and rows alike in both get ranks in any order, which changes no result. A null doc_id comes last.
+The prefix sum has three levels, so that no source has to fit one task: documents are dealt to buckets of bounded size
+(by size class, then by a hash of the doc_id), BUCKETS buckets make a block, and blocks are summed up within the source.
+Rows alike in doc_id, source and size are one row with their number while sums are made, so repeated rows fill no bucket.
+As documents come in the order of their size classes, the words taken stay near the target.
+
+Size is the number of words (null text: 0), of the whole text however long. Targets: weights 5, 2, 1, repeating over
+sources by code point (null last), stop at ``most`` times the source's size, the excess shared again by weight. A source
+of size 0 has target 0 and takes nothing. Empty documents take 0 words. Repeated rows are documents of their own; equal
+doc_ids are ordered by size, a null doc_id comes last, and mix() orders what is equal in both by a digest of the row, so
+reruns agree. An empty table gives no rows; columns of docs with names used here change nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import WORD_CLASS, written
 
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 1024
+BUCKET_ROWS, BUCKETS = 1024, 1024
+#: Rows alike that one task spreads out again.
+SPREAD = 1 << 16
 
 
 def sizes(docs: DataFrame, *more: Column) -> DataFrame:
@@ -30,13 +34,19 @@ def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"))
 
 
+def groups(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows alike in doc_id, source, size (and more), with their number n."""
+    sized = sizes(docs, *more)
+    return sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """source, n_docs, source_size, target, rate: one row for each source.
+    """source, source_size, target, rate: one row for each source. sized: groups.
 
     Sharing the excess until no target is above its cap ends where capped sources are those with the smallest
     cap / weight; with sources in that order, the share of a unit of weight follows from running sums.
     """
-    totals = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())  # rows are sources, one each
     cases = F.lit(weights[-1])
     for i, w in enumerate(weights[:-1]):
@@ -59,7 +69,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     target = F.when(F.col("place") >= F.col("first.place"), F.col("first.share") * F.col("weight")).otherwise(F.col("cap").cast("double"))
     out = run.withColumn("target", target)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    return out.select("source", "n_docs", "source_size", "target", rate.alias("rate"))
+    return out.select("source", "source_size", "target", rate.alias("rate"))
 
 
 def _offset(seed: int) -> Column:
@@ -68,47 +78,80 @@ def _offset(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row for each row of docs; whole: and the row itself, as row."""
-    sized = written(sizes(docs), "mix-sizes")
-    per_source = written(targets(sized, weights, most), "mix-targets")
-    size_class = F.length(F.bin("size"))
-    classes = sized.groupBy("source", size_class.alias("class")).agg(F.count("*").alias("rows"))
-    # each class in so many parts that a bucket has about BUCKET_ROWS rows
-    classes = classes.select(F.col("source").alias("c_source"), "class", F.ceil(F.col("rows") / BUCKET_ROWS).alias("parts"))
-    row = ["row"] if whole else []
-    classed = (sizes(docs, F.struct(*docs.columns).alias("row")) if whole else sized).withColumn("class", size_class)
-    dealt = classed.join(classes, classed["source"].eqNullSafe(classes["c_source"]) & (classed["class"] == classes["class"])).select(
-        "doc_id", "source", "size", classed["class"], F.coalesce(F.pmod(F.col("doc_id"), F.col("parts")), F.lit(0)).alias("part"), *row
-    )
-    inside = Window.partitionBy("source", "class", "part").orderBy("size", F.col("doc_id").asc_nulls_last())
-    ranked = dealt.withColumn("rank", F.row_number().over(inside))
-    part = F.coalesce(F.pmod(F.col("doc_id"), F.col("parts")), F.lit(0)).alias("part")
-    slim = sized.withColumn("class", size_class)
-    slim = slim.join(classes, slim["source"].eqNullSafe(classes["c_source"]) & (slim["class"] == classes["class"])).select("source", slim["class"], part)
-    counts = slim.groupBy("source", "class", "part").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("source").alias("s_source"), F.col("class").alias("s_class"), F.col("part").alias("s_part"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
-    )
-    starts = starts.join(per_source, F.col("s_source").eqNullSafe(F.col("source"))).drop("source")
-    placed = ranked.join(
-        starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("class") == F.col("s_class")) & (F.col("part") == F.col("s_part"))
-    )
-    at = F.col("start") + F.col("rank")
-    offset = _offset(seed)
-    copies = F.floor(at * F.col("rate") + offset) - F.floor((at - 1) * F.col("rate") + offset)
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *row)
+def _hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _placed(sized: DataFrame, weights: tuple[int, ...], most: int, digest: list[str]) -> DataFrame:
+    """The groups, a written table, with source_size, target, rate, and before: how many rows of the source come first."""
+    sized = sized.withColumn("class", F.length(F.bin("size")))
+    per_source = F.broadcast(targets(sized, weights, most).withColumnRenamed("source", "t_source"))  # a row for each source
+    classes = sized.groupBy("source", "class").agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("parts"))
+    classes = F.broadcast(classes.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), "parts"))  # 64 for each source at most
+    turn = F.col(digest[0]) if digest else _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    dealt = sized.join(classes, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")))
+    dealt = dealt.withColumn("part", F.pmod(turn, F.col("parts"))).withColumn("block", F.floor(F.col("part") / BUCKETS)).drop("c_source", "c_class", "parts")
+
+    bucket, block = ["source", "class", "block", "part"], ["source", "class", "block"]
+    counts = dealt.groupBy(*bucket).agg(F.sum("n").alias("rows"))
+    first = (Window.unboundedPreceding, -1)
+    in_block = counts.withColumn("s2", F.coalesce(F.sum("rows").over(Window.partitionBy(*block).orderBy("part").rowsBetween(*first)), F.lit(0)))
+    blocks = counts.groupBy(*block).agg(F.sum("rows").alias("rows"))
+    blocks = blocks.withColumn("s1", F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("class", "block").rowsBetween(*first)), F.lit(0)))
+    starts = _joined(in_block.drop("rows"), blocks.drop("rows"), block).select(*bucket, (F.col("s1") + F.col("s2")).alias("start"))
+
+    inside = Window.partitionBy(*bucket).orderBy("size", F.col("doc_id").asc_nulls_last(), *digest).rowsBetween(*first)
+    ranked = _joined(dealt.withColumn("s3", F.coalesce(F.sum("n").over(inside), F.lit(0))), starts, bucket)
+    ranked = ranked.withColumn("before", F.col("start") + F.col("s3")).drop("class", "block", "part", "s3", "start")
+    return ranked.join(per_source, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join by keys, of which the first may be null."""
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}"))
+    for k in keys[1:]:
+        on &= F.col(k) == F.col(f"_{k}")
+    return left.join(right, on).drop(*[f"_{k}" for k in keys])
+
+
+def _copies(at: Column, n: Column, offset: Column) -> Column:
+    """Integer boundaries that the expected copies of rows at + 1 to at + n cross."""
+    return (F.floor((at + n) * F.col("rate") + offset) - F.floor(at * F.col("rate") + offset)).cast("long")
+
+
+def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row for each row of docs."""
+    placed = written(_placed(written(groups(docs), "mix-groups"), weights, most, []), "mix-placed")
+    one, offset = F.lit(1), _offset(seed)
+    # rows alike become rows again, in pieces that are dealt anew if there are many
+    pieces = placed.where(F.col("n") > 1).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPREAD))))
+    pieces = pieces.repartition("doc_id", "size", "piece")
+    last = F.least(F.col("n"), (F.col("piece") + 1) * SPREAD) - 1
+    spread = pieces.withColumn("i", F.explode(F.sequence(F.col("piece") * SPREAD, last)))
+    rows = placed.where(F.col("n") == 1).withColumn("at", F.col("before")).unionByName(spread.withColumn("at", F.col("before") + F.col("i")).drop("piece", "i"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("at"), one, offset).alias("copies"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    taken = mix_counts(docs, whole=True, **options).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Whole rows are shuffled once, to what slim keys decided."""
+    mark = F.xxhash64(*docs.columns).alias("_digest")
+    placed = _placed(written(groups(docs, mark), "mix-groups"), weights, most, ["_digest"])
+    taken = placed.select(F.col("doc_id").alias("_id"), "_digest", "n", _copies(F.col("before"), F.col("n"), _offset(seed)).alias("_copies")).where("_copies > 0")
+    taken = written(taken, "mix-taken")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark)
+    alone = rows.join(taken.where("n = 1"), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (rows["_digest"] == taken["_digest"])).select("row", "_copies")
+    # equal rows are interchangeable: one of them stands for all copies that they take together
+    repeated = rows.join(taken.where("n > 1"), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (rows["_digest"] == taken["_digest"]))
+    repeated = repeated.groupBy(taken["_id"], taken["_digest"]).agg(F.first("row").alias("row"), F.first("_copies").alias("_copies"))
+    every = alone.unionByName(repeated.select("row", "_copies"))
+    pieces = every.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / SPREAD))))
+    copies = F.sequence(F.lit(1), F.least(F.lit(SPREAD), F.col("_copies") - F.col("_piece") * SPREAD))
+    return pieces.select("row", F.explode(copies)).select("row.*")
 
 
 ORACLE = rf"""
@@ -136,14 +179,16 @@ with s as (
   select *, case when source_size > 0 then target / source_size::double else 0.0 end as rate,
     ('0x' || substr(md5('7:' || coalesce('=' || source, 'null')), 1, 13))::bigint::double / 4503599627370496.0 as off
   from targets
-), classed as (
-  select *, length(bin(size)) as class from s
+), g as (
+  select doc_id, source, size, length(bin(size)) as class, count(*) as n from s group by all
 ), parts as (
-  select *, coalesce(doc_id % ceil(count(*) over (partition by source, class) / 1024.0)::bigint, 0) as part from classed
+  select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % ceil(count(*) over (partition by source, class) / 1024.0)::bigint as part from g
 ), ranked as (
-  select *, row_number() over (partition by source order by class, part, size, doc_id nulls last) as rank from parts
+  select *, sum(n) over (partition by source order by class, part, size, doc_id nulls last rows unbounded preceding)::bigint as up_to from parts
+), single as (
+  select *, up_to - unnest(range(n)) as rank from ranked
 )
 select doc_id, size, source_size, target,
   (size * (floor(rank * rate + off) - floor((rank - 1) * rate + off)))::bigint as taken
-from ranked join rates on ranked.source is not distinct from rates.source
+from single join rates on single.source is not distinct from rates.source
 """

@@ -77,5 +77,25 @@ def test_systematic_sampling_emits_whole_rows(spark):
         assert len({copies[r[0]] for r in rows if r[2] == s}) <= 2
 
 
+def test_repeated_rows_and_ids_fill_no_bucket(spark):
+    """Many equal rows, one id on many texts, null ids: all are rows of their own, and reruns agree."""
+    rows = [(1, "a b c", "hot", 0)] * 70_000 + [(None, "w " * (i % 90), "hot", i) for i in range(3000)] + [(5, "w " * (i % 9), "cold", i) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(4)
+    out = mixing.mix_counts(docs).groupBy("source").agg({"*": "count", "copies": "sum"}).collect()
+    assert {r["source"]: r["count(1)"] for r in out} == {"hot": 73_000, "cold": 2000}
+    copies = {r["source"]: r["sum(copies)"] for r in out}
+    for s, n in {"hot": 73_000, "cold": 2000}.items():
+        target = mixing.mix_counts(docs).where(f"source = '{s}'").selectExpr("max(target / source_size) r").first()["r"]
+        assert abs(copies[s] - target * n) <= 1
+    a, b = (Counter(map(tuple, mixing.mix(d).collect())) for d in (docs, docs.repartition(7)))
+    assert a == b and sum(a.values()) == sum(copies.values())
+    assert set(a) <= set(rows)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a " * 1_000_000, "x"), (2, "b" * 2_000_000, "x"), (3, " " * 2_000_000, "y")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_counts(docs).collect()} == {1: 1_000_000, 2: 1, 3: 0}
+
+
 def test_empty_table(none):
     assert mixing.mix_counts(none).collect() == [] and mixing.mix(none).collect() == []
