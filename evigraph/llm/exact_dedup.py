@@ -5,31 +5,36 @@ Method: an extendible-hash index on shared files.
 1. Each task normalises its texts (ASCII white space deleted), hashes them, and folds its own copies: one entry per
    distinct text and task, with the text's bytes, its count and its best row. A group of copies of any size so
    leaves at most a few entries per task. Entries and members go to files in the shared folder.
-2. The directory: the leading bits of a 64-bit key. It starts with one bucket; a bucket that holds more than
-   ``bucket_bytes`` splits, and the directory doubles when that bucket's depth passes the directory's. Sizes come from
-   a histogram of 2**MAX_DEPTH cells at most, so the directory is bounded whatever the input.
-3. Owner tasks each take whole buckets, that is key ranges. Sorted by key, entries of one key form a chain; bytes are
-   compared along the chain, so texts whose keys collide stay apart. The index (entry, class, size, best row) is
-   written to the shared folder.
+2. The directory, a file of the shared folder: a cell for each value of a 64-bit key's leading bits, with its bucket and
+   the bucket's depth. It starts at the depth where buckets hold ``bucket_bytes`` on average; buckets above it split by
+   one more bit, and the directory doubles with them. A bucket of one key splits no further, nor does one that is EXTRA
+   bits deeper than the start: it then holds a few very long texts.
+3. Owner tasks each take whole buckets, that is key ranges, TASK_BYTES of them on average. Sorted by key, entries of one
+   key form a chain; bytes are compared along the chain, so texts whose keys collide stay apart. The index (entry,
+   class, size, best row) is written to the shared folder.
 4. Members look up their entry's class.
 
-Null texts count as empty; empty texts are equal to each other. The row with the most code points stays, then the
-smallest doc_id (null last), then the first row read. Repeated rows are rows like others: one of them stays.
+Null texts count as empty; empty texts are equal to each other; texts are read whole, however long. The row with the
+most code points stays, then the smallest doc_id (null last), then the first row read. Repeated rows are rows like
+others: one of them stays. An empty table gives no rows; other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, Batches, row_numbers, text_frame, written
+from .common import SPACE, SPACE_CLASS, Batches, discard, row_numbers, text_frame, written
 
-MAX_DEPTH = 16
+#: Bits by which a bucket may be deeper than the directory's start.
+EXTRA = 8
+#: Directories up to so many cells are broadcast, larger ones joined.
+MOST_BROADCAST = 1 << 20
+TASK_BYTES = 48 << 20
 #: A task's own texts are held up to this size, then given out.
 FOLD_BYTES = 48 << 20
 NO_ID = (1 << 63) - 1
@@ -82,27 +87,32 @@ def _table(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS.values(), strict=True)], names=list(_KINDS))
 
 
-def directory(cells: dict[int, int], bucket_bytes: int) -> list[tuple[int, int, int]]:
-    """Buckets as (first cell, one past the last, depth): split and double until each fits or has one cell.
-
-    cells: bytes of the 2**MAX_DEPTH leading-bit cells that have any.
-    """
-    sizes = np.zeros(1 << MAX_DEPTH, np.int64)
-    for c, v in cells.items():
-        sizes[c] = v
-    sums = np.concatenate([[0], np.cumsum(sizes)])
-    depth = 0  # of the directory
-    done: list[tuple[int, int, int]] = []
-    todo = [(0, 1 << MAX_DEPTH, 0)]
-    while todo:
-        lo, hi, d = todo.pop()
-        if sums[hi] - sums[lo] <= bucket_bytes or d == MAX_DEPTH:
-            done.append((lo, hi, d))
-            continue
-        depth = max(depth, d + 1)
-        mid = (lo + hi) // 2
-        todo += [(lo, mid, d + 1), (mid, hi, d + 1)]
-    return sorted(done)
+def _leading(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def directory(entries: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int, int, int]:
+    """cell, bucket, depth as a written table; the directory's depth, its cells, and the index's bytes. entries: key, bytes."""
+    total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
+    start = max(0, math.ceil(math.log2(max(1, total) / bucket_bytes)))
+    open_, done, depth = entries, [], start
+    while True:
+        own = open_.groupBy(_leading(F.col("key"), depth).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b"))
+        own = written(own.withColumn("over", (F.col("bytes") > bucket_bytes) & (F.col("a") != F.col("b")) & F.lit(depth < min(start + EXTRA, 63))), "dedup-buckets")
+        done.append(own.where("not over").select("prefix", F.lit(depth).alias("depth")))
+        over = own.where("over").select("prefix")
+        if over.isEmpty():
+            break
+        open_ = open_.join(over, _leading(F.col("key"), depth) == F.col("prefix"), "left_semi")
+        depth += 1
+    buckets = done[0]
+    for more in done[1:]:
+        buckets = buckets.unionByName(more)
+    # a bucket of less depth than the directory has several cells; its number is its first cell
+    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    cells = F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - depth)") - 1)
+    table = written(buckets.select(F.explode(cells).alias("cell"), first.alias("bucket"), "depth"), "dedup-directory")
+    return table, depth, table.count(), total
 
 
 def text_sha256(text: Column) -> Column:
@@ -110,10 +120,6 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", "").cast("binary"), 256)
 
 
-def _cell(key: str = "key") -> Column:
-    return F.shiftrightunsigned(F.col(key), 64 - MAX_DEPTH).cast("int")
-
-
 def _chain(batches: Batches) -> Batches:
     """Entries sorted by key come in; their class, its size and its best row go out when the key has ended."""
     key, chain = None, {}
@@ -151,18 +157,18 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     folded = written(frame.mapInArrow(_fold, _FOLDED), "dedup-folded")
     members = folded.where("n is null").select("entry", "doc_id", "uid")
     entries = folded.where("n is not null")
-    cells = entries.groupBy(_cell().alias("cell")).agg(F.sum(F.octet_length("norm") + 64).alias("size")).collect()  # 2**MAX_DEPTH rows at most
-    buckets = directory({r["cell"]: r["size"] for r in cells}, bucket_bytes)
-    owner = np.repeat(np.arange(len(buckets), dtype=np.int32), [hi - lo for lo, hi, _ in buckets])
-    starts = docs.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(1 << MAX_DEPTH, dtype=np.int32), "bucket": owner}))
-    owned = entries.withColumn("cell", _cell()).join(F.broadcast(starts), "cell")
-    owned = owned.repartition("bucket").sortWithinPartitions("bucket", "key")
+    sized = entries.select("key", (F.octet_length("norm") + 64).cast("long").alias("bytes"))
+    cells, depth, n_cells, total = directory(sized, bucket_bytes)
+    owned = entries.join(F.broadcast(cells) if n_cells <= MOST_BROADCAST else cells, _leading(F.col("key"), depth) == F.col("cell"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    owned = owned.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
     index = written(
         owned.select("key", "norm", "entry", "doc_id", "chars", "uid", "n", "sha").mapInArrow(
             _chain, "entry long, keep_id long, keep_uid long, group_size long, text_sha256 string"
         ),
         "dedup-index",
     )
+    discard(cells)
     found = members.join(index, "entry")
     return found.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
 

@@ -34,15 +34,26 @@ def test_many_small_buckets(odd):
     assert got(exact_dedup.exact_dedup(odd.repartition(5), bucket_bytes=200).collect()) == brute(rows)
 
 
-def test_directory_splits_and_doubles():
-    cells = {c: 10 for c in range(0, 1 << exact_dedup.MAX_DEPTH, 64)}
-    cells[3] = 10_000
-    parts = exact_dedup.directory(cells, 500)
-    assert parts[0][0] == 0 and parts[-1][1] == 1 << exact_dedup.MAX_DEPTH
-    assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
-    for lo, hi, depth in parts:
-        assert hi - lo == 1 << (exact_dedup.MAX_DEPTH - depth)
-        assert depth == exact_dedup.MAX_DEPTH or sum(n for c, n in cells.items() if lo <= c < hi) <= 500
+def test_directory_splits_and_doubles(spark):
+    top = lambda x, bits: (x % (1 << 64)) >> (64 - bits) if bits else 0
+    keys = [((i * 0x9E3779B97F4A7C15) % (1 << 64)) for i in range(1000)] + [5 << 40 | i for i in range(300)] + [7] * 50
+    entries = spark.createDataFrame([(k - (1 << 64) if k >= 1 << 63 else k, 100) for k in keys], "key long, bytes long")
+    cells, depth, n, total = exact_dedup.directory(entries, 20_000)
+    rows = {r["cell"]: (r["bucket"], r["depth"]) for r in cells.collect()}
+    assert total == 100 * len(keys) and 3 < depth <= 3 + exact_dedup.EXTRA and n == len(rows)
+    size = {}
+    for k in keys:
+        bucket, d = rows[top(k, depth)]
+        assert bucket == top(k, d) << (depth - d)
+        size[bucket, d] = size.get((bucket, d), 0) + 100
+    assert all(v <= 20_000 or d == 3 + exact_dedup.EXTRA for (_, d), v in size.items())
+    assert len({d for _, d in size}) > 1  # some buckets are deeper than others
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "x" * 3_000_000), (2, "x" * 3_000_000 + "\n"), (3, "y z" * 1_000_000), (4, " " * 2_000_000), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(exact_dedup.exact_dedup(docs, bucket_bytes=1000).collect()) == brute(rows)
 
 
 def test_collisions_are_told_apart_by_bytes():
