@@ -54,7 +54,7 @@ SAMPLE = 400
 CELLS = 1 << 19
 
 #: Members that a leader's set is compared with in one run.
-SIDE = 256
+SIDE = 64
 
 _rng = np.random.default_rng(20_240_601)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)

@@ -2,13 +2,17 @@
 
 Method: character language-model ratio. URLs that the rules allow and block train two smoothed variable-order Markov
 models over characters; any other URL is judged by the difference of its log-likelihoods per character, against a
-threshold calibrated on the training URLs.
+threshold calibrated on URLs that the rules decide too, and that training has not seen: those whose hash modulo 5 is 0.
 
 Characters are folded to a fixed alphabet (SIGNS, everything else as ~, a start sign), so a model has at most
-(len(SIGNS) + 2) ** ORDER n-grams whatever the input: that bounds what is broadcast.
+(len(SIGNS) + 2) ** ORDER n-grams whatever the input. It is broadcast up to MOST_BROADCAST of them; a larger one is joined
+by a shuffle, in which every n-gram's characters are dealt to SALTS tasks.
 
 Null URLs and those without :// have an empty host and path, no rule, and are judged like others (null: as an empty
-URL). Repeated rows give repeated results. If the rules allow or block nothing, all other URLs are allowed.
+URL). Very long URLs cost in proportion to their length. Repeated rows give repeated results; a URL of many pages is
+judged once. A score equal to the threshold is allowed; of rules of equal length none fit together. If the rules allow or
+block nothing, all other URLs are allowed; if calibration lacks a class, training URLs calibrate. An empty table gives
+no rows; other columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, join_hubs, written
 
 SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789./:?=&_-#%"
 ORDER = 4
+MOST_BROADCAST, SALTS = 1_000_000, 16
+#: The share of each class that may lie on the wrong side of its edge.
+EDGE = 0.02
+#: The rules of the contract.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,10 +59,11 @@ def folded(url: Column) -> Column:
 
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     """One row for each character: the ORDER-gram that ends with it."""
-    at = F.sequence(F.lit(1), F.length("folded") - (ORDER - 1))
-    at = F.when(F.length("folded") >= ORDER, at).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(at, lambda i: F.substring(F.col("folded"), i, F.lit(ORDER)))
-    return urls.select(*keep, F.explode(grams).alias("gram"))
+    signs = urls.select(*keep, F.regexp_extract_all("folded", F.lit("(?s)."), F.lit(0)).alias("signs"))
+    at = F.when(F.size("signs") >= ORDER, F.sequence(F.lit(1), F.size("signs") - (ORDER - 1))).otherwise(F.array().cast("array<int>"))
+    # each character by its place in the array, and no array beside the exploded rows: linear in the length
+    grams = F.transform(at, lambda i: F.concat(*[F.element_at("signs", i + k) for k in range(ORDER)]))
+    return signs.select(*keep, F.explode(grams).alias("gram"))
 
 
 def model(labelled: DataFrame, strength: float = 2.0) -> DataFrame:
@@ -72,7 +81,7 @@ def model(labelled: DataFrame, strength: float = 2.0) -> DataFrame:
         context = F.substring("gram", ORDER - k, k) if k else F.lit("")
         for keys, name in ((own, "n"), (context, "all")):
             sums = wide.groupBy(keys.alias("key")).agg(F.sum("allow").alias(f"allow_{name}{k}"), F.sum("block").alias(f"block_{name}{k}"))
-            out = out.join(F.broadcast(sums), keys == sums["key"]).drop("key")
+            out = out.join(sums, keys == sums["key"]).drop("key")  # Spark broadcasts those that are small
     for c in ("allow", "block"):
         p: Column = F.lit(1.0 / (len(SIGNS) + 1))
         for k in range(ORDER):
@@ -86,20 +95,30 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = written(split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), folded(F.col("url")).alias("folded")), "urls-ruled")
+    judged = written(split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), folded(F.col("url")).alias("folded")).withColumn("key", F.md5(F.col("folded").cast("binary"))), "urls-ruled")
+    known = judged.where("ruled is not null").withColumn("calibrates", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(5)) == 0)
     # equal URLs train as often as they come; the counts are of characters, whatever the number of rows
-    ratios = written(model(judged.where("ruled is not null").select("folded", F.col("ruled").alias("verdict"))), "urls-model")
-    distinct = judged.groupBy("folded").agg(F.max("ruled").alias("ruled"))
-    scored = _grams(distinct, "folded", "ruled").join(F.broadcast(ratios), "gram", "left")
+    ratios = written(model(known.where("not calibrates").select("folded", F.col("ruled").alias("verdict"))), "urls-model")
+    # from here on a URL is its digest, so that its characters don't carry it along
+    distinct = judged.groupBy("key").agg(F.max("ruled").alias("ruled"), F.max("folded").alias("folded"))
+    grams = _grams(distinct, "key", "ruled")
+    if ratios.count() <= MOST_BROADCAST:
+        scored = grams.join(F.broadcast(ratios), "gram", "left")
+    else:
+        salts = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = grams.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salts, ["gram", "salt"], "left")
     # characters that neither model has seen in any context say nothing
-    scored = scored.groupBy("folded", "ruled").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
+    scored = scored.groupBy("key", "ruled").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
     scored = written(scored, "urls-scores")
-    edge = F.when(F.col("ruled") == "allow", F.percentile_approx("score", 0.02, 10_000)).otherwise(F.percentile_approx("score", 0.98, 10_000))
-    sides = scored.where("ruled is not null").groupBy("ruled").agg(edge.alias("edge")).collect()  # two rows
-    # midway between the lowest scores of accepted training URLs and the highest of rejected ones, but for 2 % of each
-    threshold = sum(r["edge"] for r in sides) / 2 if len(sides) == 2 else float("-inf")
+    discard(ratios)
+    decided = scored.where("ruled is not null").withColumn("calibrates", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(5)) == 0)
+    edge = F.when(F.col("ruled") == "allow", F.percentile_approx("score", EDGE, 10_000)).otherwise(F.percentile_approx("score", 1 - EDGE, 10_000))
+    sides = {(r["calibrates"], r["ruled"]): r["edge"] for r in decided.groupBy("calibrates", "ruled").agg(edge.alias("edge")).collect()}  # four rows
+    by = [[sides[c, v] for v in ("allow", "block") if (c, v) in sides] for c in (True, False)]
+    # midway between the lowest scores of accepted URLs and the highest of rejected ones, but for EDGE of each
+    threshold = next((sum(x) / 2 for x in by if len(x) == 2), float("-inf"))
     open_score = F.when(F.col("ruled").isNull(), F.coalesce("score", F.lit(0.0)))
-    out = judged.join(scored.groupBy("folded").agg(F.max("score").alias("score")), "folded", "left")
+    out = join_hubs(judged, scored.groupBy("key").agg(F.max("score").alias("score")), "key", "left")
     return out.select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(open_score >= F.lit(threshold), "allow").otherwise("block")).alias("verdict"),

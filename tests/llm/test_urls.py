@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import zlib
+from hashlib import md5
 
 from evigraph.llm import queries, urls
 
@@ -75,6 +77,56 @@ def test_markov_ratio_matches_brute_force(spark):
         assert abs(r - (p("allow", gram) - p("block", gram))) < 1e-9, gram
 
 
+def test_calibrated_verdicts_match_brute_force(spark, small):
+    """Models, scores, threshold and verdicts of a whole table, character by character."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    rows = [(r["page_id"], r["url"]) for r in pages.collect()]
+    fold = lambda u: "^" * (urls.ORDER - 1) + "".join(c if c in urls.SIGNS else "~" for c in lower(u or ""))
+    calibrates = lambda f: zlib.crc32(md5(f.encode()).hexdigest().encode()) % 5 == 0
+    n, score, ruled = {}, {}, {}
+    for _, u in rows:
+        f, verdict = fold(u), brute(u)[3]
+        ruled[f] = max(filter(None, (verdict, ruled.get(f))), default=None)
+        if verdict and not calibrates(f):
+            for i in range(urls.ORDER - 1, len(f)):
+                for k in range(urls.ORDER):
+                    for key in ((verdict, f[i - k : i + 1]), (verdict, k, f[i - k : i])):
+                        n[key] = n.get(key, 0) + 1
+
+    def p(verdict, gram):
+        out = 1 / (len(urls.SIGNS) + 1)
+        for k in range(urls.ORDER):
+            own = gram[urls.ORDER - 1 - k :]
+            out = (n.get((verdict, own), 0) + 2.0 * out) / (n.get((verdict, k, own[:-1]), 0) + 2.0)
+        return math.log(out)
+
+    for f in ruled:
+        grams = [f[i : i + urls.ORDER] for i in range(len(f) - urls.ORDER + 1)]
+        seen = [g for g in grams if ("allow", g) in n or ("block", g) in n]
+        score[f] = sum(p("allow", g) - p("block", g) for g in seen) / len(grams) if grams else 0.0
+    side = {v: sorted(score[f] for f in ruled if ruled[f] == v and calibrates(f)) for v in ("allow", "block")}
+    low = side["allow"][max(0, math.ceil(urls.EDGE * len(side["allow"])) - 1)]
+    high = side["block"][max(0, math.ceil((1 - urls.EDGE) * len(side["block"])) - 1)]
+    threshold = (low + high) / 2
+    got = {r["page_id"]: r for r in urls.url_filter(pages).collect()}
+    for i, u in rows:
+        verdict = brute(u)[3]
+        if verdict is None:
+            assert abs(got[i]["score"] - score[fold(u)]) < 1e-9
+            verdict = "allow" if score[fold(u)] >= threshold else "block"
+        assert got[i]["verdict"] == verdict, u
+
+
+def test_long_urls_and_one_url_on_many_pages(spark, monkeypatch):
+    rows = [(i, "http://a.net/same") for i in range(2000)] + [(3000, None)] * 500 + [(4000, "http://b.net/" + "p/" * 500_000), (4001, "http://c.org/" + "q" * 300_000), (4002, "http://d.com/de/" + "r" * 1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    first = sorted(map(tuple, urls.url_filter(pages).collect()), key=str)
+    assert len(first) == len(rows) and len({r[4] for r in first if r[0] is not None and r[0] < 2000}) == 1
+    monkeypatch.setattr(urls, "MOST_BROADCAST", 0)
+    second = sorted(map(tuple, urls.url_filter(pages).collect()), key=str)
+    assert [r[:5] for r in second] == [r[:5] for r in first]
+
+
 def test_model_tells_the_classes_apart(spark):
     rng = random.Random(4)
     good = lambda: "http://site.net/wiki/" + "".join(rng.choices("aeioulmn", k=10))
