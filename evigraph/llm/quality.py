@@ -1,14 +1,15 @@
 """Quality classifier (operator 7).
 
-Method: naive Bayes support vectors. Indicators of n-grams over word shapes (with the n-gram's share of the text, in
-powers of two, as part of the indicator) are scaled by the class log-count ratios of the training rows; a linear
-hinge-loss model over them is fitted by dual coordinate descent, and its margin is turned into a probability on rows
-that the fit has not seen.
+Method: naive Bayes support vectors. Indicators of n-grams - words and pairs of words, characters inside words, and word
+shapes with the n-gram's share of the text in powers of two - are scaled by the class log-count ratios of the training
+rows; a linear hinge-loss model over them is fitted by dual coordinate descent, and its margin is turned into a
+probability on rows that the fit has not seen. Indicators are hashed to SIZE numbers.
 
 Labels come only from rows that are not held out, at most ``max_labelled`` of them (those with the smallest hashes of
-their doc_id); every text is scored whole. Null and empty texts have no n-grams and score by the bias. Repeated rows
-score alike; a doc_id with several labels trains on its largest. If the labels have one class or none, every score is
-that class's share (0.5 for none).
+their doc_id); every text, however long, is scored whole. Null and empty texts have no n-grams and score by the bias.
+Repeated rows score alike; a doc_id with several labels trains on its largest, one with several texts on the smallest. A
+score equal to the threshold is good. If the labels have one class or none, every score is that class's share (0.5 for
+none). An empty table gives no rows; other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Batches, WordHashes, held_out, mix, small_batches, text_frame, window_hashes
 from .linear import Sparse, hinge_dual, log_count_ratios, sigmoid_fit
 
-SIZE = 1 << 16
+SIZE = 1 << 18
 MAX_LABELLED = 12_000
 LENGTHS = (1, 2, 3)
 _RUNS = re.compile(rb"(.)\1+", re.S)
@@ -36,12 +37,30 @@ class _Shapes(WordHashes):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        shape = _RUNS.sub(rb"\1", word.translate(_KIND).replace(b"u", b"a"))[:12]
+        shape = _RUNS.sub(rb"\1", word.translate(_KIND).replace(b"u", b"a"))
         self[word] = h = _plain[shape]
         return h
 
 
 _plain, _shapes = WordHashes(), _Shapes()
+CHARACTERS = 3
+
+
+class _Characters(dict):
+    """Word -> numbers of its character n-grams, with its ends; bounded."""
+
+    def __missing__(self, word: bytes) -> np.ndarray:
+        if len(self) >= 100_000:
+            self.clear()
+        b = np.frombuffer(b"^" + word.lower() + b"$", np.uint8).astype(np.uint64)
+        h = np.zeros(max(1, len(b) - CHARACTERS + 1), np.uint64)
+        for k in range(min(CHARACTERS, len(b))):
+            h = h * np.uint64(257) + b[k : k + len(h)]
+        self[word] = x = (mix(h + np.uint64(1 << 40)) % np.uint64(SIZE)).astype(np.int64)
+        return x
+
+
+_characters = _Characters()
 
 
 def features(text: bytes) -> np.ndarray:
@@ -68,7 +87,9 @@ def features(text: bytes) -> np.ndarray:
         share = np.floor(np.log2(counts / max(1, len(s))) + 1e-9).astype(np.int64)
         own = mix(grams + np.uint64(k * 7919 + 13))
         out += [own, mix(own + share.astype(np.uint64))]
-    return np.unique((np.concatenate(out) % np.uint64(SIZE)).astype(np.int64))
+    out += [mix(word + np.uint64(3)), mix(window_hashes(word, 2) + np.uint64(5))]
+    cells = (np.concatenate(out) % np.uint64(SIZE)).astype(np.int64)
+    return np.unique(np.concatenate([cells, *map(_characters.__getitem__, set(words))]))
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, most: int, extract) -> tuple[list[np.ndarray], np.ndarray]:
@@ -78,14 +99,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, most: int,
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(most)
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    own = own.join(F.broadcast(rows), "_id").select("_id", "_y", "text")
+    own = own.join(F.broadcast(rows), "_id").groupBy("_id", "_y").agg(F.min("text").alias("text"))
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             x = [extract(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(x, pa.binary())], names=["_id", "_y", "x"])
 
-    got = own.mapInArrow(run, "_id long, _y int, x binary").dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    got = own.mapInArrow(run, "_id long, _y int, x binary").toPandas().sort_values("_id")
     return [np.frombuffer(bytes(x), np.int32).astype(np.int64) for x in got["x"]], got["_y"].to_numpy().astype(float)
 
 

@@ -168,7 +168,8 @@ class LabelModel:
         self.parent = [-1] * patterns.shape[1]
         known = clean.sum() + toxic.sum()
         open_ = unlabelled * (min(1.0, known / max(1.0, unlabelled.sum())) if known else 1.0)
-        guess = np.where((patterns == 1).sum(1) >= 2, 0.9, 0.02)
+        pro, con = (patterns == 1).sum(1), (patterns == 0).sum(1)
+        guess = np.where((pro >= 2) & (pro > con), 0.9, 0.02)
         p = (toxic + 2 * guess) / (toxic + clean + 2)
         p = self._run(patterns, open_, clean, toxic, p, rounds)
         self._correlate(patterns, open_ * p + toxic, open_ * (1 - p) + clean)

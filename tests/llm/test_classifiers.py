@@ -73,7 +73,7 @@ def label_model(votes, y, labelled):
 
 
 def test_label_model_finds_accuracies():
-    for share in (0.1, 0.0):
+    for share in (0.1, 0.3):
         votes, y, labelled = ballots(share)
         model, at = label_model(votes, y, labelled)
         majority = votes[:, :4].sum(1) >= 3
@@ -118,3 +118,67 @@ def test_hinge_dual_separates():
     scale = np.abs(linear.log_count_ratios(x, 4, (y > 0).astype(float))) + 0.1
     w, bias = linear.hinge_dual(x, scale, y, np.ones(len(y)))
     assert all(np.sign(w[r] @ scale[r] + bias) == t for r, t in zip(rows, y, strict=True))
+
+
+def test_hinge_dual_against_a_plain_descent():
+    """The dual's optimum: no row's variable can improve the dual objective by itself."""
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    scale, cost = rng.random(30) + 0.2, np.full(60, 0.7)
+    w, bias = linear.hinge_dual(linear.Sparse(rows), scale, y, cost, rounds=400)
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.linalg.norm(scale[r])
+    x[:, 30] = 1
+    full = np.append(w, bias)
+    primal = 0.5 * full @ full + (cost * np.maximum(0, 1 - y * (x @ full))).sum()
+    best, step = np.zeros(31), 0.02
+    least = primal
+    for k in range(20_000):
+        margin = y * (x @ best)
+        best -= step / (1 + k / 500) * (best - ((cost * y)[:, None] * x)[margin < 1].sum(0))
+        least = min(least, 0.5 * best @ best + (cost * np.maximum(0, 1 - y * (x @ best))).sum())
+    assert primal <= least * 1.01
+
+
+def test_quality_scores_against_plain_sums(spark, tiny):
+    """Features by sets of strings, ratios by counts and scores by sums over them equal the model's."""
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    model, ratios = quality.fit(*quality.labelled_features(docs, labels, "quality", 500, quality.features))
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, 500).collect()}
+    for r in docs.collect():
+        x = quality.features((r["text"] or "").encode())
+        dot = length = 0.0
+        for i in x.tolist():
+            dot += model.w[i] * ratios[i]
+            length += ratios[i] ** 2
+        z = model.a * (dot / max(1e-9, length**0.5) + model.bias) + model.b
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+    own = labels.join(docs, "doc_id").where("crc32(cast(doc_id as string)) % 5 != 0 and quality is not null").collect()
+    counts = {0: {}, 1: {}}
+    for k, r in enumerate(sorted(own, key=lambda r: r["doc_id"])):
+        if k % 5:
+            for i in quality.features((r["text"] or "").encode()).tolist():
+                counts[r["quality"]][i] = counts[r["quality"]].get(i, 0) + 1
+    total = {c: sum(n.values()) + quality.SIZE for c, n in counts.items()}
+    for i in list(counts[1])[:500]:
+        want = np.log((1 + counts[1][i]) / total[1] / ((1 + counts[0].get(i, 0)) / total[0]))
+        assert ratios[i] == pytest.approx(want)
+
+
+def test_repeated_ids_with_several_texts_train_alike(spark, tiny):
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.unionByName(docs.withColumn("text", docs["text"].substr(1, 200)))
+    for module in (toxicity, quality):
+        a, b = (sorted((r["doc_id"], r["score"]) for r in module.classify(d, labels).collect()) for d in (twice, twice.repartition(5)))
+        assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])
+
+
+def test_very_long_texts(spark, tiny):
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    long = spark.createDataFrame([(10**6, "word you idiot " * 150_000), (10**6 + 1, "x" * 2_000_000), (10**6 + 2, " " * 2_000_000)], "doc_id long, text string")
+    for module in (toxicity, quality):
+        rows = module.classify(docs.unionByName(long), labels).where("doc_id >= 1000000").collect()
+        assert len(rows) == 3 and all(0 <= r["score"] <= 1 for r in rows)

@@ -21,6 +21,32 @@ def brute(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), n < 50 or 100 * len(inside) > 50 * n
 
 
+def covers(text):
+    """Characters of words in repeated windows by length, and of words in repeated lines."""
+    words = WORD.findall(text or "")
+    out = []
+    for n in repetition.COVER_LIMITS:
+        windows = {}
+        for i in range(len(words) - n + 1):
+            windows.setdefault(tuple(words[i : i + n]), []).append(i)
+        inside = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(n)}
+        out.append(sum(len(words[i]) for i in inside))
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if line in seen:
+            lines += sum(map(len, WORD.findall(line)))
+        elif WORD.search(line):
+            seen.add(line)
+    return lines, *out
+
+
+def same_verdict(r, text):
+    lines, *own = covers(text)
+    assert (r["dup_line_chars"], *(r[f"dup_{n}gram_chars"] for n in repetition.COVER_LIMITS)) == (lines, *own)
+    within = all(100 * c <= limit * r["word_chars"] for c, limit in zip(own, repetition.COVER_LIMITS.values(), strict=True))
+    assert r["kept"] == (not r["base_failed"] and within and 100 * lines <= repetition.LINE_LIMIT * r["word_chars"])
+
+
 def base(r):
     return r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]
 
@@ -29,6 +55,7 @@ def test_odd_texts(odd):
     for r, d in zip(repetition.repetition(odd).collect(), odd.collect(), strict=True):
         assert base(r) == brute(d["text"])
         assert not (r["base_failed"] and r["kept"])
+        same_verdict(r, d["text"])
 
 
 def test_query_on_whole_table(spark, small):
@@ -36,6 +63,8 @@ def test_query_on_whole_table(spark, small):
     got = queries.op3_repetition(spark, small).collect()
     assert len(got) == len(texts)
     assert all(base(r) == brute(texts[r["doc_id"]]) for r in got)
+    for r in got:
+        same_verdict(r, texts[r["doc_id"]])
     fine = [r for r in got if not r["base_failed"]]
     assert sum(r["kept"] for r in fine) > 0.9 * len(fine)
 
