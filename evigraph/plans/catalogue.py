@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -418,27 +417,3 @@ def quote_word_budget(s: SparkSession, d: str) -> DataFrame:
 def funding_shares(s: SparkSession, d: str) -> DataFrame:
     cents = F.sum(F.round(F.col("total_cost") * 100).cast("long")).alias("cents")
     return claims.shares(testdata.awards(s, d).groupBy("institute").agg(cents), "institute", "cents")
-
-
-#: Queries on line items as source records: those in proportion to the rows, and those on pairs.
-LINEAR = (
-    "live_edges", "supported_edges", "graph_view_types", "semantic_edge_merge", "edge_evidence_nested_counts", "edges_without_evidence", "node_degree_centrality", "link_sets",
-    "membership_propagation", "bridge_flag_edges", "qualifiers_for_target", "communities_with_parent", "assets_for_disease", "funding_money_by_condition", "funding_gaps", "duplicate_signals",
-    "ranked_clusters", "mechanism_index", "investigators_ranked", "evidence_by_source", "coverage_counts", "coverage_report", "contract_violations", "dangling_endpoints", "visible_edges_by_role",
-    "visible_evidence_counts", "cache_rows_visible", "review_queue", "candidates_in_context", "two_hop_neighbourhood",
-)
-PAIRS = (
-    "shared_mechanism_pairs", "shared_investigator_pairs", "bridge_jaccard", "inferred_links_per_mechanism", "inferred_links_per_person", "cluster_weights", "connections_ranked", "explain_path", "routes",
-)
-
-
-def _over_all_rows(f: Query) -> Query:
-    @wraps(f)
-    def run(s: SparkSession, d: str) -> DataFrame:
-        with testdata.all_rows():
-            return f(s, d)
-
-    return run
-
-
-QUERIES |= {f"{name}_all_rows": _over_all_rows(QUERIES[name]) for name in (*LINEAR, *PAIRS)}

@@ -9,7 +9,7 @@ with recursive rec as (
     case l_linestatus when 'F' then 'verified' else 'unverified' end as status,
     case when l_linenumber <= 3 then 'A' when l_linenumber <= 5 then 'B' when l_linenumber = 6 then 'C' else 'D' end as tier,
     l_linenumber as line, l_quantity as quantity, l_shipdate::date as retrieved_at
-  from lineitem where l_quantity >= 45
+  from lineitem
 ), m_rows as (
   select disease as src, mechanism as dst, stance, max(status) as status, min(tier) as tier, count(*) as n_records from rec group by all
 ), i_rows as (
@@ -237,12 +237,3 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
           coalesce(sum(cents) over (order by cents desc, institute rows between unbounded preceding and 1 preceding), 0)::bigint / (sum(cents) over ())::double as "offset" from c)
         select *, case when share < 0.01 then '<1%' else floor(share * 100 + 0.5)::bigint || '%' end as label from s""",
 }
-
-#: The same over every line item, for the queries that are not on pairs.
-_PAIRS = {"shared_mechanism_pairs", "shared_investigator_pairs", "bridge_jaccard", "inferred_links_per_mechanism", "inferred_links_per_person", "cluster_weights", "connections_ranked", "explain_path", "routes"}
-_NO_RECORDS = {"shared_phenotypes_informative", "funding_groups", "funding_top_other"}
-ORACLE_SQL |= {
-    f"{name}_all_rows": sql.replace(" from lineitem where l_quantity >= 45", " from lineitem", 1)
-    for name, sql in ORACLE_SQL.items()
-    if sql.startswith(GRAPH) and name not in _PAIRS | _NO_RECORDS
-}

@@ -1,24 +1,15 @@
 """The driver's star-schema tables seen as an evidence graph.
 
 Parts are diseases, suppliers mechanisms, customers investigators, orders awards, brands genes, part types phenotypes,
-nations patient groups, regions clusters. Line items are the source records: those of the same (source, target, stance)
-become one edge, and each stays as evidence. Line items of few pieces are left out before grouping (the guard), except
-within all_rows().
+nations patient groups, regions clusters. Line items are the source records, all of them: those of the same (source,
+target, stance) become one edge, and each stays as evidence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GUARD = 45
-_guarded: ContextVar[bool] = ContextVar("guarded", default=True)
-_TIERS = {1: "A", 2: "A", 3: "A", 4: "B", 5: "B", 6: "C", 7: "D"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,21 +19,9 @@ def _id(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-@contextmanager
-def all_rows() -> Iterator[None]:
-    """Tables made within have every line item."""
-    token = _guarded.set(False)
-    try:
-        yield
-    finally:
-        _guarded.reset(token)
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source records: disease, mechanism, order, stance, status, tier, and the evidence columns."""
     rows = table(spark, sf_dir, "lineitem")
-    if _guarded.get():
-        rows = rows.where(F.col("l_quantity") >= GUARD)
     stance = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "contradicts").otherwise("neutral")
     tier = F.when(F.col("l_linenumber") <= 3, "A").when(F.col("l_linenumber") <= 5, "B").when(F.col("l_linenumber") == 6, "C").otherwise("D")
     return rows.select(
