@@ -5,24 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .links import links, shared_pairs, supported
+from .links import live, supported
 
 
 def informative(phenotypes: DataFrame) -> DataFrame:
     """phenotype, n_diseases, total, informative: few enough diseases have it to say something."""
+    phenotypes = phenotypes.where(live())
     total = phenotypes.select("src").distinct().agg(F.count("*").alias("total"))
     counts = phenotypes.where("stance = 'supports'").groupBy(F.col("dst").alias("phenotype")).agg(F.countDistinct("src").alias("n_diseases"))
     most = F.greatest(F.lit(1), F.floor(F.col("total") / 3))
     return counts.crossJoin(F.broadcast(total)).select("phenotype", "n_diseases", "total", (F.col("n_diseases") <= most).alias("informative"))  # one row
 
 
-def qualifiers(mechanism_edges: DataFrame) -> DataFrame:
-    """disease, mechanism, n_supporting: mechanisms that an edge of the disease contradicts and other diseases support."""
-    against = mechanism_edges.where("stance = 'contradicts' and status != 'rejected'").select(F.col("src").alias("disease"), F.col("dst").alias("mechanism")).distinct()
-    support = links(mechanism_edges, "src", "dst", "usable").groupBy(F.col("target").alias("mechanism")).agg(F.count("*").alias("all"))
-    own = links(mechanism_edges, "src", "dst", "usable").select("disease", F.col("target").alias("mechanism"), F.lit(1).alias("own"))
-    out = against.join(support, "mechanism").join(own, ["disease", "mechanism"], "left")
-    return out.select("disease", "mechanism", (F.col("all") - F.coalesce("own", F.lit(0))).alias("n_supporting")).where("n_supporting > 0")
+def members(focus: DataFrame, parents: DataFrame) -> DataFrame:
+    """focus, member: each focus (id) and its children."""
+    up = parents.where(supported("usable"))
+    own = focus.select(F.col("id").alias("focus"), F.col("id").alias("member"))
+    return own.unionByName(up.join(focus.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("focus"), F.col("src").alias("member"))).distinct()
+
+
+def family(focus: DataFrame, parents: DataFrame) -> DataFrame:
+    """focus, candidate: each focus itself, its children and its parents."""
+    up = parents.where(supported("usable"))
+    above = up.join(focus.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("focus"), F.col("dst").alias("candidate"))
+    return members(focus, parents).withColumnRenamed("member", "candidate").unionByName(above).distinct()
+
+
+def qualifiers(focus: DataFrame, mechanisms: DataFrame, parents: DataFrame) -> DataFrame:
+    """focus, candidate, edge_id, side: contradicting edges that limit a link between the two.
+
+    side target: the candidate, or its parent, contradicts a mechanism that the focus or its children support. side own:
+    the focus or its children contradict one that the candidate supports. Rejected edges say nothing.
+    """
+    mine = members(focus, parents)
+    support = mechanisms.where(supported("usable")).select(F.col("src").alias("disease"), F.col("dst").alias("mechanism")).distinct()
+    against = mechanisms.where((F.col("stance") == "contradicts") & live()).select(F.col("src").alias("disease"), F.col("dst").alias("mechanism"), F.col("id").alias("edge_id"))
+    held = mine.join(support.withColumnRenamed("disease", "member"), "member").select("focus", "mechanism").distinct()
+    facing = held.join(against, "mechanism").select("focus", "disease", "edge_id")
+    up = parents.where(supported("usable")).select(F.col("src").alias("candidate"), F.col("dst").alias("disease"))
+    target = facing.withColumnRenamed("disease", "candidate").unionByName(facing.join(up, "disease").select("focus", "candidate", "edge_id")).distinct()
+    own = mine.join(against.withColumnRenamed("disease", "member"), "member").join(support, "mechanism").select("focus", F.col("disease").alias("candidate"), "edge_id").distinct()
+    out = target.withColumn("side", F.lit("target")).unionByName(own.withColumn("side", F.lit("own")))
+    return out.join(family(focus, parents), ["focus", "candidate"], "left_anti")
+
+
+def shared_phenotypes(focus: DataFrame, phenotypes: DataFrame) -> DataFrame:
+    """focus, candidate, phenotype, n_diseases, informative: what each focus and another disease both have. Linear in the diseases for each focus."""
+    has = phenotypes.where(supported("usable")).select(F.col("src").alias("candidate"), F.col("dst").alias("phenotype")).distinct()
+    mine = has.join(focus.select(F.col("id").alias("candidate")), "candidate", "left_semi").withColumnRenamed("candidate", "focus")
+    return mine.join(has, "phenotype").where("focus != candidate").join(informative(phenotypes).drop("total"), "phenotype")
 
 
 def communities(group_edges: DataFrame, parents: DataFrame) -> DataFrame:
@@ -34,39 +65,95 @@ def communities(group_edges: DataFrame, parents: DataFrame) -> DataFrame:
     return own.withColumn("via_parent", F.lit(False)).unionByName(via.withColumn("via_parent", F.lit(True)))
 
 
-def connections(mechanisms: DataFrame, investigators: DataFrame, parents: DataFrame, contradicted: DataFrame) -> DataFrame:
-    """focus, candidate, kind, n_shared, supported, n_qualifiers, rank: every focus's candidates outside its family that share
-    a mechanism or an investigator with it; those that share phenotypes only, or links of its children, are not built.
+def _ways(focus: DataFrame, edges: DataFrame, parents: DataFrame, disease: str, target: str) -> DataFrame:
+    """focus, candidate, best (via, member, supported, edge_a, edge_b): the first inferred link of a focus or its children with each disease outside its family."""
+    use = edges.where(supported("usable")).select(F.col(disease).alias("candidate"), F.col(target).alias("via"), F.col("id").alias("edge"), (F.col("tier") != "C").alias("observed"))
+    mine = members(focus, parents).join(use.withColumnRenamed("candidate", "member"), "member")
+    mine = mine.select("focus", "member", "via", F.col("edge").alias("edge_a"), F.col("observed").alias("observed_a"))
+    pairs = mine.join(use, "via").where("member != candidate").select("focus", "member", "candidate", "via", "edge_a", F.col("edge").alias("edge_b"), (F.col("observed_a") & F.col("observed")).alias("supported"))
+    known = parents.select(F.col("src").alias("member"), F.col("dst").alias("candidate"))
+    known = known.unionByName(parents.select(F.col("dst").alias("member"), F.col("src").alias("candidate")))
+    pairs = pairs.join(known, ["member", "candidate"], "left_anti").join(family(focus, parents), ["focus", "candidate"], "left_anti")
+    return pairs.groupBy("focus", "candidate").agg(F.min(F.struct("via", "member", "supported", "edge_a", "edge_b")).alias("best"))
+
 
-    kind: mechanism before investigator. supported: some shared target is verified on both sides. Ranked by kind, supported
-    first, fewest qualifiers, most shared, then id.
+def connections(focus: DataFrame, mechanisms: DataFrame, investigators: DataFrame, phenotypes: DataFrame, parents: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """focus, candidate, name, kind, via, supported, n_phenotypes, n_qualifiers, n_communities, reason, edge_a, edge_b: each focus against all diseases.
+
+    kind: mechanism if the focus or its children share one with the candidate, else investigator, else phenotype (the
+    focus's own). supported: both edges of a shared mechanism are observed; an investigator or a phenotype supports nothing.
+    """
+    mech = _ways(focus, mechanisms, parents, "src", "dst").select("focus", "candidate", F.struct(F.lit(0).alias("order"), F.lit("mechanism").alias("kind"), "best.*").alias("w"))
+    inv = _ways(focus, investigators, parents, "dst", "src").withColumn("best", F.col("best").withField("supported", F.lit(False)))
+    inv = inv.select("focus", "candidate", F.struct(F.lit(1).alias("order"), F.lit("investigator").alias("kind"), "best.*").alias("w"))
+    shared = shared_phenotypes(focus, phenotypes).join(family(focus, parents), ["focus", "candidate"], "left_anti").groupBy("focus", "candidate").agg(F.count("*").alias("n_phenotypes"))
+    none = F.lit(None).cast("string")
+    phen = shared.select("focus", "candidate", F.struct(F.lit(2).alias("order"), F.lit("phenotype").alias("kind"), none.alias("via"), none.alias("member"), F.lit(False).alias("supported"), none.alias("edge_a"), none.alias("edge_b")).alias("w"))
+    first = mech.unionByName(inv).unionByName(phen).groupBy("focus", "candidate").agg(F.min("w").alias("w"))
+    limits = qualifiers(focus, mechanisms, parents).groupBy("focus", "candidate").agg(F.count("*").alias("n_qualifiers"))
+    own = communities(groups, parents).groupBy(F.col("disease").alias("candidate")).agg(F.count("*").alias("n_communities"))
+    names = nodes.select("id", "name")
+    out = first.join(shared, ["focus", "candidate"], "left").join(limits, ["focus", "candidate"], "left").join(own, "candidate", "left")
+    out = out.join(names.withColumnRenamed("id", "candidate"), "candidate").join(names.select(F.col("id").alias("_via"), F.col("name").alias("via_name")), F.col("w.via") == F.col("_via"), "left")
+    n = F.coalesce("n_phenotypes", F.lit(0))
+    several = F.when(n == 1, "").otherwise("s")
+    reason = (
+        F.when(F.col("w.kind") == "mechanism", F.concat(F.lit("Both have cited evidence for "), F.lower("via_name"), F.lit(".")))
+        .when(F.col("w.kind") == "investigator", F.concat("via_name", F.lit(" is listed on NIH awards for both. Shared expertise, not shared biology.")))
+        .otherwise(F.concat(F.lit("Shares "), n.cast("string"), F.lit(" symptom annotation"), several, F.lit(", none specific enough to suggest shared biology.")))
+    )  # fixed values: the three sentences
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(
+        "focus", "candidate", "name", "w.kind", "w.via", "w.member", "w.supported", n.alias("n_phenotypes"), zero("n_qualifiers").alias("n_qualifiers"), zero("n_communities").alias("n_communities"),
+        reason.alias("reason"), "w.edge_a", "w.edge_b",
+    )
+
+
+def ranked(found: DataFrame, most: int = 40) -> DataFrame:
+    """The first connections of each focus with their rank: by kind, supported first, fewest qualifiers, most shared phenotypes, name. Spark keeps `most` of each task's rows before it shuffles."""
+    kind = F.when(F.col("kind") == "mechanism", 0).when(F.col("kind") == "investigator", 1).otherwise(2)
+    order = Window.partitionBy("focus").orderBy(kind, F.desc("supported"), "n_qualifiers", F.desc("n_phenotypes"), "name", "candidate")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def routes(found: DataFrame, parents: DataFrame, groups: DataFrame, assets: DataFrame) -> DataFrame:
+    """focus, candidate, part, step, edge_id: the way of each connection by a mechanism or an investigator.
+
+    part route: the child's edge to the focus if the link is a child's, then the focus's side, then the candidate's. part
+    community: the candidate's edge to its parent, then the groups of both, then their assets (src asset, dst disease) that
+    hold patient data or samples; each by edge id. A phenotype makes no route.
     """
-    usable, sure = [], []
-    for kind, edges, disease, target in (("mechanism", mechanisms, "src", "dst"), ("investigator", investigators, "dst", "src")):
-        order = F.lit(0 if kind == "mechanism" else 1).alias("kind_order")
-        usable.append(shared_pairs(links(edges, disease, target, "usable")).groupBy("a", "b").agg(F.count("*").alias("n_shared")).select("a", "b", F.lit(kind).alias("kind"), order, "n_shared"))
-        sure.append(shared_pairs(links(edges, disease, target)).select("a", "b", F.lit(kind).alias("kind")).distinct())
-    pairs = usable[0].unionByName(usable[1]).join(sure[0].unionByName(sure[1]).withColumn("sure", F.lit(True)), ["a", "b", "kind"], "left")
-    ways = [pairs.select(F.col(x).alias("focus"), F.col(y).alias("candidate"), "kind", "kind_order", "n_shared", F.coalesce("sure", F.lit(False)).alias("supported")) for x, y in (("a", "b"), ("b", "a"))]
-    both = ways[0].unionByName(ways[1])
-    family = parents.select(F.col("src").alias("focus"), F.col("dst").alias("candidate"))
-    family = family.unionByName(parents.select(F.col("dst").alias("focus"), F.col("src").alias("candidate")))
-    best = both.join(family, ["focus", "candidate"], "left_anti").groupBy("focus", "candidate").agg(F.min_by(F.struct("kind", "kind_order", "n_shared", "supported"), "kind_order").alias("best"))
-    limits = contradicted.groupBy(F.col("disease").alias("candidate")).agg(F.count("*").alias("n_qualifiers"))
-    out = best.join(limits, "candidate", "left").select("focus", "candidate", "best.*", F.coalesce("n_qualifiers", F.lit(0)).alias("n_qualifiers"))
-    order = Window.partitionBy("focus").orderBy("kind_order", F.desc("supported"), "n_qualifiers", F.desc("n_shared"), "candidate")  # one disease's candidates
-    return out.withColumn("rank", F.row_number().over(order)).drop("kind_order")
-
-
-def route_steps(mechanisms: DataFrame, a: str, b: str) -> DataFrame:
-    """step, edge_id, node_from, node_to, n_evidence of the way from one disease to another by their first shared mechanism."""
-    use = mechanisms.where(supported("usable"))
-    x = use.where(F.col("src") == a).select("dst", F.col("id").alias("edge_a"), F.col("n_records").alias("ev_a"))
-    y = use.where(F.col("src") == b).select("dst", F.col("id").alias("edge_b"), F.col("n_records").alias("ev_b"))
-    first = x.join(y, "dst").orderBy("dst").limit(1)
-    step = lambda edge, x, y, n: F.struct(F.col(edge).alias("edge_id"), x.alias("node_from"), y.alias("node_to"), F.col(n).alias("n_evidence"))
-    steps = F.array(step("edge_a", F.lit(a), F.col("dst"), "ev_a"), step("edge_b", F.col("dst"), F.lit(b), "ev_b"))
-    return first.select(F.posexplode(steps).alias("k", "s")).select((F.col("k") + 1).alias("step"), "s.*")
+    way = found.where("kind != 'phenotype'")
+    up = parents.where(supported("usable")).select(F.col("src").alias("child"), F.col("dst").alias("parent"), F.col("id").alias("up"))
+    child = up.select(F.col("child").alias("member"), F.col("parent").alias("focus"), "up")
+    with_child = way.join(child, ["member", "focus"], "left")
+    steps = F.filter(F.array("up", "edge_a", "edge_b"), lambda e: e.isNotNull())
+    route = with_child.select("focus", "candidate", F.lit("route").alias("part"), F.posexplode(steps).alias("step", "edge_id"))
+    to = way.select("focus", "candidate").join(up.withColumnRenamed("child", "candidate"), "candidate", "left")
+    of = to.select("focus", "candidate", F.explode(F.array(F.struct(F.lit(0).alias("via"), F.col("candidate").alias("disease")), F.struct(F.lit(1).alias("via"), F.col("parent").alias("disease")))).alias("d"))
+    of = of.select("focus", "candidate", "d.via", "d.disease").where("disease is not null")
+    edge = lambda e, kind: e.where(supported("usable")).select(F.col("dst").alias("disease"), F.lit(kind).alias("order"), F.col("id").alias("edge_id"))
+    there = of.join(edge(groups, 1).unionByName(edge(assets, 2)), "disease")
+    tail = to.where("up is not null").select("focus", "candidate", F.lit(0).alias("order"), F.lit(0).alias("via"), F.col("up").alias("edge_id"))
+    tail = tail.unionByName(there.select("focus", "candidate", "order", "via", "edge_id"))
+    place = Window.partitionBy("focus", "candidate").orderBy("order", "via", "edge_id")  # the edges of two diseases
+    tail = tail.select("focus", "candidate", F.lit("community").alias("part"), (F.row_number().over(place) - 1).alias("step"), "edge_id")
+    return route.unionByName(tail)
+
+
+def no_route(focus: DataFrame, found: DataFrame, mechanisms: DataFrame, phenotypes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """focus, reason, missing, n_mechanisms: focuses without a connection by a mechanism or an investigator, and why."""
+    some = found.where("kind != 'phenotype'").select(F.col("focus").alias("id")).distinct()
+    alone = focus.join(some, "id", "left_anti").join(nodes.select("id", "name"), "id")
+    broad = found.where("kind = 'phenotype'").select(F.col("focus").alias("id"), F.lit(True).alias("broad")).distinct()
+    names = nodes.select(F.col("id").alias("mechanism"), F.lower("name").alias("mechanism_name"))
+    own = mechanisms.where(supported("usable")).select(F.col("src").alias("id"), F.col("dst").alias("mechanism")).distinct().join(names, "mechanism")
+    own = own.groupBy("id").agg(F.array_sort(F.collect_set("mechanism_name")).alias("held"))  # a disease's mechanisms
+    out = alone.join(broad, "id", "left").join(own, "id", "left")
+    held = F.concat(F.lit("No other condition in this atlas has cited evidence for "), F.array_join("held", " or "), F.lit("."))
+    missing = F.when(F.size("held") > 0, held).otherwise(F.concat(F.lit("No cited mechanism is recorded for "), "name", F.lit(" yet.")))
+    reason = F.when(F.coalesce("broad", F.lit(False)), "only_broad_phenotypes").otherwise("no_shared_mechanism")
+    return out.select(F.col("id").alias("focus"), reason.alias("reason"), missing.alias("missing"), F.coalesce(F.size("held"), F.lit(0)).alias("n_mechanisms"))
 
 
 def explain_paths(paths: DataFrame, edges: DataFrame, cited: DataFrame) -> DataFrame:

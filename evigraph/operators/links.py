@@ -51,7 +51,7 @@ def without_existing(pairs: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def jaccard(link: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """a, b, n_shared, jaccard, strength (clamped to 0.05..0.95) for pairs with a shared target."""
+    """a, b, n_shared, jaccard, strength (clamped to 0.05..0.95, half-even on the double to 2 places) for pairs with a shared target."""
     sizes = link.groupBy("disease").agg(F.count("*").alias("n"))
     pairs = pair_counts(link)
     if existing is not None:
@@ -59,7 +59,15 @@ def jaccard(link: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     pairs = pairs.join(sizes.select(F.col("disease").alias("a"), F.col("n").alias("n_a")), "a")
     pairs = pairs.join(sizes.select(F.col("disease").alias("b"), F.col("n").alias("n_b")), "b")
     raw = F.col("n_shared").cast("double") / (F.col("n_a") + F.col("n_b") - F.col("n_shared"))
-    return pairs.select("a", "b", "n_shared", raw.alias("jaccard"), F.least(F.greatest(raw, F.lit(0.05)), F.lit(0.95)).alias("strength"))
+    return pairs.select("a", "b", "n_shared", raw.alias("jaccard"), two_places(F.least(F.greatest(raw, F.lit(0.05)), F.lit(0.95))).alias("strength"))
+
+
+def two_places(x: Column) -> Column:
+    """A double of 0.05 to 1 rounded half-even to two places, as its exact binary value asks: 0.125 to 0.12, 0.285 to 0.28."""
+    n = (x * float(1 << 57)).cast("long") * 25  # such doubles are whole multiples of 2**-57, so n / 2**55 is the exact percentage
+    whole, rest = F.shiftright(n, 55), n.bitwiseAND(F.lit((1 << 55) - 1))
+    up = (rest > (1 << 54)) | ((rest == (1 << 54)) & (whole % 2 == 1))
+    return (whole + up.cast("long")) / 100.0
 
 
 def inferred(edges: DataFrame, existing: DataFrame, disease: str, target: str, mode: str = "usable") -> DataFrame:
@@ -104,8 +112,8 @@ def bridge_flags(edges: DataFrame, memberships: DataFrame) -> DataFrame:
 
 
 def centrality(edges: DataFrame) -> DataFrame:
-    """node_id, degree, centrality (degree over the largest)."""
-    ends = edges.where(live()).select(F.explode(F.array("src", "dst")).alias("node_id"))
+    """node_id, degree, centrality (degree over the largest), over observed edges: an inferred one (tier C) adds nothing."""
+    ends = edges.where(live() & (F.col("tier") != "C")).select(F.explode(F.array("src", "dst")).alias("node_id"))
     degree = ends.groupBy("node_id").agg(F.count("*").alias("degree"))
     top = degree.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top"))
     return degree.crossJoin(F.broadcast(top)).select("node_id", "degree", (F.col("degree") / F.col("top")).alias("centrality"))  # one row

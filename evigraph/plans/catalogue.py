@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import claims, connections, governance, links, quality, reports
+from ..operators import claims, connections, governance, links, quality, reports, search
 from ..sources import files, testdata
 from ..sources.testdata import table
 from ..streaming import limits
@@ -117,9 +117,25 @@ def shared_phenotypes_informative(s: SparkSession, d: str) -> DataFrame:
     return connections.informative(testdata.phenotype_edges(s, d))
 
 
+def _focus(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set: diseases whose number is divisible by 100, against all."""
+    return table(s, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("id"))
+
+
+def _connections(s: SparkSession, d: str) -> DataFrame:
+    return connections.connections(
+        _focus(s, d), testdata.mechanism_edges(s, d), testdata.investigator_edges(s, d), testdata.phenotype_edges(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), testdata.nodes(s, d)
+    )
+
+
+@query
+def qualifiers_per_focus(s: SparkSession, d: str) -> DataFrame:
+    return connections.qualifiers(_focus(s, d), testdata.mechanism_edges(s, d), testdata.parent_edges(s, d))
+
+
 @query
-def qualifiers_for_target(s: SparkSession, d: str) -> DataFrame:
-    return connections.qualifiers(testdata.mechanism_edges(s, d))
+def shared_phenotypes_of_focus(s: SparkSession, d: str) -> DataFrame:
+    return connections.shared_phenotypes(_focus(s, d), testdata.phenotype_edges(s, d))
 
 
 @query
@@ -127,24 +143,41 @@ def communities_with_parent(s: SparkSession, d: str) -> DataFrame:
     return connections.communities(testdata.group_edges(s, d), testdata.parent_edges(s, d))
 
 
+@query
+def connections_all(s: SparkSession, d: str) -> DataFrame:
+    return _connections(s, d).drop("member", "edge_a", "edge_b")
+
+
 @query
 def connections_ranked(s: SparkSession, d: str) -> DataFrame:
-    m = testdata.mechanism_edges(s, d)
-    return connections.connections(m, testdata.investigator_edges(s, d), testdata.parent_edges(s, d), connections.qualifiers(m))
+    """A top-k report: the first 40 connections of each focus."""
+    return connections.ranked(_connections(s, d)).select("focus", "candidate", "kind", "supported", "n_qualifiers", "n_phenotypes", "rank")
+
+
+@query
+def route_edges(s: SparkSession, d: str) -> DataFrame:
+    held = testdata.asset_edges(s, d).join(testdata.awards(s, d).where("institute like '1-%'").select(F.col("asset").alias("src")), "src", "left_semi")
+    return connections.routes(_connections(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), held)
+
+
+@query
+def no_route_reasons(s: SparkSession, d: str) -> DataFrame:
+    """Over verified mechanisms of tier A and no investigators, so that some focuses have no route."""
+    few = testdata.mechanism_edges(s, d).where("tier = 'A' and n_records > 1 and src like '%5'")
+    found = connections.connections(_focus(s, d), few, testdata.investigator_edges(s, d).limit(0), testdata.phenotype_edges(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), testdata.nodes(s, d))
+    return connections.no_route(_focus(s, d), found, few, testdata.phenotype_edges(s, d), testdata.nodes(s, d))
 
 
 @query
 def two_hop_neighbourhood(s: SparkSession, d: str) -> DataFrame:
-    """From a stated query set: parts whose number leaves 1 when divided by 100, as in the SQL."""
-    start = table(s, d, "part").where("p_partkey % 100 = 1").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("id"))
-    return links.two_hop(testdata.mechanism_edges(s, d).unionByName(testdata.parent_edges(s, d)), start, testdata.nodes(s, d), VISIBLE)
+    return links.two_hop(testdata.mechanism_edges(s, d).unionByName(testdata.parent_edges(s, d)), _focus(s, d), testdata.nodes(s, d), VISIBLE)
 
 
 @query
 def explain_path(s: SparkSession, d: str) -> DataFrame:
     pairs = links.inferred(testdata.mechanism_edges(s, d), testdata.parent_edges(s, d), "src", "dst")
     paths = pairs.select(F.concat_ws("~", "edge_a", "edge_b").alias("path_id"), F.array("edge_a", "edge_b").alias("edge_ids"))
-    cited = testdata.evidence(s, d).where("quantity >= 46")
+    cited = testdata.evidence(s, d).where("quantity >= 5")
     return connections.explain_paths(paths, testdata.mechanism_edges(s, d), cited)
 
 
@@ -216,26 +249,38 @@ def coverage_report(s: SparkSession, d: str) -> DataFrame:
     return reports.coverage_report(asked, testdata.nodes(s, d), testdata.edges(s, d), testdata.evidence(s, d))
 
 
+def _searchable(s: SparkSession, d: str) -> DataFrame:
+    own = table(s, d, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("id"), F.array("p_brand").alias("synonyms"), F.array("p_type").alias("related"), F.array(F.struct(F.lit("PART").alias("namespace"), F.col("p_partkey").cast("string").alias("value"))).alias("ids"))
+    none = F.array().cast("array<string>")
+    nodes = testdata.nodes(s, d).join(own, "id", "left").join(links.centrality(testdata.edges(s, d)).select(F.col("node_id").alias("id"), "centrality"), "id", "left")
+    return nodes.select("id", "type", "name", F.coalesce("synonyms", none).alias("synonyms"), F.coalesce("related", none).alias("related"), F.coalesce("ids", F.array().cast("array<struct<namespace:string,value:string>>")).alias("ids"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
+
+
+def _questions(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("Brand#13",), ("blue",), ("ECONOMY",), ("17",), ("part:23",), ("Part 24",), ("  ",), ("no such thing",), ("br",)], "q string")
+
+
 @query
 def search_scored(s: SparkSession, d: str) -> DataFrame:
-    part = table(s, d, "part").select("p_partkey", F.lower("p_name").alias("name"), F.array(F.lower("p_brand")).alias("synonyms"), F.array(F.lower("p_type")).alias("related"))
-    asked = s.createDataFrame([("brand#1",), ("blue",), ("economy",), ("17",)], "q string")
-    ids = F.array(F.col("p_partkey").cast("string"))
-    scored = part.crossJoin(F.broadcast(asked)).withColumn("score", text.match_score(F.col("q"), F.col("name"), ids, F.col("synonyms"), F.col("related")))  # the stated questions
-    return scored.where("score is not null").select("q", "p_partkey", "score")
+    """A top-k report: the first 20 nodes of each question."""
+    return search.search(_questions(s), _searchable(s, d)).drop("resolved_from")
+
+
+@query
+def search_genes_resolved(s: SparkSession, d: str) -> DataFrame:
+    return search.search(_questions(s), _searchable(s, d), testdata.gene_edges(s, d), ["disease"]).drop("score")
+
+
+@query
+def search_no_match(s: SparkSession, d: str) -> DataFrame:
+    return search.no_match(_questions(s), search.search(_questions(s), _searchable(s, d)))
 
 
 @query
 def quote_containment(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: candidates share the passage's first four words; then the whole is compared."""
-    words = lambda c: F.filter(F.split(text.spaced(c), " "), lambda w: w != "")
-    asked = table(s, d, "benchmark").select("item_id", text.spaced(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    asked = asked.select("item_id", "quote", F.array_join(F.slice("w", 2, 4), " ").alias("key"))
-    docs = table(s, d, "documents").select("doc_id", text.spaced(F.col("text")).alias("body"), words(F.col("text")).alias("w"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    near = grams.join(asked.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    both = near.join(docs.select("doc_id", "body"), "doc_id").join(asked.select("item_id", "quote"), "item_id")
-    return both.where(F.contains("body", F.col("quote"))).select("doc_id", "item_id")
+    asked = table(s, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    short = table(s, d, "benchmark").where("item_id % 10 = 0").select((-F.col("item_id")).alias("item_id"), F.substring(text.spaced(F.col("text")), 3, 14).alias("quote"))
+    return claims.contained_quotes(asked.unionByName(short), table(s, d, "documents").select("doc_id", F.col("text").alias("body")))
 
 
 @query
@@ -374,7 +419,7 @@ def difflib_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def routes(s: SparkSession, d: str) -> DataFrame:
-    """For each pair of diseases that share a mechanism, the first one."""
+    """For each pair of diseases that share a mechanism, the first one (verified support on both sides)."""
     shared = links.shared_pairs(links.links(testdata.mechanism_edges(s, d), "src", "dst"))
     return shared.groupBy("a", "b").agg(F.min("target").alias("mechanism"))
 

@@ -64,12 +64,63 @@ d_cluster as (
 )
 """
 
-_QUALIFIERS = """, against as (select distinct src as disease, dst as mechanism from mech where stance = 'contradicts'),
-qualifiers as (
-  select a.disease, a.mechanism, (select count(*) from m_use u where u.target = a.mechanism and u.disease != a.disease) as n_supporting from against a
+_FOCUS = """, focus as (select 'd' || p_partkey as fid from part where p_partkey % 100 = 0),
+mem as (select fid as focus, fid as member from focus union select dst, src from parents join focus on dst = fid),
+fam as (select focus, member as candidate from mem union select src, dst from parents join focus on src = fid),
+contra as (select src as disease, dst as mechanism, id as edge_id from mech where stance = 'contradicts'),
+held as (select distinct focus, target as mechanism from mem join m_use on disease = member),
+qual as (
+  select distinct h.focus, t.candidate, c.edge_id, 'target' as side from held h join contra c using (mechanism)
+    join (select id as candidate, id as disease from nodes where type = 'disease' union all select src, dst from parents) t on t.disease = c.disease
+  union
+  select distinct m.focus, u.disease, c.edge_id, 'own' from mem m join contra c on c.disease = m.member join m_use u on u.target = c.mechanism
+), quals as (select * from qual q where not exists (select 1 from fam f where f.focus = q.focus and f.candidate = q.candidate)),
+ph_n as (select target as phenotype, count(*) as n_diseases, count(*) <= greatest(1, floor((select count(distinct disease) from p_links) / 3)) as informative from p_links group by 1),
+ph as (select x.disease as focus, y.disease as candidate, x.target as phenotype, n_diseases, informative
+  from focus join p_links x on x.disease = fid join p_links y on y.target = x.target and y.disease != x.disease join ph_n on ph_n.phenotype = x.target),
+ph_count as (select focus, candidate, count(*) as n from ph group by all),
+way as (
+  select 0 as o, 'mechanism' as kind, m.focus, m.member, y.src as candidate, x.dst as via, x.tier != 'C' and y.tier != 'C' as supported, x.id as edge_a, y.id as edge_b
+    from mem m join mech x on x.src = m.member and x.stance = 'supports' join mech y on y.dst = x.dst and y.stance = 'supports' and y.src != x.src
+  union all
+  select 1, 'investigator', m.focus, m.member, y.dst, x.src, false, x.id, y.id
+    from mem m join inv x on x.dst = m.member and x.stance = 'supports' join inv y on y.src = x.src and y.stance = 'supports' and y.dst != x.dst
+), linked as (
+  select * from way w where not exists (select 1 from known k where k.a = least(w.member, w.candidate) and k.b = greatest(w.member, w.candidate))
+  union all select 2, 'phenotype', focus, null, candidate, null, false, null, null from ph_count
+), first_way as (
+  select * from linked l where not exists (select 1 from fam f where f.focus = l.focus and f.candidate = l.candidate)
+  qualify row_number() over (partition by focus, candidate order by o, via, member, supported, edge_a, edge_b) = 1
+), own_groups as (select dst as disease, src as patient_group, id from edges where type = 'group_disease'),
+groups_n as (select disease, count(*) as n from (
+    select disease, patient_group from own_groups union select p.src, o.patient_group from parents p join own_groups o on o.disease = p.dst) group by 1),
+conn as (
+  select f.focus, f.candidate, c.name, f.kind, f.via, f.member, f.supported, coalesce(p.n, 0) as n_phenotypes,
+    (select count(*) from quals q where q.focus = f.focus and q.candidate = f.candidate) as n_qualifiers, coalesce(g.n, 0) as n_communities,
+    case f.kind when 'mechanism' then 'Both have cited evidence for ' || lower(v.name) || '.'
+      when 'investigator' then v.name || ' is listed on NIH awards for both. Shared expertise, not shared biology.'
+      else 'Shares ' || coalesce(p.n, 0) || ' symptom annotation' || case when p.n = 1 then '' else 's' end || ', none specific enough to suggest shared biology.' end as reason,
+    f.edge_a, f.edge_b, f.o
+  from first_way f join nodes c on c.id = f.candidate left join nodes v on v.id = f.via left join ph_count p on p.focus = f.focus and p.candidate = f.candidate left join groups_n g on g.disease = f.candidate
 )
 """
 
+_HITS = """, n0 as (
+  select n.id, n.type, n.name, lower(n.name) as folded, coalesce(c.degree / c.top, 0) as centrality, p.p_partkey, lower(p.p_brand) as synonym, lower(p.p_type) as related
+  from nodes n left join (select node_id, count(*) as degree, max(count(*)) over () as top from (select src as node_id from edges where tier != 'C' union all select dst from edges where tier != 'C') group by 1) c on c.node_id = n.id
+    left join part p on n.id = 'd' || p.p_partkey
+), n1 as (select *, trim(regexp_replace(folded, '[\\s_-]+', ' ', 'g')) as f, regexp_replace(synonym, '[\\s_-]+', ' ', 'g') as syn, regexp_replace(related, '[\\s_-]+', ' ', 'g') as rel from n0),
+asked as (select unnest(['Brand#13', 'blue', 'ECONOMY', '17', 'part:23', 'Part 24', '  ', 'no such thing', 'br']) as q),
+q1 as (select q, lower(trim(q)) as z from asked where trim(q) != ''),
+hits as (
+  select q, id, type, name, centrality, case
+    when f = z then ['name', '100'] when p_partkey is not null and z in (p_partkey::varchar, 'part:' || p_partkey, 'part ' || p_partkey) then ['id', '95']
+    when syn = z then ['synonym', '90'] when starts_with(f, z) then ['name', '70'] when starts_with(syn, z) then ['synonym', '60']
+    when length(z) >= 3 and contains(f, z) then ['name', '50'] when length(z) >= 3 and contains(syn, z) then ['synonym', '40'] when length(z) >= 3 and contains(rel, z) then ['related', '30'] end as r
+  from n1, q1
+), hit as (select q, id, type, name, r[1] as via, r[2]::int + centrality as score from hits where r is not null)
+"""
+
 _GRAPH_SQL = {
     "shared_mechanism_pairs": "select x.disease as a, y.disease as b, count(*) as n_shared from m_links x join m_links y on x.target = y.target and x.disease < y.disease group by all",
     "live_edges": "select * from edges where status != 'rejected'",
@@ -80,14 +131,16 @@ _GRAPH_SQL = {
     "edge_evidence_nested_counts": "select id, count(edge_id) as n_evidence, max(retrieved_at)::varchar as newest from edges left join evidence on edge_id = id group by id",
     "edges_without_evidence": "select id, type from edges where id not in (select edge_id from evidence)",
     "node_degree_centrality": """select node_id, count(*) as degree, count(*) / max(count(*)) over () as centrality
-        from (select src as node_id from edges union all select dst from edges) group by node_id""",
+        from (select src as node_id from edges where tier != 'C' union all select dst from edges where tier != 'C') group by node_id""",
     "link_sets": """select disease, kind, string_agg(target, ',' order by target) as targets, count(*) as n
         from (select *, 'mechanism' as kind from m_links union all select *, 'person' from i_links) group by disease, kind""",
     "shared_investigator_pairs": "select x.disease as a, y.disease as b, count(*) as n_shared from i_links x join i_links y on x.target = y.target and x.disease < y.disease group by all",
     "bridge_jaccard": """, pairs as (select x.disease as a, y.disease as b, count(*) as n_shared from m_links x join m_links y on x.target = y.target and x.disease < y.disease group by all),
-        sizes as (select disease, count(*) as n from m_links group by disease)
-        select p.a, p.b, n_shared, n_shared::double / (x.n + y.n - n_shared) as jaccard, least(greatest(n_shared::double / (x.n + y.n - n_shared), 0.05), 0.95) as strength
-        from pairs p join sizes x on x.disease = p.a join sizes y on y.disease = p.b where (p.a, p.b) not in (select a, b from known)""",
+        sizes as (select disease, count(*) as n from m_links group by disease),
+        j as (select p.a, p.b, n_shared, n_shared::double / (x.n + y.n - n_shared) as jaccard
+          from pairs p join sizes x on x.disease = p.a join sizes y on y.disease = p.b where (p.a, p.b) not in (select a, b from known)),
+        n as (select *, (least(greatest(jaccard, 0.05), 0.95) * 144115188075855872)::bigint * 25 as n from j)
+        select a, b, n_shared, jaccard, ((n >> 55) + case when n & 36028797018963967 > 18014398509481984 or (n & 36028797018963967 = 18014398509481984 and (n >> 55) % 2 = 1) then 1 else 0 end) / 100.0 as strength from n""",
     "inferred_links_per_mechanism": """select x.src as a, y.src as b, x.dst as via_id, x.id as edge_a, y.id as edge_b, x.n_records + y.n_records as n_evidence
         from mech x join mech y on x.dst = y.dst and x.src < y.src where x.stance = 'supports' and y.stance = 'supports' and (x.src, y.src) not in (select a, b from known)""",
     "inferred_links_per_person": """select x.dst as a, y.dst as b, x.src as via_id, x.id as edge_a, y.id as edge_b, x.n_records + y.n_records as n_evidence
@@ -100,31 +153,51 @@ _GRAPH_SQL = {
         and not exists (select 1 from members x join members y on x.cluster_id = y.cluster_id where x.node_id = src and y.node_id = dst) as bridge from mech""",
     "shared_phenotypes_informative": """, total as (select count(distinct src) as total from edges where type = 'disease_phenotype')
         select target as phenotype, count(*) as n_diseases, total, count(*) <= greatest(1, floor(total / 3)) as informative from p_links, total group by target, total""",
-    "qualifiers_for_target": _QUALIFIERS + "select * from qualifiers where n_supporting > 0",
+    "qualifiers_per_focus": _FOCUS + "select focus, candidate, edge_id, side from quals",
+    "shared_phenotypes_of_focus": _FOCUS + "select focus, candidate, phenotype, n_diseases, informative from ph",
     "communities_with_parent": """, own as (select dst as disease, src as patient_group from edges where type = 'group_disease')
         select *, false as via_parent from own union all
         select *, true from (select p.src, o.patient_group from parents p join own o on o.disease = p.dst except select * from own)""",
-    "connections_ranked": _QUALIFIERS
-    + """, pairs as (
-          select x.disease as a, y.disease as b, 'mechanism' as kind, 0 as o, count(*) as n_shared from m_use x join m_use y on x.target = y.target and x.disease < y.disease group by all
-          union all select x.disease, y.disease, 'investigator', 1, count(*) from i_use x join i_use y on x.target = y.target and x.disease < y.disease group by all
-        ), sure as (
-          select distinct x.disease as a, y.disease as b, 'mechanism' as kind from m_links x join m_links y on x.target = y.target and x.disease < y.disease
-          union select x.disease, y.disease, 'investigator' from i_links x join i_links y on x.target = y.target and x.disease < y.disease
-        ), flagged as (select p.*, s.a is not null as supported from pairs p left join sure s using (a, b, kind)
-        ), ways as (select a as focus, b as candidate, kind, o, n_shared, supported from flagged union all select b, a, kind, o, n_shared, supported from flagged
-        ), best as (select * from ways where (least(focus, candidate), greatest(focus, candidate)) not in (select a, b from known)
-          qualify row_number() over (partition by focus, candidate order by o) = 1
-        ), limits as (select disease, count(*) as n from qualifiers where n_supporting > 0 group by disease
-        ), facts as (select focus, candidate, kind, o, n_shared, supported, coalesce(n, 0) as n_qualifiers from best left join limits on disease = candidate)
-        select focus, candidate, kind, n_shared, supported, n_qualifiers,
-          row_number() over (partition by focus order by o, supported desc, n_qualifiers, n_shared desc, candidate) as rank from facts""",
+    "connections_all": _FOCUS + "select focus, candidate, name, kind, via, supported, n_phenotypes, n_qualifiers, n_communities, reason from conn",
+    "connections_ranked": _FOCUS
+    + """select focus, candidate, kind, supported, n_qualifiers, n_phenotypes, row_number() over (partition by focus order by o, supported desc, n_qualifiers, n_phenotypes desc, name, candidate) as rank
+        from conn qualify rank <= 40""",
+    "route_edges": _FOCUS
+    + """, main as (select focus, candidate, list_filter([(select id from parents p where p.src = member and p.dst = focus), edge_a, edge_b], lambda x: x is not null) as es from conn where kind != 'phenotype'),
+        ends as (select focus, candidate, 0 as v, candidate as disease from main union all select m.focus, m.candidate, 1, p.dst from main m join parents p on p.src = m.candidate),
+        tail as (
+          select m.focus, m.candidate, 0 as o, 0 as v, p.id as edge_id from main m join parents p on p.src = m.candidate
+          union all select e.focus, e.candidate, 1, v, g.id from ends e join own_groups g on g.disease = e.disease
+          union all select e.focus, e.candidate, 2, v, a.id from ends e join edges a on a.type = 'asset_disease' and a.stance = 'supports' and a.dst = e.disease
+            where a.src in (select asset from awards where institute like '1-%'))
+        select focus, candidate, 'route' as part, unnest(range(len(es))) as step, unnest(es) as edge_id from main
+        union all select focus, candidate, 'community', row_number() over (partition by focus, candidate order by o, v, edge_id) - 1, edge_id from tail""",
+    "no_route_reasons": """, focus as (select 'd' || p_partkey as fid from part where p_partkey % 100 = 0),
+        mem as (select fid as focus, fid as member from focus union select dst, src from parents join focus on dst = fid),
+        fam as (select focus, member as candidate from mem union select src, dst from parents join focus on src = fid),
+        few as (select * from mech where tier = 'A' and n_records > 1 and src like '%5' and stance = 'supports'),
+        way as (select m.focus, m.member, y.src as candidate from mem m join few x on x.src = m.member join few y on y.dst = x.dst and y.src != x.src),
+        linked_f as (select distinct focus from way w where not exists (select 1 from known k where k.a = least(member, candidate) and k.b = greatest(member, candidate)) and not exists (select 1 from fam f where f.focus = w.focus and f.candidate = w.candidate)),
+        held as (select src as id, list_sort(list(distinct lower(n.name))) as held from few join nodes n on n.id = dst group by 1)
+        select f.fid as focus,
+          case when exists (select 1 from p_links x join p_links y on x.target = y.target and x.disease = f.fid and y.disease != f.fid where not exists (select 1 from fam where fam.focus = f.fid and fam.candidate = y.disease)) then 'only_broad_phenotypes' else 'no_shared_mechanism' end as reason,
+          case when len(held) > 0 then 'No other condition in this atlas has cited evidence for ' || array_to_string(held, ' or ') || '.' else 'No cited mechanism is recorded for ' || n.name || ' yet.' end as missing,
+          coalesce(len(held), 0) as n_mechanisms
+        from focus f join nodes n on n.id = f.fid left join held h on h.id = f.fid where f.fid not in (select focus from linked_f)""",
+    "search_scored": _HITS + "select q, id as node_id, via, score, row_number() over (partition by q order by score desc, name, id) as rank from hit qualify rank <= 20",
+    "search_genes_resolved": _HITS
+    + """, every as (
+          select q, id as node_id, type, via, null::varchar as resolved_from, 0 as late, -score as a, name as b, id as c from hit
+          union all select q, e.src, 'disease', 'gene', h.id, 1, -score, h.name || '|' || h.id, e.id from hit h join edges e on e.type = 'disease_gene' and e.dst = h.id where h.type = 'gene'
+        ), one as (select * from every where type = 'disease' qualify row_number() over (partition by q, node_id order by late, a, b, c) = 1)
+        select q, node_id, via, resolved_from, row_number() over (partition by q order by late, a, b, c) as rank from one qualify rank <= 20""",
+    "search_no_match": _HITS + "select q from asked where q not in (select q from hit)",
     "two_hop_neighbourhood": """, seen as (select src, dst from mech union all select src, dst from parents),
         way as (select src as x, dst as y from seen union select dst, src from seen),
-        reach as (select 'd' || p_partkey as start, 'd' || p_partkey as node_id, 0 as hops from part where p_partkey % 100 = 1
+        reach as (select 'd' || p_partkey as start, 'd' || p_partkey as node_id, 0 as hops from part where p_partkey % 100 = 0
           union select start, y, hops + 1 from reach join way on node_id = x where hops < 2)
         select start, node_id, min(hops) as hops from reach group by start, node_id""",
-    "explain_path": """, ok as (select * from mech where stance = 'supports' and status = 'verified' and tier != 'D' and id in (select edge_id from evidence where quantity >= 46)),
+    "explain_path": """, ok as (select * from mech where stance = 'supports' and status = 'verified' and tier != 'D' and id in (select edge_id from evidence where quantity >= 5)),
         paths as (select x.id as e1, y.id as e2 from mech x join mech y on x.dst = y.dst and x.src < y.src where x.stance = 'supports' and y.stance = 'supports' and (x.src, y.src) not in (select a, b from known)),
         flags as (select e1 || '~' || e2 as path_id, 2 as n_edges, e1 in (select id from ok) and e2 in (select id from ok) as eligible from paths)
         select path_id, n_edges, eligible, eligible as connected, case when eligible then 'explained' else 'ineligible_edge' end as verdict from flags""",
@@ -175,11 +248,8 @@ _GRAPH_SQL = {
 _GAP = "interval 1 hour"
 
 ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.items()} | {
-    "search_scored": """with q(q) as (values ('brand#1'), ('blue'), ('economy'), ('17')), p as (select p_partkey, lower(p_name) as name, lower(p_brand) as brand, lower(p_type) as kind from part),
-        s as (select q, p_partkey, case when name = q then 100 when p_partkey::varchar = q then 95 when brand = q then 90 when starts_with(name, q) then 70 when starts_with(brand, q) then 60
-          when length(q) >= 3 and contains(name, q) then 50 when length(q) >= 3 and contains(brand, q) then 40 when length(q) >= 3 and contains(kind, q) then 30 end as score from p, q)
-        select * from s where score is not null""",
-    "quote_containment": r"""with n as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as body from documents), q as (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as quote from benchmark)
+    "quote_containment": r"""with n as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as body from documents), q0 as (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as quote from benchmark),
+        q as (select * from q0 union all select -item_id, trim(substr(quote, 3, 14)) from q0 where item_id % 10 = 0)
         select doc_id, item_id from n, q where contains(body, quote) and quote != ''""",
     "prf_levels": """with d as (select d.doc_id, source, (n_chars > 400)::int as found, l.quality from documents d join labels l using (doc_id)),
         k as (select 'exact' as level, doc_id::varchar as key, quality, found from d union all select 'source', source, quality, found from d union all select 'label', '', quality, found from d),

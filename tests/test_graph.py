@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.functions import text
-from evigraph.operators import connections, governance, links, quality, reports
+from evigraph.operators import claims, connections, governance, links, quality, reports, search
 from evigraph.sources import files
 from evigraph.streaming import limits
 
@@ -41,18 +41,65 @@ def test_jaccard_is_clamped_and_existing_pairs_are_skipped(spark, edges):
 
 
 def test_connections_qualifiers_and_family(spark, edges, parents):
-    q = connections.qualifiers(edges)
-    assert [tuple(r) for r in q.collect()] == [("D2", "gof", 3)]
+    """D1 and the subgroup D2a share a mechanism that D2 as a whole is known not to have; D2a's parent D2 limits the link."""
+    focus = spark.createDataFrame([("D1",)], "id string")
+    q = connections.qualifiers(focus, edges, parents)
+    assert sorted((r.candidate, r.edge_id, r.side) for r in q.collect()) == [("D2", "D2|gof|contradicts", "target"), ("D2a", "D2|gof|contradicts", "target")]
     none = edges.where("false")
-    rows = connections.connections(edges, none, parents, q).collect()
-    assert {(r.focus, r.candidate, r.supported) for r in rows if r.focus == "D1"} == {("D1", "D2a", True), ("D1", "D4", False)}
-    assert [r.candidate for r in sorted((r for r in rows if r.focus == "D1"), key=lambda r: r["rank"])] == ["D2a", "D4"]
-
-
-def test_route_steps(edges):
-    steps = sorted(connections.route_steps(edges, "D1", "D2a").collect())
-    assert [(r.step, r.node_from, r.node_to) for r in steps] == [(1, "D1", "gof"), (2, "gof", "D2a")]
-    assert connections.route_steps(edges, "D1", "D3").collect() == []
+    phen = spark.createDataFrame([(f"p{d}{t}", d, t, "disease_phenotype", "B", "supports", st, 1) for d, t, st in [("D1", "t", "verified"), ("D3", "t", "verified"), ("D4", "t", "rejected")]], E)
+    nodes = spark.createDataFrame([(i, "disease", f"Name {i}") for i in ("D1", "D2", "D2a", "D3", "D4")] + [("gof", "mechanism", "Gain")], "id string, type string, name string")
+    found = connections.connections(focus, edges, none, phen, parents, none, nodes)
+    rows = {r.candidate: r for r in found.collect()}
+    assert {c: (r.kind, r.supported, r.n_qualifiers, r.n_phenotypes) for c, r in rows.items()} == {"D2a": ("mechanism", True, 1, 0), "D4": ("mechanism", True, 0, 0), "D3": ("phenotype", False, 0, 1)}
+    assert rows["D4"].reason == "Both have cited evidence for gain." and rows["D3"].reason.startswith("Shares 1 symptom annotation, ")
+    assert [r.candidate for r in connections.ranked(found).orderBy("rank").collect()] == ["D4", "D2a", "D3"]
+    assert connections.ranked(found, 1).count() == 1
+    steps = {(r.candidate, r.part, r.step): r.edge_id for r in connections.routes(found, parents, none, none).collect()}
+    assert steps[("D2a", "route", 0)] == "D1|gof|supports" and steps[("D2a", "route", 1)] == "D2a|gof|supports" and ("D2a", "community", 0) in steps
+    assert not any(c == "D3" for c, _, _ in steps)
+    alone = spark.createDataFrame([("D3",)], "id string")
+    mine = connections.connections(alone, edges, none, phen, parents, none, nodes)
+    why = connections.no_route(alone, mine, edges.where("src != 'D3'"), phen, nodes).first()
+    assert (why.reason, why.missing) == ("only_broad_phenotypes", "No cited mechanism is recorded for Name D3 yet.")
+
+
+def test_rounding_of_doubles(spark):
+    values = [0.05, 0.125, 0.375, 0.285, 0.145, 0.675, 0.95, 2 / 3, 1 / 3, 0.505, 0.115, 7 / 8, 1.0, 0.5]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(links.two_places(F.col("x"))).collect()
+    assert [r[0] for r in got] == [round(v, 2) for v in values]
+
+
+def test_search_rules_and_genes(spark):
+    none = []
+    nodes = [
+        ("g1", "gene", "ABC1", ["Alpha"], none, [("HGNC", "7")], 0.5), ("d1", "disease", "Alpha-disease", ["AD"], ["wide term"], [("OMIM", "12")], 0.1),
+        ("d2", "disease", "Béta alpha", none, none, none, 0.2), ("d3", "disease", "Gamma", none, none, none, 0.0),
+    ]
+    frame = spark.createDataFrame(nodes, "id string, type string, name string, synonyms array<string>, related array<string>, ids array<struct<namespace:string,value:string>>, centrality double")
+    genes = spark.createDataFrame([("e1", "d3", "g1", "disease_gene", "A", "supports", "verified", 1), ("e0", "d1", "g1", "disease_gene", "A", "contradicts", "verified", 1)], E)
+    asked = spark.createDataFrame([("ALPHA",), ("omim:12",), ("hgnc 7",), ("beta_alpha",), ("al",), ("wide",), ("zzz",), (" ",)], "q string")
+    got = {}
+    for r in search.search(asked, frame, genes).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.node_id, r.via, r.score))
+    assert got["ALPHA"] == [("g1", "synonym", 90.5), ("d1", "name", 70.1), ("d2", "name", 50.2), ("d3", "gene", None)]
+    assert got["omim:12"] == [("d1", "id", 95.1)] and got["hgnc 7"][0] == ("g1", "id", 95.5) and got["beta_alpha"] == [("d2", "name", 100.2)]
+    assert [x[0] for x in got["al"]] == ["d1", "g1", "d3"] and got["wide"] == [("d1", "related", 30.1)]
+    assert sorted(r.q for r in search.no_match(asked, search.search(asked, frame)).collect()) == [" ", "zzz"]
+
+
+def test_visible_text_of_pages(spark):
+    pages = {
+        "<p>a<!-- x --> b</p>c": "a b c", "in<!--y-->side": "inside", "a<b>b</b>c": "a b c", "<head><title>t</title></head>x": "x", "<script>if (a<b) {}</script>y&amp;z": "y&z",
+        "<style>p{}": "", "<template>q<p>r</p></template>s": "s", "<noscript>n</noscript >m": "m", "1 < 2": "1 < 2", "<img alt='a>b'>k": "k", "x&nbsp;y": "x y", None: None,
+    }
+    got = spark.createDataFrame([(p,) for p in pages], "p string").select(text.visible_text("p").alias("t")).collect()
+    assert [r.t for r in got] == list(pages.values())
+
+
+def test_short_quotes_are_found(spark):
+    texts = spark.createDataFrame([(1, "The  quick\nbrown fox jumps over the lazy dog"), (2, "brownish"), (3, None)], "doc_id long, body string")
+    quotes = spark.createDataFrame([(1, "quick brown"), (2, "uick BROWN fox jumps over th"), (3, "brown"), (4, ""), (5, None), (6, "fox over")], "item_id long, quote string")
+    assert sorted(map(tuple, claims.contained_quotes(quotes, texts).collect())) == [(1, 1), (1, 2), (1, 3), (2, 3)]
 
 
 def test_explain_paths(spark, edges):
