@@ -99,3 +99,62 @@ def coverage_report(queries: DataFrame, nodes: DataFrame, edges: DataFrame, evid
     found = hits.join(ends, "id").groupBy("query").agg(F.count_distinct("edge_id").alias("n_edges"))
     counts = hits.groupBy("query").agg(F.count("*").alias("n_nodes"))
     return queries.join(counts, "query", "left").join(found, "query", "left").na.fill(0)
+
+
+def money_by(awards: DataFrame, key: str) -> DataFrame:
+    """key, money, n_awards: costs added up by funder or project; none or not positive: left out."""
+    return awards.where("total_cost > 0").groupBy(key).agg(F.sum("total_cost").alias("money"), F.count("*").alias("n_awards"))
+
+
+def cluster_mechanisms(members: DataFrame, link: DataFrame) -> DataFrame:
+    """cluster_id, mechanism that every disease of the cluster has. members: cluster_id, disease; link: disease, target."""
+    sizes = members.groupBy("cluster_id").agg(F.count_distinct("disease").alias("size"))
+    held = members.distinct().join(link.distinct(), "disease").groupBy("cluster_id", F.col("target").alias("mechanism")).agg(F.count("*").alias("n"))
+    return held.join(sizes, "cluster_id").where("n = size").select("cluster_id", "mechanism")
+
+
+def cluster_members(memberships: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cluster_id, disease, name: clusters' diseases."""
+    own = nodes.where("type = 'disease'").select(F.col("id").alias("node_id"), "name")
+    return memberships.join(own, "node_id").select("cluster_id", F.col("node_id").alias("disease"), "name")
+
+
+def source_chart(queries: DataFrame, genes: list[str], view: str) -> DataFrame:
+    """key, n: records by source (view kept: retrieved; all: total), or retrieved ones by the first gene that the query names (view gene)."""
+    if view == "gene":
+        key = F.lit("other")
+        for g in reversed(genes):
+            key = F.when(F.contains(F.upper("query"), F.lit(g.upper())), g).otherwise(key)
+        value = F.col("retrieved")
+    else:
+        key, value = F.col("source"), F.col("retrieved" if view == "kept" else "total")
+    return queries.groupBy(key.alias("key")).agg(F.sum(value).alias("n")).where("n > 0")
+
+
+def builder_status(queue: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: inferred links built, links that await a decision, scored links. queue: origin, decision; edges: confidence."""
+    a = queue.agg(F.count_if(F.col("origin") == "inferred").alias("n_inferred"), F.count_if(F.col("decision").isNull()).alias("n_open"))
+    b = edges.agg(F.count("confidence").alias("n_scored"), F.count("*").alias("n_edges"))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+def inventory_rollup(files: DataFrame) -> DataFrame:
+    """folder, n_files, n_data, n_housekeeping, bytes by the folder below the root. files: path, kind, size."""
+    parts = F.split("path", "/")
+    folder = F.when(F.size(parts) > 2, F.get(parts, 1)).otherwise("root")
+    return files.groupBy(folder.alias("folder")).agg(
+        F.count("*").alias("n_files"), F.count_if(F.col("kind") == "data").alias("n_data"), F.count_if(F.col("kind") == "housekeeping").alias("n_housekeeping"), F.sum("size").alias("bytes")
+    )
+
+
+def investigators_in_order(people: DataFrame, names: DataFrame, most: int = 100) -> DataFrame:
+    """A top-k report: people of investigators() with their rank: those of several clusters, most diseases, name."""
+    order = Window.orderBy(F.desc("shared"), F.desc("n_diseases"), "name", "person")
+    named = people.join(names.select(F.col("id").alias("person"), "name"), "person")
+    top = named.orderBy(F.desc("shared"), F.desc("n_diseases"), "name", "person").limit(most)  # ordered on the executors: most rows each
+    return top.withColumn("rank", F.row_number().over(order))
+
+
+def top_by(rows: DataFrame, keys: list, most: int = 100) -> DataFrame:
+    """A top-k report: the first rows by keys with their rank."""
+    return rows.orderBy(*keys).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))  # most rows

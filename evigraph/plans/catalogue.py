@@ -12,6 +12,7 @@ from ..operators import claims, connections, governance, links, quality, reports
 from ..sources import files, testdata
 from ..sources.testdata import table
 from ..streaming import limits
+from . import catalogue_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -462,3 +463,6 @@ def quote_word_budget(s: SparkSession, d: str) -> DataFrame:
 def funding_shares(s: SparkSession, d: str) -> DataFrame:
     cents = F.sum(F.round(F.col("total_cost") * 100).cast("long")).alias("cents")
     return claims.shares(testdata.awards(s, d).groupBy("institute").agg(cents), "institute", "cents")
+
+
+QUERIES |= catalogue_model.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import oracle_model
+
 GRAPH = """
 with recursive rec as (
   select 'd' || l_partkey as disease, 'm' || l_suppkey as mechanism, l_orderkey as order_key,
@@ -307,3 +309,5 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
           coalesce(sum(cents) over (order by cents desc, institute rows between unbounded preceding and 1 preceding), 0)::bigint / (sum(cents) over ())::double as "offset" from c)
         select *, case when share < 0.01 then '<1%' else floor(share * 100 + 0.5)::bigint || '%' end as label from s""",
 }
+
+ORACLE_SQL |= oracle_model.ORACLE_SQL | {name: GRAPH + sql for name, sql in oracle_model.GRAPH_SQL.items()}
