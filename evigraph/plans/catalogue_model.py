@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import governance, links, quality, readmodel, reports
+from ..operators import actions, connections, governance, links, quality, readmodel, reports
 from ..sources import testdata
 from ..sources.testdata import table
 
@@ -327,3 +327,79 @@ def request_errors(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
     ids = F.transform(F.sequence(F.lit(1), (F.pmod("o_orderkey", F.lit(15)) + 1).cast("int")), lambda i: F.concat(F.lit("e"), F.when(i == F.pmod("o_custkey", F.lit(9)).cast("int"), F.lit(1)).otherwise(i).cast("string"), F.when(F.col("o_orderkey") % 6 == 0, F.lit("?")).otherwise("")))
     return governance.request_errors(o.select(F.col("o_orderkey").alias("id"), F.repeat(F.col("o_orderstatus"), (F.pmod("o_custkey", F.lit(4)) * 101).cast("int")).alias("query"), ids.alias("edge_ids")))
+
+
+def _focus(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").where("p_partkey % 100 = 0").select(_d().alias("id"))
+
+
+def _found(s: SparkSession, d: str) -> DataFrame:
+    return connections.connections(_focus(s, d), testdata.mechanism_edges(s, d), testdata.investigator_edges(s, d), testdata.phenotype_edges(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), testdata.nodes(s, d))
+
+
+def _best(s: SparkSession, d: str) -> DataFrame:
+    return connections.ranked(_found(s, d).where("kind = 'mechanism' and supported"), 1)
+
+
+@query
+def plan_sections(s: SparkSession, d: str) -> DataFrame:
+    m = testdata.mechanism_edges(s, d)
+    return actions.plan_sections(_found(s, d), connections.qualifiers(_focus(s, d), m, testdata.parent_edges(s, d)), m)
+
+
+@query
+def plan_tasks(s: SparkSession, d: str) -> DataFrame:
+    best, groups = _best(s, d), testdata.group_edges(s, d)
+    route = connections.routes(best, testdata.parent_edges(s, d), groups, testdata.asset_edges(s, d).limit(0))
+    return actions.plan_steps(best, route, groups, testdata.nodes(s, d), _focus(s, d))
+
+
+@query
+def outreach_drafts(s: SparkSession, d: str) -> DataFrame:
+    return actions.outreach(_best(s, d), testdata.nodes(s, d))
+
+
+@query
+def bridge_proposals(s: SparkSession, d: str) -> DataFrame:
+    """Over links that two records or more support."""
+    e = testdata.mechanism_edges(s, d).where("n_records > 1")
+    ev = testdata.evidence(s, d).select(F.split("edge_id", r"\|")[1].alias("disease"), F.split("edge_id", r"\|")[2].alias("target"), F.col("source_type").alias("url"))
+    out = actions.bridge_proposals(links.links(e, "src", "dst"), testdata.parent_edges(s, d), ev)
+    return out.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+@query
+def contradiction_context(s: SparkSession, d: str) -> DataFrame:
+    e = testdata.mechanism_edges(s, d)
+    return actions.contradiction_context(e, e.select("id"))
+
+
+@query
+def chain_counts(s: SparkSession, d: str) -> DataFrame:
+    e = testdata.mechanism_edges(s, d)
+    paths = e.groupBy(F.col("src").alias("path_id")).agg(F.collect_list("id").alias("edge_ids"))  # a disease's edges
+    return actions.chain_counts(paths, e, testdata.evidence(s, d).where("quantity >= 25"))
+
+
+@query
+def neighbourhood_edges(s: SparkSession, d: str) -> DataFrame:
+    e = testdata.parent_edges(s, d).unionByName(testdata.gene_edges(s, d))
+    return actions.induced(e, links.two_hop(e, _focus(s, d), testdata.nodes(s, d), ["disease", "gene"]))
+
+
+@query
+def proposed_new_edges(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem").select(_d("l_partkey").alias("src"), _d("l_suppkey", "m").alias("dst"), F.lit("disease_mechanism").alias("type"), F.concat(F.lit("https://x.org/"), _text("l_linenumber")).alias("url"))
+    return actions.new_edges(rows, testdata.mechanism_edges(s, d).where("stance = 'supports'"))
+
+
+@query
+def contract_fields(s: SparkSession, d: str) -> DataFrame:
+    own = s.createDataFrame([("part", f) for f in table(s, d, "part").columns], "table string, field string")
+    return quality.field_differences(own, {"part": ["p_partkey", "p_name", "p_comment"]})
+
+
+@query
+def unsupported_claims(s: SparkSession, d: str) -> DataFrame:
+    e = testdata.mechanism_edges(s, d)
+    return quality.not_subset(e.where("stance = 'contradicts'").select("src", "dst"), e.where(links.supported()), ["src", "dst"])

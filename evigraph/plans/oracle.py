@@ -311,3 +311,4 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
 }
 
 ORACLE_SQL |= oracle_model.ORACLE_SQL | {name: GRAPH + sql for name, sql in oracle_model.GRAPH_SQL.items()}
+ORACLE_SQL |= {name: GRAPH + _FOCUS + sql for name, sql in oracle_model.FOCUS_SQL.items()}

@@ -63,6 +63,29 @@ GRAPH_SQL = {
     "mechanisms_in_order": """, i as (select dst as mechanism, count(distinct case stance when 'supports' then src end) as n_supports from mech group by 1)
         select mechanism, name, n_supports, row_number() over (order by n_supports desc, name, mechanism)::int as rank from i join nodes on id = mechanism qualify rank <= 100""",
     "diseases_in_order": "select id, name, row_number() over (order by name, id)::int as rank from nodes where type = 'disease' qualify rank <= 100",
+    "bridge_proposals": """, l as (select distinct src as disease, dst as target from mech where stance = 'supports' and status = 'verified' and n_records > 1),
+        pt as (select x.disease as a, y.disease as b, x.target from l x join l y on x.target = y.target and x.disease < y.disease where (x.disease, y.disease) not in (select a, b from known)),
+        size as (select disease, count(*) as n from l group by 1),
+        j as (select a, b, string_agg(target, ', ' order by target) as targets, count(*) as k from pt group by all),
+        e as (select j.*, k::double / (x.n + y.n - k) as r from j join size x on x.disease = a join size y on y.disease = b),
+        i as (select *, (least(greatest(r, 0.05), 0.95) * 144115188075855872)::bigint * 25 as n from e),
+        ev as (select split_part(edge_id, '|', 2) as disease, split_part(edge_id, '|', 3) as target, source_type as url from evidence),
+        u as (select a, b, least(4, count(distinct url)) as m from pt join ev on ev.target = pt.target and ev.disease in (a, b) group by all)
+        select 'bridge__' || a || '__' || b as id, a as src, b as dst, 'C' as tier, 'unverified' as status,
+          ((n >> 55) + case when n & 36028797018963967 > 18014398509481984 or (n & 36028797018963967 = 18014398509481984 and (n >> 55) % 2 = 1) then 1 else 0 end) / 100.0 as confidence, 'Shared: ' || targets as note,
+          coalesce(array_to_string(list_transform(range(1, m + 1), lambda k: 'ev_bridge__' || a || '__' || b || '_' || k), ','), '') as evidence_ids from i left join u using (a, b)""",
+    "contradiction_context": """select x.id as edge_id, y.id as other_id from mech x join mech y on x.src = y.src and x.dst = y.dst
+        and y.stance = case x.stance when 'supports' then 'contradicts' when 'contradicts' then 'supports' end""",
+    "chain_counts": """, c as (select distinct edge_id from evidence where quantity >= 25)
+        select src as path_id, count(*) as n_steps, count(edge_id) as n_cited, count(*) filter (edge_id is null) as n_other, count(*) filter (stance = 'contradicts') as n_limits from mech left join c on edge_id = id group by 1""",
+    "neighbourhood_edges": """, e as (select id, src, dst from edges where type in ('subgroup_of', 'disease_gene') and src in (select id from nodes) and dst in (select id from nodes)),
+        w as (select src as x, dst as y from e union select dst, src from e), f as (select 'd' || p_partkey as start from part where p_partkey % 100 = 0),
+        r as (select start, start as node_id from f union select start, y from f join w on x = start union select start, b.y from f join w a on a.x = start join w b on b.x = a.y)
+        select a.start, e.id from e join r a on a.node_id = e.src join r b on b.node_id = e.dst and b.start = a.start""",
+    "proposed_new_edges": """, p as (select distinct 'd' || l_partkey as src, 'm' || l_suppkey as dst, 'https://x.org/' || l_linenumber as url from lineitem),
+        n as (select *, 'disease_mechanism__' || src || '__' || dst as edge_id from p where not exists (select 1 from mech m where m.src = p.src and m.dst = p.dst and m.stance = 'supports'))
+        select edge_id, src, dst, 'disease_mechanism' as type, url, 'ev_' || edge_id || '_' || row_number() over (partition by edge_id order by url) as evidence_id from n""",
+    "unsupported_claims": "select distinct src, dst from mech where stance = 'contradicts' and (src, dst) not in (select src, dst from mech where stance = 'supports' and status = 'verified')",
     "visible_contacts": """, c as (select case when o_orderkey % 5 = 0 then 'm' else 'c' end || o_custkey as person_node_id from orders), seen as (select person_node_id, count(*) as n from c where person_node_id in (select id from nodes where type = 'person') group by 1)
         select *, 'scout' as role from seen union all select *, 'admin' from seen""",
     "cache_keys": """, p as (select src, count(*)::int as n_edges, sum(n_records)::bigint::varchar as payload from mech group by 1),
@@ -70,6 +93,24 @@ GRAPH_SQL = {
         select n_edges, payload, valid, 64 as key_length, count(*) as n from r group by all""",
 }
 
+#: Those that also read connections; oracle.py puts its own tables of these before them.
+FOCUS_SQL = {
+    "plan_sections": """, own as (select distinct q.focus, q.candidate from quals q join mech m on m.id = q.edge_id where side = 'target' and m.src = q.candidate)
+        select focus, candidate, 'viable' as section from conn where kind = 'mechanism' and supported union all select focus, candidate, 'network' from conn where kind = 'investigator'
+        union all select focus, candidate, 'unsupported' from conn left join own using (focus, candidate) where kind = 'phenotype' or (kind = 'mechanism' and not supported) or (kind != 'mechanism' and own.focus is not null)""",
+    "plan_tasks": """, best as (select * from conn where kind = 'mechanism' and supported qualify row_number() over (partition by focus order by n_qualifiers, n_phenotypes desc, name, candidate) = 1),
+        g as (select disease, min_by(patient_group, id) as group_id from own_groups group by 1), gn as (select disease, n.name as group_name from g join nodes n on n.id = group_id)
+        select focus, 'write-partner' as task_id, 'week' as grp, 'Write to ' || group_name as title,
+          2 + (select count(*) from parents p where p.src = member and p.dst = focus) + (select count(*) from parents p where p.src = candidate)
+          + (select count(*) from own_groups o where o.disease = candidate or o.disease in (select dst from parents p where p.src = candidate)) as n_edges from best join gn on disease = candidate
+        union all select focus, 'confirm-' || edge_a, 'experiment', 'Confirm the mechanism for ' || n.name || ' variants', 1 from best join nodes n on n.id = member
+        union all select focus, 'confirm-' || edge_b, 'experiment', 'Confirm the mechanism for ' || name || ' variants', 1 from best
+        union all select fid, 'own-community', 'week', 'Talk to ' || group_name, 1 from focus join gn on disease = fid where fid not in (select focus from best)""",
+    "outreach_drafts": """, best as (select * from conn where kind = 'mechanism' and supported qualify row_number() over (partition by focus order by n_qualifiers, n_phenotypes desc, name, candidate) = 1)
+        select focus, 'Shared biology: ' || f.name || ' and ' || b.name as subject, 'We found cited evidence that ' || f.name || ' and ' || b.name || ' both involve ' || lower(v.name) || ' (' || edge_a || '; ' || edge_b || ').' || chr(10)
+          || 'Which questions need expert review before we work together?' as body from best b join nodes f on f.id = focus join nodes v on v.id = via""",
+}
+
 ORACLE_SQL = {
     "read_model_evidence": _SOURCES
     + """, t as (select *, coalesce(source_url, '') = '' or source_type = 'placeholder' as sample from sources)
@@ -123,6 +164,7 @@ ORACLE_SQL = {
     "visible_contributions": """with v(user_id, role) as (values (1, 'admin'), (2, 'group_leader'), (4, 'researcher'), (5, 'family'), (7, 'group_leader'))
         select v.user_id::bigint as user_id, o_orderkey as id from v, orders where role = 'admin' or (role in ('group_leader', 'researcher') and o_custkey = user_id)
           or (role = 'group_leader' and o_orderkey % 40 = (select c_custkey % 40 from customer where c_custkey = user_id))""",
+    "contract_fields": """select 'part' as "table", * from (values ('p_brand', 'unexpected'), ('p_retailprice', 'unexpected'), ('p_size', 'unexpected'), ('p_type', 'unexpected'), ('p_comment', 'missing')) v(field, side)""",
     "fresh_snapshots": "select event_id from events where floor(epoch(timestamp '2024-01-20 00:00:00')) - floor(epoch(ts)) <= 48 * 3600",
     "request_errors": """with r as (select *, o_orderkey % 15 + 1 as n, o_custkey % 9 as rep from orders)
         select o_orderkey as id, case when (o_custkey % 4) * 101 > 300 then 'query_too_long' when n > 12 then 'too_many_edges' when rep > 1 and rep <= n then 'repeated_edge' when o_orderkey % 6 = 0 then 'invalid_edge_id' end as error
