@@ -176,7 +176,10 @@ def two_hop_neighbourhood(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def explain_path(s: SparkSession, d: str) -> DataFrame:
-    pairs = links.inferred(testdata.mechanism_edges(s, d), testdata.parent_edges(s, d), "src", "dst")
+    """Paths of two edges from the stated diseases over each supported mechanism to every other disease."""
+    use = testdata.mechanism_edges(s, d).where(links.supported("usable"))
+    mine = use.join(_focus(s, d).withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("a"), "dst", F.col("id").alias("edge_a"))
+    pairs = mine.join(use.select(F.col("src").alias("b"), "dst", F.col("id").alias("edge_b")), "dst").where("a != b")
     paths = pairs.select(F.concat_ws("~", "edge_a", "edge_b").alias("path_id"), F.array("edge_a", "edge_b").alias("edge_ids"))
     cited = testdata.evidence(s, d).where("quantity >= 5")
     return connections.explain_paths(paths, testdata.mechanism_edges(s, d), cited)

@@ -200,7 +200,7 @@ _GRAPH_SQL = {
           union select start, y, hops + 1 from reach join way on node_id = x where hops < 2)
         select start, node_id, min(hops) as hops from reach group by start, node_id""",
     "explain_path": """, ok as (select * from mech where stance = 'supports' and status = 'verified' and tier != 'D' and id in (select edge_id from evidence where quantity >= 5)),
-        paths as (select x.id as e1, y.id as e2 from mech x join mech y on x.dst = y.dst and x.src < y.src where x.stance = 'supports' and y.stance = 'supports' and (x.src, y.src) not in (select a, b from known)),
+        paths as (select x.id as e1, y.id as e2 from mech x join mech y on x.dst = y.dst and x.src != y.src where x.stance = 'supports' and y.stance = 'supports' and x.src in (select 'd' || p_partkey from part where p_partkey % 100 = 0)),
         flags as (select e1 || '~' || e2 as path_id, 2 as n_edges, e1 in (select id from ok) and e2 in (select id from ok) as eligible from paths)
         select path_id, n_edges, eligible, eligible as connected, case when eligible then 'explained' else 'ineligible_edge' end as verdict from flags""",
     "assets_for_disease": """select src as asset, min(id) as first_edge, string_agg(distinct dst, ',' order by dst) as diseases from edges where type = 'asset_disease' and stance = 'supports' group by src""",
@@ -304,6 +304,7 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
         select doc_id, valid, start, start + length(quote) as "end", sha256(quote) as sha256 from l""",
     "quote_word_budget": r"""with w as (select conv_id, coalesce(sum(len(regexp_extract_all(text, '\S+'))), 0)::bigint as n_words from (select distinct conv_id, text from conversations) group by conv_id)
         select conv_id, n_words, n_words > 25 as "over" from w""",
+    "nfkd_search": r"select p_partkey, trim(regexp_replace(lower(p_name), '[\s_-]+', ' ', 'g')) as folded from part",
     "funding_shares": """with c as (select o_orderpriority as institute, sum(round(o_totalprice * 100)::bigint)::bigint as cents from orders group by 1),
         s as (select institute, cents, cents / (sum(cents) over ())::double as share,
           coalesce(sum(cents) over (order by cents desc, institute rows between unbounded preceding and 1 preceding), 0)::bigint / (sum(cents) over ())::double as "offset" from c)
