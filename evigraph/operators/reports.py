@@ -158,3 +158,118 @@ def investigators_in_order(people: DataFrame, names: DataFrame, most: int = 100)
 def top_by(rows: DataFrame, keys: list, most: int = 100) -> DataFrame:
     """A top-k report: the first rows by keys with their rank."""
     return rows.orderBy(*keys).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))  # most rows
+
+
+def assets_of(edges: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asset, category, first_edge, diseases, url, status: assets and studies with all their live diseases, by the first edge's id.
+
+    assets: id, kind, url, source_url, status, recruitment_status. A study is one; else the kind tells the category, else an
+    asset holds patient data. The url and the status fall back to their second names.
+    """
+    category = {"registry": "patient_data", "natural_history": "patient_data", "biobank": "biosamples", "funded_research_project": "funded_research"}  # fixed values
+    by_kind = F.lit("patient_data")
+    for k, v in category.items():
+        by_kind = F.when(F.col("kind") == k, v).otherwise(by_kind)
+    use = edges.where((F.col("status") != "rejected") & F.col("type").isin("asset_disease", "study_disease"))
+    own = use.groupBy(F.col("src").alias("id")).agg(F.min("id").alias("first_edge"), F.array_sort(F.collect_set("dst")).alias("diseases"))  # an asset's diseases
+    typed = own.join(nodes.select("id", "type"), "id").join(assets, "id", "left")
+    text = lambda c: F.when(F.trim(c) != "", F.col(c))
+    return typed.select(
+        F.col("id").alias("asset"), F.when(F.col("type") == "study", "study").otherwise(by_kind).alias("category"), "first_edge", "diseases",
+        F.coalesce(text("url"), text("source_url")).alias("url"), F.coalesce(text("status"), text("recruitment_status")).alias("status"),
+    )
+
+
+def curated_links(nodes: DataFrame) -> DataFrame:
+    """id, src, dst, type: links that nodes' own properties state, if both ends are known.
+
+    nodes: id, type, gene_id, investigator_ids, parent_disease. A variant belongs to its gene, an award to its investigators
+    (a link from each), a subgroup to its parent.
+    """
+    ids = nodes.select(F.col("id").alias("_id"))
+    rows = {
+        "variant_of": nodes.where("type = 'variant'").select(F.col("id").alias("src"), F.col("gene_id").alias("dst"), F.concat_ws("_", F.lit("cur_variant_of"), "id").alias("id"), F.col("gene_id").alias("_id")),
+        "investigator_award": nodes.where("type = 'funding'").select(F.explode("investigator_ids").alias("src"), F.col("id").alias("dst")).select("src", "dst", F.concat_ws("_", F.lit("cur_award"), "src", "dst").alias("id"), F.col("src").alias("_id")),
+        "subgroup_of": nodes.where("type = 'disease'").select(F.col("id").alias("src"), F.col("parent_disease").alias("dst"), F.concat_ws("_", F.lit("cur_subgroup"), "id").alias("id"), F.col("parent_disease").alias("_id")),
+    }
+    out = None
+    for kind, links_ in rows.items():
+        found = links_.join(ids, "_id", "left_semi").select("id", "src", "dst", F.lit(kind).alias("type"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def funding_projection(awards: DataFrame) -> DataFrame:
+    """agency, code, fiscal_year, members, n_applications, n_projects: which awards an agency's institute paid in a year.
+
+    awards: asset, agency, code, fiscal_year, application, project. Members are listed in order; costs are not added up.
+    """
+    return awards.groupBy("agency", "code", "fiscal_year").agg(
+        F.array_sort(F.collect_set("asset")).alias("members"), F.count_distinct("application").alias("n_applications"), F.count_distinct("project").alias("n_projects")
+    )
+
+
+def funding_errors(awards: DataFrame, sources: DataFrame) -> DataFrame:
+    """asset, error: awards that differ from their original records. awards: asset, application, name, project, fiscal_year, url, funder; sources: application, title, project, fiscal_year, agency, funder (both funder: JSON text)."""
+    own = sources.select("application", *[F.col(c).alias(f"s_{c}") for c in ("title", "project", "fiscal_year", "agency", "funder")], F.lit(True).alias("s_known"))
+    joined = awards.join(own, "application", "left")
+    known = F.col("s_known").isNotNull()
+    differ = lambda a, b: known & ~F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    rules = {
+        "no application identity": ~F.coalesce(F.col("application").rlike("^[1-9][0-9]*$"), F.lit(False)),
+        "no source record": ~known,
+        "another agency": known & ~F.coalesce(F.col("s_agency") == "NIH", F.lit(False)),
+        "title differs": differ("name", "s_title"),
+        "project differs": differ("project", "s_project") | (known & (F.coalesce(F.trim("project"), F.lit("")) == "")),
+        "year differs": differ("fiscal_year", "s_fiscal_year"),
+        "url differs": known & ~F.coalesce(F.col("url") == F.concat(F.lit("https://reporter.nih.gov/project-details/"), "application"), F.lit(False)),
+        "funders differ": differ("funder", "s_funder"),
+    }
+    found = F.filter(F.array(*[F.when(c, k) for k, c in rules.items()]), lambda x: x.isNotNull())
+    return joined.select("asset", F.explode(found).alias("error"))
+
+
+def clusters_in_order(members: DataFrame, mechanisms: DataFrame, groups: DataFrame, assets: DataFrame, people: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster_id, label, n_diseases, has_data, n_groups, n_people, n_qualifiers, rank of clusters of mechanisms.
+
+    members: cluster_id, mechanism; mechanisms: edges; groups: disease, patient_group (a parent's among them); assets: disease,
+    category; people: disease, person; labels: cluster_id, label. Most diseases first, then those with patient data, most
+    groups, most people, label.
+    """
+    use = mechanisms.where("status != 'rejected'").join(members.withColumnRenamed("mechanism", "dst"), "dst")
+    diseases = use.where("stance = 'supports'").select("cluster_id", F.col("src").alias("disease")).distinct()
+    n = lambda rows, key, out: diseases.join(rows, "disease").groupBy("cluster_id").agg(F.count_distinct(key).alias(out))
+    data = diseases.join(assets.where("category = 'patient_data'").select("disease").distinct(), "disease").select("cluster_id", F.lit(True).alias("has_data")).distinct()
+    facts = labels.join(diseases.groupBy("cluster_id").agg(F.count("*").alias("n_diseases")), "cluster_id", "left").join(data, "cluster_id", "left")
+    facts = facts.join(n(groups, "patient_group", "n_groups"), "cluster_id", "left").join(n(people, "person", "n_people"), "cluster_id", "left")
+    facts = facts.join(use.where("stance = 'contradicts'").groupBy("cluster_id").agg(F.count("*").alias("n_qualifiers")), "cluster_id", "left")
+    facts = facts.na.fill(0, ["n_diseases", "n_groups", "n_people", "n_qualifiers"]).na.fill(False, ["has_data"])
+    order = Window.orderBy(F.desc("n_diseases"), F.desc("has_data"), F.desc("n_groups"), F.desc("n_people"), "label", "cluster_id")  # rows are clusters
+    return facts.withColumn("rank", F.row_number().over(order))
+
+
+def needs(diseases: DataFrame, groups: DataFrame, assets: DataFrame) -> DataFrame:
+    """disease, need: diseases (disease, name) without a patient organization, patient data, or a study that recruits. assets: disease, category, status."""
+    has = {
+        "group": groups.select("disease").distinct(),
+        "data": assets.where("category = 'patient_data'").select("disease").distinct(),
+        "study": assets.where("category = 'study' and status = 'RECRUITING'").select("disease").distinct(),
+    }
+    text = {
+        "group": F.concat(F.lit("No patient organization linked to "), "name", F.lit(" in this atlas.")),
+        "data": F.lit("No registry or natural history study linked."),
+        "study": F.lit("No recruiting interventional or observational study linked."),
+    }  # fixed values
+    out = None
+    for k, rows in has.items():
+        found = diseases.join(rows, "disease", "left_anti").select("disease", text[k].alias("need"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def overlap_free_union(baseline: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """Both tables' distinct rows; keys that both have are an error, named by one of them."""
+    both = baseline.select(key).join(more.select(key), key, "left_semi").limit(1).collect()
+    if both:
+        raise ValueError(f"{key} {both[0][0]} is in both")
+    return baseline.unionByName(more).distinct()

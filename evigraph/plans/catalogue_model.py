@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import actions, connections, governance, links, quality, readmodel, reports
+from ..operators import actions, claims, connections, governance, links, quality, readmodel, reports
 from ..sources import testdata
 from ..sources.testdata import table
 
@@ -403,3 +403,80 @@ def contract_fields(s: SparkSession, d: str) -> DataFrame:
 def unsupported_claims(s: SparkSession, d: str) -> DataFrame:
     e = testdata.mechanism_edges(s, d)
     return quality.not_subset(e.where("stance = 'contradicts'").select("src", "dst"), e.where(links.supported()), ["src", "dst"])
+
+
+@query
+def reconciled_claims(s: SparkSession, d: str) -> DataFrame:
+    """Claims of part names and brands, some misspelt, against diseases and genes."""
+    part = table(s, d, "part")
+    nodes = part.select(F.col("p_name").alias("name")).distinct().select(F.lit("disease").alias("type"), F.col("name").alias("id"), "name", F.array().cast("array<string>").alias("synonyms"))
+    nodes = nodes.unionByName(part.select(F.col("p_brand").alias("name")).distinct().select(F.lit("gene").alias("type"), F.col("name").alias("id"), "name", F.array().cast("array<string>").alias("synonyms")))
+    edges = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("src"), F.lit("disease_gene").alias("type"), F.col("p_brand").alias("dst"))
+    claim = part.select(F.col("p_partkey").alias("claim_id"), F.when(F.col("p_partkey") % 5 == 0, F.lit("zzz unknown")).otherwise(F.upper("p_name")).alias("subject"), F.lit("disease_gene").alias("relation"), F.when(F.col("p_partkey") % 3 == 0, F.lit("qqq")).otherwise(F.col("p_brand")).alias("object"))
+    return claims.reconciled(claim, nodes, edges, {"disease_gene": "gene"})
+
+
+def _assets(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "funded_research_project").when(F.col("o_orderstatus") == "O", "biobank")
+    return o.select(
+        _d("o_orderkey", "o").alias("id"), kind.alias("kind"), F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("https://x.org/a").alias("url"), F.lit("https://x.org/b").alias("source_url"),
+        F.lit(None).cast("string").alias("status"), F.when(F.col("o_custkey") % 2 == 0, "RECRUITING").alias("recruitment_status"),
+    )
+
+
+@query
+def assets_of_diseases(s: SparkSession, d: str) -> DataFrame:
+    out = reports.assets_of(testdata.asset_edges(s, d), _assets(s, d), testdata.nodes(s, d))
+    return out.withColumn("diseases", F.array_join("diseases", ","))
+
+
+@query
+def curated_links(s: SparkSession, d: str) -> DataFrame:
+    part, o = table(s, d, "part"), table(s, d, "orders")
+    none, no_ids = F.lit(None).cast("string"), F.array().cast("array<string>")
+    rows = part.select(_d().alias("id"), F.lit("disease").alias("type"), none.alias("gene_id"), no_ids.alias("investigator_ids"), F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("d"), (F.col("p_partkey") - 3).cast("string"))).alias("parent_disease"))
+    rows = rows.unionByName(part.select(_d(prefix="v").alias("id"), F.lit("variant").alias("type"), F.when(F.col("p_partkey") % 2 == 0, _d("p_brand", "g")).otherwise("gX").alias("gene_id"), no_ids.alias("investigator_ids"), none.alias("parent_disease")))
+    rows = rows.unionByName(o.select(_d("o_orderkey", "o").alias("id"), F.lit("funding").alias("type"), none.alias("gene_id"), F.array(_d("o_custkey", "c"), F.lit("c-")).alias("investigator_ids"), none.alias("parent_disease")))
+    rows = rows.unionByName(testdata.nodes(s, d).where("type in ('gene', 'person')").select("id", "type", none.alias("gene_id"), no_ids.alias("investigator_ids"), none.alias("parent_disease")))
+    return reports.curated_links(rows)
+
+
+@query
+def funding_projection(s: SparkSession, d: str) -> DataFrame:
+    awards = testdata.awards(s, d).withColumn("agency", F.when(F.col("application") % 3 == 0, "NSF").otherwise("NIH")).withColumnRenamed("institute", "code")
+    out = reports.funding_projection(awards)
+    return out.withColumn("members", F.md5(F.array_join("members", ",").cast("binary")))
+
+
+@query
+def funding_errors(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    key = _text("o_orderkey")
+    awards = o.select(
+        _d("o_orderkey", "o").alias("asset"), F.when(F.col("o_orderkey") % 31 == 0, F.lit("x")).otherwise(key).alias("application"), F.col("o_orderpriority").alias("name"), _text("o_custkey").alias("project"), F.year("o_orderdate").alias("fiscal_year"),
+        F.concat(F.lit("https://reporter.nih.gov/project-details/"), F.when(F.col("o_orderkey") % 29 == 0, F.lit("0")).otherwise(key)).alias("url"), F.lit('[{"code":"A"}]').alias("funder"),
+    )
+    sources = o.where("o_orderkey % 23 != 0").select(
+        key.alias("application"), F.when(F.col("o_orderkey") % 19 == 0, F.lit("other")).otherwise(F.col("o_orderpriority")).alias("title"), _text("o_custkey").alias("project"), (F.year("o_orderdate") + (F.col("o_orderkey") % 17 == 0).cast("int")).alias("fiscal_year"),
+        F.when(F.col("o_orderkey") % 13 == 0, "NSF").otherwise("NIH").alias("agency"), F.when(F.col("o_orderkey") % 11 == 0, "[]").otherwise('[{"code":"A"}]').alias("funder"),
+    )
+    return reports.funding_errors(awards, sources)
+
+
+@query
+def clusters_in_order(s: SparkSession, d: str) -> DataFrame:
+    members = testdata.mechanism_clusters(s, d).select("cluster_id", F.col("node_id").alias("mechanism"))
+    labels = table(s, d, "region").select(_d("r_regionkey", "r").alias("cluster_id"), F.col("r_name").alias("label"))
+    groups = connections.communities(testdata.group_edges(s, d), testdata.parent_edges(s, d))
+    held = reports.assets_of(testdata.asset_edges(s, d), _assets(s, d), testdata.nodes(s, d)).select(F.explode("diseases").alias("disease"), "category")
+    people = links.links(testdata.investigator_edges(s, d), "dst", "src", "usable").withColumnRenamed("target", "person")
+    return reports.clusters_in_order(members, testdata.mechanism_edges(s, d), groups, held, people, labels)
+
+
+@query
+def needs_of_diseases(s: SparkSession, d: str) -> DataFrame:
+    diseases = testdata.nodes(s, d).where("type = 'disease'").select(F.col("id").alias("disease"), "name")
+    groups = testdata.group_edges(s, d).where("src != 'n3' and src < 'n2'").select(F.col("dst").alias("disease"))
+    held = reports.assets_of(testdata.asset_edges(s, d), _assets(s, d), testdata.nodes(s, d)).select(F.explode("diseases").alias("disease"), "category", "status")
+    return reports.needs(diseases, groups, held)

@@ -86,6 +86,21 @@ GRAPH_SQL = {
         n as (select *, 'disease_mechanism__' || src || '__' || dst as edge_id from p where not exists (select 1 from mech m where m.src = p.src and m.dst = p.dst and m.stance = 'supports'))
         select edge_id, src, dst, 'disease_mechanism' as type, url, 'ev_' || edge_id || '_' || row_number() over (partition by edge_id order by url) as evidence_id from n""",
     "unsupported_claims": "select distinct src, dst from mech where stance = 'contradicts' and (src, dst) not in (select src, dst from mech where stance = 'supports' and status = 'verified')",
+    "assets_of_diseases": """select src as asset, case o_orderstatus when 'F' then 'funded_research' when 'O' then 'biosamples' else 'patient_data' end as category, min(id) as first_edge,
+          string_agg(distinct dst, ',' order by dst) as diseases, case when o_orderkey % 2 = 0 then 'https://x.org/b' else 'https://x.org/a' end as url, case when o_custkey % 2 = 0 then 'RECRUITING' end as status
+        from edges join orders on src = 'o' || o_orderkey where type = 'asset_disease' group by src, o_orderstatus, o_orderkey, o_custkey""",
+    "clusters_in_order": """, u as (select m.*, cluster_id from mech m join mc on mc.node_id = m.dst), ds as (select distinct cluster_id, src as disease from u where stance = 'supports'),
+        og as (select dst as disease, src as g from edges where type = 'group_disease'), gs as (select * from og union select p.src, g from parents p join og on og.disease = p.dst),
+        pd as (select distinct dst as disease from edges join orders on src = 'o' || o_orderkey where type = 'asset_disease' and o_orderstatus not in ('F', 'O')),
+        f as (select 'r' || r_regionkey as cluster_id, r_name as label, (select count(*) from ds where ds.cluster_id = 'r' || r_regionkey) as n_diseases,
+          exists (select 1 from ds join pd using (disease) where ds.cluster_id = 'r' || r_regionkey) as has_data, (select count(distinct g) from ds join gs using (disease) where ds.cluster_id = 'r' || r_regionkey) as n_groups,
+          (select count(distinct i.target) from ds join i_use i on i.disease = ds.disease where ds.cluster_id = 'r' || r_regionkey) as n_people, (select count(*) from u where stance = 'contradicts' and u.cluster_id = 'r' || r_regionkey) as n_qualifiers from region)
+        select *, row_number() over (order by n_diseases desc, has_data desc, n_groups desc, n_people desc, label, cluster_id)::int as rank from f""",
+    "needs_of_diseases": """, g as (select dst as disease from edges where type = 'group_disease' and src != 'n3' and src < 'n2'),
+        pd as (select dst as disease from edges join orders on src = 'o' || o_orderkey where type = 'asset_disease' and o_orderstatus not in ('F', 'O'))
+        select id as disease, 'No patient organization linked to ' || name || ' in this atlas.' as need from nodes where type = 'disease' and id not in (select disease from g)
+        union all select id, 'No registry or natural history study linked.' from nodes where type = 'disease' and id not in (select disease from pd)
+        union all select id, 'No recruiting interventional or observational study linked.' from nodes where type = 'disease'""",
     "visible_contacts": """, c as (select case when o_orderkey % 5 = 0 then 'm' else 'c' end || o_custkey as person_node_id from orders), seen as (select person_node_id, count(*) as n from c where person_node_id in (select id from nodes where type = 'person') group by 1)
         select *, 'scout' as role from seen union all select *, 'admin' from seen""",
     "cache_keys": """, p as (select src, count(*)::int as n_edges, sum(n_records)::bigint::varchar as payload from mech group by 1),
@@ -164,6 +179,19 @@ ORACLE_SQL = {
     "visible_contributions": """with v(user_id, role) as (values (1, 'admin'), (2, 'group_leader'), (4, 'researcher'), (5, 'family'), (7, 'group_leader'))
         select v.user_id::bigint as user_id, o_orderkey as id from v, orders where role = 'admin' or (role in ('group_leader', 'researcher') and o_custkey = user_id)
           or (role = 'group_leader' and o_orderkey % 40 = (select c_custkey % 40 from customer where c_custkey = user_id))""",
+    "curated_links": """select 'cur_subgroup_d' || p_partkey as id, 'd' || p_partkey as src, 'd' || (p_partkey - 3) as dst, 'subgroup_of' as type from part where p_partkey % 7 = 0 and p_partkey - 3 in (select p_partkey from part)
+        union all select 'cur_variant_of_v' || p_partkey, 'v' || p_partkey, 'g' || p_brand, 'variant_of' from part where p_partkey % 2 = 0
+        union all select 'cur_award_c' || o_custkey || '_o' || o_orderkey, 'c' || o_custkey, 'o' || o_orderkey, 'investigator_award' from orders where o_custkey in (select c_custkey from customer)""",
+    "funding_projection": """select case when o_orderkey % 3 = 0 then 'NSF' else 'NIH' end as agency, o_orderpriority as code, year(o_orderdate)::int as fiscal_year, md5(string_agg(distinct 'o' || o_orderkey, ',' order by 'o' || o_orderkey)) as members,
+          count(distinct o_orderkey) as n_applications, count(distinct o_custkey) as n_projects from orders group by 1, 2, 3""",
+    "funding_errors": """with o as (select *, 'o' || o_orderkey as asset, o_orderkey % 31 != 0 and o_orderkey % 23 != 0 as known from orders)
+        select asset, 'no application identity' as error from o where o_orderkey % 31 = 0 union all select asset, 'no source record' from o where not known union all select asset, 'another agency' from o where known and o_orderkey % 13 = 0
+        union all select asset, 'title differs' from o where known and o_orderkey % 19 = 0 union all select asset, 'year differs' from o where known and o_orderkey % 17 = 0
+        union all select asset, 'url differs' from o where known and o_orderkey % 29 = 0 union all select asset, 'funders differ' from o where known and o_orderkey % 11 = 0""",
+    "reconciled_claims": """with c as (select p_partkey as claim_id, p_partkey % 5 != 0 as s_known, p_partkey % 3 != 0 as o_known, p_name, p_brand from part),
+        l as (select p_name, count(distinct p_brand) as n from part where p_partkey % 2 = 0 group by 1),
+        r as (select claim_id, s_known, o_known, c.p_name, p_brand, case when s_known and not o_known then least(5, coalesce(n, 0)) else 0 end as k from c left join l using (p_name))
+        select claim_id, case when s_known and o_known then 'exact' when k > 0 then 'review' else 'new' end as outcome, case when s_known then p_name end as subject_id, case when o_known then p_brand end as object_id, k as n_candidates from r""",
     "contract_fields": """select 'part' as "table", * from (values ('p_brand', 'unexpected'), ('p_retailprice', 'unexpected'), ('p_size', 'unexpected'), ('p_type', 'unexpected'), ('p_comment', 'missing')) v(field, side)""",
     "fresh_snapshots": "select event_id from events where floor(epoch(timestamp '2024-01-20 00:00:00')) - floor(epoch(ts)) <= 48 * 3600",
     "request_errors": """with r as (select *, o_orderkey % 15 + 1 as n, o_custkey % 9 as rep from orders)
