@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-MAX_BATCH_ROWS = 500
+MAX_BATCH_ROWS, MAX_BATCH_BYTES = 500, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,9 +73,15 @@ def join_hubs(big: DataFrame, small: DataFrame, key: str, how: str = "inner") ->
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, so that a batch of very long texts still fits a worker."""
+    """Bound the Arrow batches by rows and by bytes, so that a batch of very long texts still fits a worker.
+
+    Frames are lazy, so the bounds stand for the session; a session's own smaller ones stay.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > MAX_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_BATCH_ROWS))
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    if not bound.isdigit() or int(bound) > MAX_BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MAX_BATCH_BYTES))
 
 
 def text_frame(docs: DataFrame, *more: Column) -> DataFrame:
