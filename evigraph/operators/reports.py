@@ -14,11 +14,11 @@ def funding_groups(awards: DataFrame) -> DataFrame:
 
 
 def money_by_condition(awards: DataFrame, asset_edges: DataFrame) -> DataFrame:
-    """disease, money, n_awards: an award's cost in equal parts over its conditions; none or not positive: left out."""
+    """disease, money, n_awards: an award's cost in equal parts over its conditions, each to a millionth; none or not positive: left out."""
     pairs = asset_edges.where(supported("usable")).select(F.col("src").alias("asset"), F.col("dst").alias("disease")).distinct()
     shares = pairs.groupBy("asset").agg(F.count("*").alias("n"))
     rows = awards.where("total_cost > 0").select("asset", "total_cost").join(shares, "asset").join(pairs, "asset")
-    return rows.groupBy("disease").agg(F.sum(F.col("total_cost") / F.col("n")).alias("money"), F.count("*").alias("n_awards"))
+    return rows.groupBy("disease").agg((F.sum(F.round(F.col("total_cost") * 1e6 / F.col("n")).cast("long")) / 1e6).alias("money"), F.count("*").alias("n_awards"))
 
 
 def top_with_other(totals: DataFrame, key: str, value: str, most: int = 8) -> DataFrame:

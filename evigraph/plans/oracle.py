@@ -206,7 +206,7 @@ _GRAPH_SQL = {
     "assets_for_disease": """select src as asset, min(id) as first_edge, string_agg(distinct dst, ',' order by dst) as diseases from edges where type = 'asset_disease' and stance = 'supports' group by src""",
     "funding_groups": "select institute, fiscal_year, count(distinct application) as n_applications, count(distinct project) as n_projects from awards group by all",
     "funding_money_by_condition": """, n as (select asset, count(*) as n from assets group by asset)
-        select disease, sum(total_cost / n) as money, count(*) as n_awards from assets join n using (asset) join awards using (asset) where total_cost > 0 group by disease""",
+        select disease, sum(round(total_cost * 1e6 / n)::bigint)::bigint / 1e6 as money, count(*) as n_awards from assets join n using (asset) join awards using (asset) where total_cost > 0 group by disease""",
     "funding_top_other": """, t as (select institute || ' ' || fiscal_year as funder, count(*) as n from awards group by all),
         r as (select *, row_number() over (order by n desc, funder) as place, count(*) over () as many from t)
         select funder, n, place from r where many <= 8 or place < 8

@@ -7,9 +7,13 @@ target, stance) become one edge, and each stays as evidence.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,8 +41,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _merged(rows: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
-    """Parallel records as one edge each: verified if any is, with the best tier."""
+def _merged(spark: SparkSession, sf_dir: str, kind: str, src: str, dst: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """Parallel records as one edge each, a table that all queries of an application read: written at its first use."""
+    return stored(spark, f"{kind} of {sf_dir}", lambda: _merge(rows(), kind, src, dst))
+
+
+def _merge(rows: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
+    """Verified if any record is, with the best tier."""
     grouped = rows.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst"), "stance").agg(
         F.max("status").alias("status"), F.min("tier").alias("tier"), F.count("*").alias("n_records")
     )
@@ -55,16 +64,16 @@ def _stated(rows: DataFrame, kind: str, tier: str) -> DataFrame:
 
 
 def mechanism_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(records(spark, sf_dir), "disease_mechanism", "disease", "mechanism")
+    return _merged(spark, sf_dir, "disease_mechanism", "disease", "mechanism", lambda: records(spark, sf_dir))
 
 
 def investigator_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), _id("c", "o_custkey").alias("person"))
-    return _merged(records(spark, sf_dir).join(orders, "order_key"), "investigator_disease", "person", "disease")
+    return _merged(spark, sf_dir, "investigator_disease", "person", "disease", lambda: records(spark, sf_dir).join(orders, "order_key"))
 
 
 def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(records(spark, sf_dir).withColumn("asset", _id("o", "order_key")), "asset_disease", "asset", "disease")
+    return _merged(spark, sf_dir, "asset_disease", "asset", "disease", lambda: records(spark, sf_dir).withColumn("asset", _id("o", "order_key")))
 
 
 def gene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
