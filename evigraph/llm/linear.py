@@ -9,9 +9,10 @@ class Sparse:
     """Rows of feature numbers: those of row i are index[start[i]:start[i + 1]]."""
 
     def __init__(self, rows: list[np.ndarray]):
+        small = all(len(r) == 0 or r.max() < 1 << 31 for r in rows)
         self.start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.index = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.start))
+        self.index = np.concatenate(rows).astype(np.int32 if small else np.int64) if len(rows) else np.empty(0, np.int64)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.start))
 
     def __len__(self) -> int:
         return len(self.start) - 1
@@ -36,12 +37,13 @@ def hinge_dual(x: Sparse, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, ro
     """
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(len(scale)), 0.0
-    parts = [(x.index[a:b], scale[x.index[a:b]]) for a, b in zip(x.start, x.start[1:], strict=False)]
-    parts = [(i, v / max(1e-9, np.sqrt((v * v).sum()))) for i, v in parts]
+    start = x.start.tolist()
+    norm = np.array([max(1e-9, float(np.sqrt((scale[x.index[a:b]] ** 2).sum()))) for a, b in zip(start, start[1:], strict=False)])
     alpha = np.zeros(len(y))
     for _ in range(rounds):
         for k in rng.permutation(len(y)):
-            i, v = parts[k]
+            i = x.index[start[k] : start[k + 1]]
+            v = scale[i] / norm[k]
             g = y[k] * (w[i] @ v + bias) - 1
             new = min(max(alpha[k] - g / 2.0, 0.0), cost[k])  # the row's square length is 1, its bias adds 1
             step = (new - alpha[k]) * y[k]

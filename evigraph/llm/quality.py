@@ -25,7 +25,7 @@ from .common import Batches, WordHashes, held_out, mix, small_batches, text_fram
 from .linear import Sparse, hinge_dual, log_count_ratios, sigmoid_fit
 
 SIZE = 1 << 18
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
 LENGTHS = (1, 2, 3)
 _RUNS = re.compile(rb"(.)\1+", re.S)
 _KIND = bytes(
@@ -107,7 +107,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, most: int,
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(x, pa.binary())], names=["_id", "_y", "x"])
 
     got = own.mapInArrow(run, "_id long, _y int, x binary").toPandas().sort_values("_id")
-    return [np.frombuffer(bytes(x), np.int32).astype(np.int64) for x in got["x"]], got["_y"].to_numpy().astype(float)
+    return [np.frombuffer(x, np.int32) for x in got["x"]], got["_y"].to_numpy().astype(float)
 
 
 class Model:
