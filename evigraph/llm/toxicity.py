@@ -241,7 +241,7 @@ def _signs(labelled: DataFrame) -> tuple[Signs, float]:
             x = Sparse([Read(t, every_term).signs for t in b.column("text").to_pylist()])
             numbers, at = np.unique(x.index, return_inverse=True)
             counts = [np.bincount(at, kind[x.row] == k, len(numbers)).astype(np.int64) for k in range(2 * FOLDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), *map(pa.array, counts)], names=["sign", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *map(pa.array, counts)], names=["sign", *names])
 
     totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.least("_y", F.lit(1))), F.lit(0)).alias("t")).first()
     n, t = totals["n"], totals["t"]
