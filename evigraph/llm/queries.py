@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, repetition, suffix_lm, token_counts, toxicity, urls
+from . import bpe, exact_dedup, filter_audit, merkle, mixing, near_dedup, quality, repetition, suffix_lm, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir), n=2, percent=80)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,10 +81,14 @@ QUERIES: dict[str, Query] = {
         op8_suffix_lm,
         op9_urls,
         op10_near_dedup,
+        op12_merkle,
+        op13_filter_audit,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
