@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, filter_audit, merkle, mixing, near_dedup, quality, repetition, suffix_lm, token_counts, toxicity, urls
+from . import bpe, exact_dedup, filter_audit, merkle, mixing, near_dedup, pii, quality, repetition, suffix_lm, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return pii.digest(pii.personal_data(_documents(spark, sf_dir)))
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,7 @@ QUERIES: dict[str, Query] = {
         op8_suffix_lm,
         op9_urls,
         op10_near_dedup,
+        op11_pii,
         op12_merkle,
         op13_filter_audit,
     )
