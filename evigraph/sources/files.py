@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .schema import CLUSTERS, EDGES, EVIDENCE, NODE_CLUSTER, NODES, Graph
 
 TABLES = {"nodes": NODES, "edges": EDGES, "evidence": EVIDENCE, "clusters": CLUSTERS, "node_cluster": NODE_CLUSTER}
@@ -75,25 +74,15 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 _stored: dict[tuple[str, str], str] = {}
-_own: dict[str, str] = {}
 
 
-def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that many queries of an application read: built and written once, to the folder of spark.checkpoint.dir.
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame], key: str | None = None) -> DataFrame:
+    """A table that many queries of an application read: built and written once, to the folder that all share, clustered by key.
 
-    The folder is shared by the driver and all executors; only a local master may leave it unset. The files go when the
-    driver's JVM ends. A name stands for one table while the application lives.
+    A name stands for one table while the application lives: it must name the input, its version included.
     """
     app = spark.sparkContext.applicationId
     if (app, name) not in _stored:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = _own.setdefault(app, tempfile.mkdtemp(prefix="evigraph-"))
-        path = f"{base.rstrip('/')}/evigraph/graph-{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-        _stored[app, name] = path
+        rows = build()
+        _stored[app, name] = scratch.write(rows.repartition(key).sortWithinPartitions(key) if key else rows, "graph")
     return spark.read.parquet(_stored[app, name])
