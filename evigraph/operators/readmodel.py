@@ -102,7 +102,7 @@ def first_gene(edges: DataFrame) -> DataFrame:
 
 
 def diseases_of_genes(edges: DataFrame, degree: DataFrame, names: DataFrame) -> DataFrame:
-    """gene, disease, place: the diseases of each gene, those of most links first. degree: node_id, degree; names: id, name."""
+    """gene, disease, degree, name: the diseases of each gene, to be ordered by degree and name. degree: node_id, degree; names: id, name."""
     own = edges.where((F.col("type") == "disease_gene") & supported("usable")).select(F.col("dst").alias("gene"), F.col("src").alias("disease")).distinct()
     own = own.join(degree.select(F.col("node_id").alias("disease"), "degree"), "disease", "left").join(names.select(F.col("id").alias("disease"), "name"), "disease")
     return own.select("gene", "disease", F.coalesce("degree", F.lit(0)).alias("degree"), "name")

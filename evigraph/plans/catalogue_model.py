@@ -144,7 +144,7 @@ def money_by_project(s: SparkSession, d: str) -> DataFrame:
 
 def _disease_clusters(s: SparkSession, d: str) -> DataFrame:
     """Diseases by brand and size as clusters."""
-    return table(s, d, "part").where("p_size <= 3").select(F.concat_ws("/", "p_brand", _text("p_size")).alias("cluster_id"), _d().alias("disease"))
+    return table(s, d, "part").select(F.concat_ws("/", "p_brand", _text("p_size")).alias("cluster_id"), _d().alias("disease"))
 
 
 @query
@@ -361,19 +361,12 @@ def outreach_drafts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bridge_proposals(s: SparkSession, d: str) -> DataFrame:
-    """Over links that two records or more support."""
-    e = testdata.mechanism_edges(s, d).where("n_records > 1")
+    e = testdata.mechanism_edges(s, d)
     ev = testdata.evidence(s, d).select(F.split("edge_id", r"\|")[1].alias("disease"), F.split("edge_id", r"\|")[2].alias("target"), F.col("source_type").alias("url"))
     out = actions.bridge_proposals(links.links(e, "src", "dst"), testdata.parent_edges(s, d), ev)
     return out.withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
-@query
-def contradiction_context(s: SparkSession, d: str) -> DataFrame:
-    e = testdata.mechanism_edges(s, d)
-    return actions.contradiction_context(e, e.select("id"))
-
-
 @query
 def chain_counts(s: SparkSession, d: str) -> DataFrame:
     e = testdata.mechanism_edges(s, d)

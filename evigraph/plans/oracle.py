@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle_model
+from . import oracle_graph, oracle_model
 
 GRAPH = """
 with recursive rec as (
@@ -312,4 +312,5 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
 }
 
 ORACLE_SQL |= oracle_model.ORACLE_SQL | {name: GRAPH + sql for name, sql in oracle_model.GRAPH_SQL.items()}
+ORACLE_SQL |= {name: GRAPH + sql for name, sql in oracle_graph.GRAPH_SQL.items()}
 ORACLE_SQL |= {name: GRAPH + _FOCUS + sql for name, sql in oracle_model.FOCUS_SQL.items()}

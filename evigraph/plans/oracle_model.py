@@ -51,7 +51,7 @@ GRAPH_SQL = {
         one as (select path_id, key, min(id) as id from step group by all),
         listed as (select path_id, list_sort(list(id)) as l from one group by 1)
         select path_id, array_to_string(l[1:4], ',') as edge_ids, greatest(len(l) - 4, 0)::int as n_more from listed""",
-    "cluster_mechanisms": """, c as (select p_brand || '/' || p_size as cluster_id, 'd' || p_partkey as disease from part where p_size <= 3), size as (select cluster_id, count(*) as n from c group by 1),
+    "cluster_mechanisms": """, c as (select p_brand || '/' || p_size as cluster_id, 'd' || p_partkey as disease from part), size as (select cluster_id, count(*) as n from c group by 1),
         held as (select c.cluster_id, target as mechanism, count(*) as k from c join m_use using (disease) group by all)
         select cluster_id, mechanism from held join size using (cluster_id) where k = n""",
     "builder_status": _DECISIONS
@@ -63,7 +63,7 @@ GRAPH_SQL = {
     "mechanisms_in_order": """, i as (select dst as mechanism, count(distinct case stance when 'supports' then src end) as n_supports from mech group by 1)
         select mechanism, name, n_supports, row_number() over (order by n_supports desc, name, mechanism)::int as rank from i join nodes on id = mechanism qualify rank <= 100""",
     "diseases_in_order": "select id, name, row_number() over (order by name, id)::int as rank from nodes where type = 'disease' qualify rank <= 100",
-    "bridge_proposals": """, l as (select distinct src as disease, dst as target from mech where stance = 'supports' and status = 'verified' and n_records > 1),
+    "bridge_proposals": """, l as (select distinct src as disease, dst as target from mech where stance = 'supports' and status = 'verified'),
         pt as (select x.disease as a, y.disease as b, x.target from l x join l y on x.target = y.target and x.disease < y.disease where (x.disease, y.disease) not in (select a, b from known)),
         size as (select disease, count(*) as n from l group by 1),
         j as (select a, b, string_agg(target, ', ' order by target) as targets, count(*) as k from pt group by all),
@@ -74,8 +74,6 @@ GRAPH_SQL = {
         select 'bridge__' || a || '__' || b as id, a as src, b as dst, 'C' as tier, 'unverified' as status,
           ((n >> 55) + case when n & 36028797018963967 > 18014398509481984 or (n & 36028797018963967 = 18014398509481984 and (n >> 55) % 2 = 1) then 1 else 0 end) / 100.0 as confidence, 'Shared: ' || targets as note,
           coalesce(array_to_string(list_transform(range(1, m + 1), lambda k: 'ev_bridge__' || a || '__' || b || '_' || k), ','), '') as evidence_ids from i left join u using (a, b)""",
-    "contradiction_context": """select x.id as edge_id, y.id as other_id from mech x join mech y on x.src = y.src and x.dst = y.dst
-        and y.stance = case x.stance when 'supports' then 'contradicts' when 'contradicts' then 'supports' end""",
     "chain_counts": """, c as (select distinct edge_id from evidence where quantity >= 25)
         select src as path_id, count(*) as n_steps, count(edge_id) as n_cited, count(*) filter (edge_id is null) as n_other, count(*) filter (stance = 'contradicts') as n_limits from mech left join c on edge_id = id group by 1""",
     "neighbourhood_edges": """, e as (select id, src, dst from edges where type in ('subgroup_of', 'disease_gene') and src in (select id from nodes) and dst in (select id from nodes)),
@@ -139,7 +137,7 @@ ORACLE_SQL = {
     "keep_last_event": "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type, min(event_id) as place from events group by 1",
     "money_by_funder": "select o_orderpriority as institute, sum(round(o_totalprice * 100)::bigint)::bigint as money, count(*) as n_awards from orders where round(o_totalprice * 100) > 0 group by 1",
     "money_by_project": "select o_custkey as project, sum(round(o_totalprice * 100)::bigint)::bigint as money, count(*) as n_awards from orders where round(o_totalprice * 100) > 0 group by 1",
-    "cluster_members": "select p_brand || '/' || p_size as cluster_id, 'd' || p_partkey as disease, p_name as name from part where p_size <= 3",
+    "cluster_members": "select p_brand || '/' || p_size as cluster_id, 'd' || p_partkey as disease, p_name as name from part",
     "source_chart": """with q as (select p_type as source, upper(p_name || ' ' || p_type) as query, p_size as retrieved, p_size * 3 as total from part)
         select source as key, sum(retrieved)::bigint as n, 'kept' as view from q group by 1 having n > 0 union all select source, sum(total)::bigint as n, 'all' from q group by 1 having n > 0
         union all select case when contains(query, 'TIN') then 'tin' when contains(query, 'STEEL') then 'Steel' when contains(query, 'COPPER') then 'copper' else 'other' end, sum(retrieved)::bigint as n, 'gene' from q group by 1 having n > 0""",
