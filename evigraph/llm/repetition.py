@@ -4,8 +4,9 @@ Method: rolling 64-bit hashes of word windows of several lengths, in numpy, give
 duplicated n-grams; equal lines give the characters inside duplicated lines. A document is kept unless it fails the
 base rules or too large a share of its characters is covered by repetition.
 
-Null texts count as empty: no words, base_failed true, kept false. Repeated rows give repeated results. Whole
-texts are read; nothing is shuffled.
+Null texts count as empty: no words, base_failed true, kept false. Repeated rows give repeated results, an empty table
+none. A share equal to its limit passes; ties do not occur otherwise. Whole texts are read, however long, one at a time in
+arrays of their words; nothing is shuffled. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import Batches, text_frame, window_hashes, word_hashes
 
 #: Window lengths, and the largest share of word characters (in percent) that repeats of that length may cover.
-COVER_LIMITS = {3: 50, 5: 40, 10: 37}
+COVER_LIMITS = {3: 40, 5: 30, 10: 20}
 LINE_LIMIT = 20
 MIN_WORDS = 50
 _SYMBOLS = b"#*$%&|<>"
