@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import communities, links, paths, reconcile
-from ..sources import testdata
+from ..sources import ontology, testdata
 from ..sources.testdata import table
+from ..streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +136,40 @@ def reconciled_names(s: SparkSession, d: str) -> DataFrame:
     out = reconcile.reconciled(claim, nodes, edges, {"disease_gene": "gene"})
     said = F.transform("candidates", lambda c: F.concat_ws(":", c["node_id"], F.round(c["ratio"], 4).cast("string")))
     return out.withColumn("candidates", F.array_join(said, ","))
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    """A response for each part: some with another term, an obsolete one, or two; names of several scopes, statements of identity and others."""
+    p = F.col("p_partkey")
+    id_ = F.concat(F.lit("M:"), p.cast("string"))
+    scoped = lambda name, scope: F.struct(name.alias("name"), F.lit(scope).alias("scope"))
+    xref = lambda db, value, told: F.struct(F.lit(db).alias("database"), value.cast("string").alias("id"), told.alias("description"))
+    told = F.when(p % 2 == 0, ontology.EQUIVALENT).otherwise("MONDO:relatedTo")
+    term = F.struct(
+        F.when(p % 11 == 0, "M:other").otherwise(id_).alias("obo_id"), F.col("p_name").alias("label"), (p % 13 == 0).alias("is_obsolete"), F.when(p % 26 == 0, "M:1").alias("term_replaced_by"),
+        F.array(F.col("p_type"), F.col("p_name")).alias("description"), F.array("p_name", "p_brand", "p_type").alias("synonyms"), F.array(xref("OMIM", F.col("p_size"), told), xref("ICD", p, F.lit(ontology.EQUIVALENT)), xref("Orphanet", p, F.lit(ontology.EQUIVALENT))).alias("obo_xref"),
+        F.array(scoped(F.col("p_name"), ontology.EXACT), scoped(F.concat(F.lit("x "), "p_name"), ontology.EXACT), scoped(F.col("p_brand"), "hasRelatedSynonym")).alias("obo_synonym"),
+    )
+    return table(s, d, "part").select(_d(p).alias("node_id"), id_.alias("id"), F.when(p % 17 == 0, F.array(term, term)).otherwise(F.array(term)).alias("terms"))
+
+
+@query
+def ontology_diseases(s: SparkSession, d: str) -> DataFrame:
+    r = _responses(s, d)
+    out = ontology.disease_nodes(r.select("node_id", "id"), r.select("id", "terms"))
+    others = F.array_join(F.transform("other_names", lambda o: F.concat_ws("/", o["name"], o["scope"])), ",")
+    ids = F.array_join(F.transform(F.array_sort(F.map_entries("ext_ids")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.select("node_id", "name", F.array_join("synonyms", ",").alias("synonyms"), others.alias("other_names"), ids.alias("ext_ids"), "description", "error")
+
+
+@query
+def ontology_lookup(s: SparkSession, d: str) -> DataFrame:
+    r = _responses(s, d)
+    return ontology.annotation_lookup(ontology.disease_nodes(r.select("node_id", "id"), r.select("id", "terms")))
+
+
+@query
+def cache_hits(s: SparkSession, d: str) -> DataFrame:
+    """Each user's events as requests to a cache of three entries that are good for a day."""
+    e = table(s, d, "events").select("event_id", F.col("user_id").alias("cache"), F.col("event_type").alias("key"), "ts")
+    return limits.ttl_cache(e, 86_400.0, 3)

@@ -60,4 +60,12 @@ GRAPH_SQL = {
           where w.here != goal and not list_contains(nodes, onto)),
         best as (select * from w where here = goal and len(steps) > 0 qualify row_number() over (partition by route_id order by len(steps), steps) = 1)
         select route_id, array_to_string(nodes, '>') as nodes, array_to_string(steps, '>') as steps, array_to_string(backs, '>') as reversed from r left join best using (route_id)""",
+    "ontology_diseases": """, t as (select *, 'd' || p_partkey as node_id, case when p_partkey % 11 = 0 or p_partkey % 17 = 0 then 'expected one term M:' || p_partkey
+            when p_partkey % 13 = 0 then 'obsolete term M:' || p_partkey || ', replaced by ' || case when p_partkey % 26 = 0 then 'M:1' else 'nothing' end end as error from part)
+        select node_id, case when error is null then p_name end as name, case when error is null then p_name || ',x ' || p_name end as synonyms,
+          case when error is null then p_brand || '/hasRelatedSynonym,' || p_type || '/untyped_in_ols_response' end as other_names,
+          case when error is null then 'MONDO=M:' || p_partkey || case when p_partkey % 2 = 0 then ',OMIM=' || p_size else '' end || ',Orphanet=' || p_partkey end as ext_ids,
+          case when error is null then p_type end as description, error from t""",
+    "ontology_lookup": """, t as (select * from part where p_partkey % 11 != 0 and p_partkey % 17 != 0 and p_partkey % 13 != 0)
+        select 'ORPHA:' || p_partkey as database_id, 'd' || p_partkey as node_id from t union all select 'OMIM:' || p_size, 'd' || p_partkey from t where p_partkey % 2 = 0""",
 }
