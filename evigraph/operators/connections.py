@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .links import live, supported
 
 
@@ -24,6 +27,18 @@ def members(focus: DataFrame, parents: DataFrame) -> DataFrame:
     return own.unionByName(up.join(focus.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("focus"), F.col("src").alias("member"))).distinct()
 
 
+@dataclass(frozen=True)
+class Kin:
+    """The members and families of a set of focuses, each a written table: what connections ask for again and again."""
+
+    members: DataFrame
+    family: DataFrame
+
+
+def kin(focus: DataFrame, parents: DataFrame) -> Kin:
+    return Kin(written(members(focus, parents), "members"), written(family(focus, parents), "family"))
+
+
 def family(focus: DataFrame, parents: DataFrame) -> DataFrame:
     """focus, candidate: each focus itself, its children and its parents."""
     up = parents.where(supported("usable"))
@@ -31,22 +46,23 @@ def family(focus: DataFrame, parents: DataFrame) -> DataFrame:
     return members(focus, parents).withColumnRenamed("member", "candidate").unionByName(above).distinct()
 
 
-def qualifiers(focus: DataFrame, mechanisms: DataFrame, parents: DataFrame) -> DataFrame:
+def qualifiers(focus: DataFrame, mechanisms: DataFrame, parents: DataFrame, own: Kin | None = None) -> DataFrame:
     """focus, candidate, edge_id, side: contradicting edges that limit a link between the two.
 
     side target: the candidate, or its parent, contradicts a mechanism that the focus or its children support. side own:
     the focus or its children contradict one that the candidate supports. Rejected edges say nothing.
     """
-    mine = members(focus, parents)
+    kin_ = own or Kin(members(focus, parents), family(focus, parents))
+    mine = kin_.members
     support = mechanisms.where(supported("usable")).select(F.col("src").alias("disease"), F.col("dst").alias("mechanism")).distinct()
     against = mechanisms.where((F.col("stance") == "contradicts") & live()).select(F.col("src").alias("disease"), F.col("dst").alias("mechanism"), F.col("id").alias("edge_id"))
     held = mine.join(support.withColumnRenamed("disease", "member"), "member").select("focus", "mechanism").distinct()
     facing = held.join(against, "mechanism").select("focus", "disease", "edge_id")
     up = parents.where(supported("usable")).select(F.col("src").alias("candidate"), F.col("dst").alias("disease"))
     target = facing.withColumnRenamed("disease", "candidate").unionByName(facing.join(up, "disease").select("focus", "candidate", "edge_id")).distinct()
-    own = mine.join(against.withColumnRenamed("disease", "member"), "member").join(support, "mechanism").select("focus", F.col("disease").alias("candidate"), "edge_id").distinct()
-    out = target.withColumn("side", F.lit("target")).unionByName(own.withColumn("side", F.lit("own")))
-    return out.join(family(focus, parents), ["focus", "candidate"], "left_anti")
+    mine_against = mine.join(against.withColumnRenamed("disease", "member"), "member").join(support, "mechanism").select("focus", F.col("disease").alias("candidate"), "edge_id").distinct()
+    out = target.withColumn("side", F.lit("target")).unionByName(mine_against.withColumn("side", F.lit("own")))
+    return out.join(kin_.family, ["focus", "candidate"], "left_anti")
 
 
 def shared_phenotypes(focus: DataFrame, phenotypes: DataFrame) -> DataFrame:
@@ -65,15 +81,15 @@ def communities(group_edges: DataFrame, parents: DataFrame) -> DataFrame:
     return own.withColumn("via_parent", F.lit(False)).unionByName(via.withColumn("via_parent", F.lit(True)))
 
 
-def _ways(focus: DataFrame, edges: DataFrame, parents: DataFrame, disease: str, target: str) -> DataFrame:
+def _ways(own: Kin, edges: DataFrame, parents: DataFrame, disease: str, target: str) -> DataFrame:
     """focus, candidate, best (via, member, supported, edge_a, edge_b): the first inferred link of a focus or its children with each disease outside its family."""
     use = edges.where(supported("usable")).select(F.col(disease).alias("candidate"), F.col(target).alias("via"), F.col("id").alias("edge"), (F.col("tier") != "C").alias("observed"))
-    mine = members(focus, parents).join(use.withColumnRenamed("candidate", "member"), "member")
+    mine = own.members.join(use.withColumnRenamed("candidate", "member"), "member")
     mine = mine.select("focus", "member", "via", F.col("edge").alias("edge_a"), F.col("observed").alias("observed_a"))
     pairs = mine.join(use, "via").where("member != candidate").select("focus", "member", "candidate", "via", "edge_a", F.col("edge").alias("edge_b"), (F.col("observed_a") & F.col("observed")).alias("supported"))
     known = parents.select(F.col("src").alias("member"), F.col("dst").alias("candidate"))
     known = known.unionByName(parents.select(F.col("dst").alias("member"), F.col("src").alias("candidate")))
-    pairs = pairs.join(known, ["member", "candidate"], "left_anti").join(family(focus, parents), ["focus", "candidate"], "left_anti")
+    pairs = pairs.join(known, ["member", "candidate"], "left_anti").join(own.family, ["focus", "candidate"], "left_anti")
     return pairs.groupBy("focus", "candidate").agg(F.min(F.struct("via", "member", "supported", "edge_a", "edge_b")).alias("best"))
 
 
@@ -83,14 +99,15 @@ def connections(focus: DataFrame, mechanisms: DataFrame, investigators: DataFram
     kind: mechanism if the focus or its children share one with the candidate, else investigator, else phenotype (the
     focus's own). supported: both edges of a shared mechanism are observed; an investigator or a phenotype supports nothing.
     """
-    mech = _ways(focus, mechanisms, parents, "src", "dst").select("focus", "candidate", F.struct(F.lit(0).alias("order"), F.lit("mechanism").alias("kind"), "best.*").alias("w"))
-    inv = _ways(focus, investigators, parents, "dst", "src").withColumn("best", F.col("best").withField("supported", F.lit(False)))
+    own_kin = kin(focus, parents)
+    mech = _ways(own_kin, mechanisms, parents, "src", "dst").select("focus", "candidate", F.struct(F.lit(0).alias("order"), F.lit("mechanism").alias("kind"), "best.*").alias("w"))
+    inv = _ways(own_kin, investigators, parents, "dst", "src").withColumn("best", F.col("best").withField("supported", F.lit(False)))
     inv = inv.select("focus", "candidate", F.struct(F.lit(1).alias("order"), F.lit("investigator").alias("kind"), "best.*").alias("w"))
-    shared = shared_phenotypes(focus, phenotypes).join(family(focus, parents), ["focus", "candidate"], "left_anti").groupBy("focus", "candidate").agg(F.count("*").alias("n_phenotypes"))
+    shared = shared_phenotypes(focus, phenotypes).join(own_kin.family, ["focus", "candidate"], "left_anti").groupBy("focus", "candidate").agg(F.count("*").alias("n_phenotypes"))
     none = F.lit(None).cast("string")
     phen = shared.select("focus", "candidate", F.struct(F.lit(2).alias("order"), F.lit("phenotype").alias("kind"), none.alias("via"), none.alias("member"), F.lit(False).alias("supported"), none.alias("edge_a"), none.alias("edge_b")).alias("w"))
     first = mech.unionByName(inv).unionByName(phen).groupBy("focus", "candidate").agg(F.min("w").alias("w"))
-    limits = qualifiers(focus, mechanisms, parents).groupBy("focus", "candidate").agg(F.count("*").alias("n_qualifiers"))
+    limits = qualifiers(focus, mechanisms, parents, own_kin).groupBy("focus", "candidate").agg(F.count("*").alias("n_qualifiers"))
     own = communities(groups, parents).groupBy(F.col("disease").alias("candidate")).agg(F.count("*").alias("n_communities"))
     names = nodes.select("id", "name")
     out = first.join(shared, ["focus", "candidate"], "left").join(limits, ["focus", "candidate"], "left").join(own, "candidate", "left")

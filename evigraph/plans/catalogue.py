@@ -124,6 +124,11 @@ def _focus(s: SparkSession, d: str) -> DataFrame:
 
 
 def _connections(s: SparkSession, d: str) -> DataFrame:
+    """The connections of the stated diseases, a table from its first use on."""
+    return testdata.kept(s, d, "connections", lambda: _find_connections(s, d), "focus")
+
+
+def _find_connections(s: SparkSession, d: str) -> DataFrame:
     return connections.connections(
         _focus(s, d), testdata.mechanism_edges(s, d), testdata.investigator_edges(s, d), testdata.phenotype_edges(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), testdata.nodes(s, d)
     )

@@ -334,7 +334,8 @@ def _focus(s: SparkSession, d: str) -> DataFrame:
 
 
 def _found(s: SparkSession, d: str) -> DataFrame:
-    return connections.connections(_focus(s, d), testdata.mechanism_edges(s, d), testdata.investigator_edges(s, d), testdata.phenotype_edges(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), testdata.nodes(s, d))
+    """The connections of the stated diseases, the same table as that of connections_all."""
+    return testdata.kept(s, d, "connections", lambda: connections.connections(_focus(s, d), testdata.mechanism_edges(s, d), testdata.investigator_edges(s, d), testdata.phenotype_edges(s, d), testdata.parent_edges(s, d), testdata.group_edges(s, d), testdata.nodes(s, d)), "focus")
 
 
 def _best(s: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import fields
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,16 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), kind.alias("kind"))
 
 
+def version(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of the files below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, seen = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 _stored: dict[tuple[str, str], str] = {}
 
 

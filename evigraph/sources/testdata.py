@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import stored
+from .files import stored, version
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], key: str) -> DataFrame:
+    """A table that all queries of an application read, clustered by key: written at its first use, anew if the files of sf_dir change."""
+    return stored(spark, f"{name} of {sf_dir} {version(spark, sf_dir)}", build, key)
+
+
 def _merged(spark: SparkSession, sf_dir: str, kind: str, src: str, dst: str, rows: Callable[[], DataFrame]) -> DataFrame:
     """Parallel records as one edge each, a table that all queries of an application read: written at its first use."""
-    return stored(spark, f"{kind} of {sf_dir}", lambda: _merge(rows(), kind, src, dst))
+    return kept(spark, sf_dir, kind, lambda: _merge(rows(), kind, src, dst), "src")
 
 
 def _merge(rows: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
@@ -88,6 +93,10 @@ def phenotype_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "group_disease", lambda: _group_edges(spark, sf_dir), "dst")
+
+
+def _group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select(_id("m", "s_suppkey").alias("mechanism"), _id("n", "s_nationkey").alias("src"))
     rows = records(spark, sf_dir).where("stance = 'supports'").join(supplier, "mechanism").select("src", F.col("disease").alias("dst")).distinct()
     return _stated(rows, "group_disease", "A")
@@ -107,7 +116,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, type, name."""
+    """id, type, name: a union of eight scans, written at its first use and read by id from then on."""
+    return kept(spark, sf_dir, "nodes", lambda: _nodes(spark, sf_dir), "id")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
     node = lambda rows, key, kind, name: rows.select(key.alias("id"), F.lit(kind).alias("type"), name.cast("string").alias("name"))
     part = read("part")
