@@ -1,4 +1,4 @@
-"""Registered queries on the build of the tables and on access. SQL is in oracle_build.py."""
+"""Registered queries on the build of the tables, on access and on answers to questions. SQL is in oracle_build.py."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import access
-from ..operators import build
+from ..operators import answers, build
 from ..sources import testdata
 from ..sources.schema import EVIDENCE, Graph
 from ..sources.testdata import table
@@ -152,3 +152,37 @@ def panel_access(s: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("request"), "role", "panel", yes("may_open(role, panel)").alias("opens"), yes("is_reduced(role, panel)").alias("reduced"),
         F.expr("role_with_full(panel)").alias("full_role"), F.expr("stored_role(role)").alias("stored"),
     )
+
+
+#: Questions about each stated disease.
+ASKED = (
+    "Who works on d{}?", "Which grants cover d{}?", "Is there a registry for d{}", "What contradicts d{}?", "How is d{} linked to d{}?",
+    "Which conditions are similar to d{}", "Tell me about d{}", "Mechanism of d{}", "What about QX{}?",
+)
+
+
+def _answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nine questions about each disease whose number is divisible by 100, against the whole graph; diseases and mechanisms are named by their ids."""
+    key = F.col("p_partkey")
+
+    def asked(k: int) -> Column:
+        parts = ASKED[k].split("{}")
+        values = [(key % 900 + 100).cast("string") if k == len(ASKED) - 1 else (key + i).cast("string") for i in range(len(parts) - 1)]
+        return F.concat(F.lit(parts[0]), *[x for v, rest in zip(values, parts[1:], strict=True) for x in (v, F.lit(rest))])
+
+    rows = F.explode(F.array(*[F.struct(F.concat(_text("p_partkey"), F.lit(f"-{k + 1}")).alias("id"), asked(k).alias("text")) for k in range(len(ASKED))]))
+    questions = table(s, d, "part").where("p_partkey % 100 = 0").select(rows.alias("q")).select("q.*")
+    nodes = testdata.nodes(s, d)
+    terms = nodes.where("type in ('disease', 'mechanism')").select(F.col("id").alias("term"), F.col("id").alias("node_id"), "type")
+    funded = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), _text("o_orderkey")).alias("asset"))
+    return answers.answer(questions, terms, nodes, testdata.edges(s, d), funded)
+
+
+@query
+def answer_leads(s: SparkSession, d: str) -> DataFrame:
+    return _answers(s, d)[0]
+
+
+@query
+def answer_items(s: SparkSession, d: str) -> DataFrame:
+    return _answers(s, d)[1]

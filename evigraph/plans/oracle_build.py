@@ -43,6 +43,22 @@ def _list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+_QUESTIONS = """, q as (
+  select p_partkey || '-' || k as id, 'd' || p_partkey as d, 'd' || (p_partkey + 1) as d2, p_name as label, p_partkey as p, intent from part,
+    (values (1, 'people'), (2, 'funding'), (3, 'resources'), (4, 'contradictions'), (5, 'route'), (6, 'connections'), (7, 'overview'), (8, 'mechanism'), (9, 'not_in_atlas')) t(k, intent) where p_partkey % 100 = 0
+), ends as (
+  select case when type in ('disease_gene', 'disease_mechanism') then src else dst end as d, case when type in ('disease_gene', 'disease_mechanism') then dst else src end as other, id as edge_id, src, dst, type, stance
+  from edges where type in ('disease_gene', 'disease_mechanism', 'group_disease', 'asset_disease', 'investigator_disease')
+), said as (
+  select q.id, intent, other, edge_id, type, stance, src, dst from q join ends using (d) left join orders on other = 'o' || o_orderkey where case intent
+    when 'people' then type = 'investigator_disease' when 'funding' then type = 'asset_disease' and o_orderstatus = 'F' when 'resources' then type = 'asset_disease' and o_orderstatus != 'F'
+    when 'contradictions' then stance = 'contradicts' when 'overview' then type in ('disease_gene', 'disease_mechanism', 'group_disease') when 'mechanism' then type = 'disease_mechanism' else false end
+), linked as (
+  select q.id, y.src as other, min(y.id) as edge_id from q join mech x on x.src = d and x.stance = 'supports' join mech y on y.dst = x.dst and y.stance = 'supports' and y.src != d where intent = 'connections' group by all
+), way as (
+  select q.id, min(x.dst) as via, arg_min(x.id, x.dst) as edge_a, arg_min(y.id, x.dst) as edge_b from q join mech x on x.src = d and x.stance = 'supports' join mech y on y.dst = x.dst and y.src = d2 and y.stance = 'supports' where intent = 'route' group by all
+)"""
+
 #: Those that read the tables as a graph; oracle.py puts that before them.
 GRAPH_SQL = {
     "graph_digests": _digests(
@@ -53,6 +69,32 @@ GRAPH_SQL = {
             "node_cluster": ("mc", _cells(node_id="node_id", cluster_id="cluster_id")),
         }
     ),
+    "answer_leads": _QUESTIONS + """, counts as (select id, count(distinct other) as n, count(distinct edge_id) as e from (select id, other, edge_id from said union all select id, other, edge_id from linked) group by id),
+          total as (select count(*) as k from edges where stance = 'contradicts')
+        select id, intent, case when intent != 'not_in_atlas' then d end as subject_id, case intent
+          when 'people' then case coalesce(n, 0) when 0 then 'No investigator in this sample is linked to ' || label when 1 then '1 investigator in this sample is listed on NIH awards for ' || label else n || ' investigators in this sample are listed on NIH awards for ' || label end || '.'
+          when 'funding' then case coalesce(n, 0) when 0 then 'No NIH award in this sample is linked to ' || label when 1 then '1 NIH award in this sample covers ' || label else n || ' NIH awards in this sample cover ' || label end || '.'
+          when 'resources' then case coalesce(n, 0) when 0 then 'No registry, study or sample collection in this atlas is linked to ' || label when 1 then '1 registry, study or sample collection in this atlas cover ' || label
+            else n || ' registries, studies and sample collections in this atlas cover ' || label end || '.'
+          when 'contradictions' then case when k = 0 then 'No contradicting evidence is recorded in this atlas.' when coalesce(e, 0) = 0 then 'No contradicting evidence is recorded for ' || label || '. Across the atlas, ' || case k when 1 then '1 finding argues' else k || ' findings argue' end || ' against a link:'
+            else case e when 1 then '1 cited finding argues' else e || ' cited findings argue' end || ' against a link for ' || label || '.' end
+          when 'route' then case when r.name is null then 'Name two conditions to see whether a cited route connects them.' when via is null then 'No supported route connects ' || label || ' and ' || r.name || ' in this atlas.'
+            else label || ' and ' || r.name || ' are linked through ' || lower(v.name) || '. The link is inferred from these cited steps:' end
+          when 'connections' then case coalesce(n, 0) when 0 then 'No condition in this atlas shares a cited mechanism with ' || label || ', so no supported route is shown.'
+            else case n when 1 then '1 condition shares' else n || ' conditions share' end || ' a cited mechanism with ' || label || '. Each link is inferred from cited findings; open the explanation to check every step.' end
+          when 'not_in_atlas' then 'QX' || (p % 900 + 100) || ' is not in this atlas, so there is no supported answer.'
+          else 'What the atlas holds on ' || label || ':' end as lead,
+          case intent when 'route' then case when via is null then 0 else 2 end else coalesce(e, 0) end as n_items
+        from q left join counts using (id) left join way using (id) left join nodes r on r.id = d2 left join nodes v on v.id = via cross join total""",
+    "answer_items": _QUESTIONS + """, a as (select id as src, name as a from nodes), b as (select id as dst, name as b, lower(name[1]) || name[2:] as m from nodes)
+        select said.id, edge_id, case when intent = 'overview' then case when type = 'disease_gene' then 'Gene: ' || b when type = 'group_disease' then 'Community: ' || a when stance = 'contradicts' then 'Evidence against: ' || b else 'Mechanism: ' || b end
+          when intent in ('people', 'funding', 'resources') then a
+          when type = 'disease_mechanism' and stance = 'contradicts' then 'Evidence contradicts assigning ' || m || ' to all of ' || a || '.' when type = 'disease_mechanism' then a || ' has cited evidence for ' || m || '.'
+          when type = 'asset_disease' then a || ' is a resource for ' || b || '.' when type = 'investigator_disease' then a || ' is listed on an NIH award for ' || b || '.' end as title
+        from said join a using (src) join b using (dst)
+        union all select linked.id, edge_id, name from linked join nodes on nodes.id = other
+        union all select way.id, edge_a, q.label || ' has cited evidence for ' || m || '.' from way join q using (id) join b on b.dst = via
+        union all select way.id, edge_b, a || ' has cited evidence for ' || m || '.' from way join q using (id) join b on b.dst = via join a on a.src = d2""",
 }
 
 SQL = {
