@@ -46,21 +46,25 @@ _plain, _shapes = WordHashes(), _Shapes()
 CHARACTERS = 3
 
 
-class _Characters(dict):
-    """Word -> numbers of its character n-grams, with its ends; bounded."""
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        if len(self) >= 100_000:
-            self.clear()
-        b = np.frombuffer(b"^" + word.lower() + b"$", np.uint8).astype(np.uint64)
-        h = np.zeros(max(1, len(b) - CHARACTERS + 1), np.uint64)
-        for k in range(min(CHARACTERS, len(b))):
-            h = h * np.uint64(257) + b[k : k + len(h)]
-        self[word] = x = (mix(h + np.uint64(1 << 40)) % np.uint64(SIZE)).astype(np.int64)
-        return x
-
-
-_characters = _Characters()
+CHUNK = 50_000
+
+
+def characters(words: list[bytes]) -> np.ndarray:
+    """Numbers of the character n-grams of words, each with its two ends; several words at once."""
+    found = []
+    for at in range(0, len(words), CHUNK):
+        part = words[at : at + CHUNK]
+        b = np.frombuffer((b"^" + b"$^".join(part) + b"$").lower(), np.uint8).astype(np.uint32)
+        h = np.zeros(len(b) - CHARACTERS + 1, np.uint32)
+        for k in range(CHARACTERS):
+            h = h * np.uint32(257) + b[k : k + len(h)]  # below 2**25
+        own = np.ones(len(b), bool)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 2)
+        for k in range(1, CHARACTERS):
+            own[ends - k] = False  # these would run into the next word
+        found.append(np.unique(h[own[: len(h)]]))
+    h = np.concatenate(found).astype(np.uint64)
+    return (mix(h + np.uint64(1 << 40)) % np.uint64(SIZE)).astype(np.int64)
 
 
 def features(text: bytes) -> np.ndarray:
@@ -89,7 +93,7 @@ def features(text: bytes) -> np.ndarray:
         out += [own, mix(own + share.astype(np.uint64))]
     out += [mix(word + np.uint64(3)), mix(window_hashes(word, 2) + np.uint64(5))]
     cells = (np.concatenate(out) % np.uint64(SIZE)).astype(np.int64)
-    return np.unique(np.concatenate([cells, *map(_characters.__getitem__, set(words))]))
+    return np.unique(np.concatenate([cells, characters(list(set(words)))]))
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, most: int, extract) -> tuple[list[np.ndarray], np.ndarray]:
