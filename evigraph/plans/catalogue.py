@@ -12,7 +12,7 @@ from ..operators import claims, connections, governance, links, quality, reports
 from ..sources import files, testdata
 from ..sources.testdata import table
 from ..streaming import limits
-from . import catalogue_build, catalogue_graph, catalogue_model
+from . import catalogue_build, catalogue_graph, catalogue_model, catalogue_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,4 +473,4 @@ def funding_shares(s: SparkSession, d: str) -> DataFrame:
     return claims.shares(testdata.awards(s, d).groupBy("institute").agg(cents), "institute", "cents")
 
 
-QUERIES |= catalogue_model.QUERIES | catalogue_graph.QUERIES | catalogue_build.QUERIES
+QUERIES |= catalogue_model.QUERIES | catalogue_graph.QUERIES | catalogue_build.QUERIES | catalogue_plan.QUERIES

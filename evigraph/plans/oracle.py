@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle_build, oracle_graph, oracle_model
+from . import oracle_build, oracle_graph, oracle_model, oracle_plan
 
 GRAPH = """
 with recursive rec as (
@@ -313,4 +313,4 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
 
 ORACLE_SQL |= oracle_model.ORACLE_SQL | {name: GRAPH + sql for name, sql in oracle_model.GRAPH_SQL.items()}
 ORACLE_SQL |= {name: GRAPH + sql for name, sql in (oracle_graph.GRAPH_SQL | oracle_build.GRAPH_SQL).items()} | oracle_build.SQL
-ORACLE_SQL |= {name: GRAPH + _FOCUS + sql for name, sql in oracle_model.FOCUS_SQL.items()}
+ORACLE_SQL |= {name: GRAPH + _FOCUS + sql for name, sql in (oracle_model.FOCUS_SQL | oracle_plan.FOCUS_SQL).items()}
