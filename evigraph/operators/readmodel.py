@@ -42,11 +42,27 @@ def evidence_title(kind: Column, url: Column, pmid: Column, title: Column) -> Co
 
 def evidence_view(evidence: DataFrame, titles: DataFrame) -> DataFrame:
     """edge_id, id, source, title, url, pmid, sample. evidence: id, edge_id, source_type, source_url, pmid; titles: pmid, title."""
+    return _evidence(evidence, titles.select("pmid", "title"), [])
+
+
+def _evidence(evidence: DataFrame, titles: DataFrame, more: list[Column]) -> DataFrame:
     sample = (F.col("source_type") == "placeholder") | (F.coalesce("source_url", F.lit("")) == "")
     kind = source_name(F.col("source_type"))
-    joined = evidence.join(titles.select("pmid", F.col("title").alias("_title")), "pmid", "left")
+    joined = evidence.join(titles.withColumnRenamed("title", "_title"), "pmid", "left")
     title = F.when(sample, "Placeholder: no real source yet").otherwise(evidence_title(kind, F.col("source_url"), F.col("pmid"), F.col("_title")))
-    return joined.select("edge_id", "id", kind.alias("source"), title.alias("title"), F.when(sample, "").otherwise(F.col("source_url")).alias("url"), "pmid", sample.alias("sample"))
+    return joined.select("edge_id", "id", kind.alias("source"), title.alias("title"), F.when(sample, "").otherwise(F.col("source_url")).alias("url"), "pmid", sample.alias("sample"), *more)
+
+
+def evidence_records(evidence: DataFrame, titles: DataFrame, edges: DataFrame) -> DataFrame:
+    """evidence_view() with date, snippet, authors and stance. evidence: also retrieved_at, snippet; titles: also authors; edges: id, stance.
+
+    A record stands where its edge does: it contradicts, or else supports. Records without an edge are left out; a missing
+    date is empty, and no authors are null.
+    """
+    authors = titles.select("pmid", "title", F.when(F.size("authors") > 0, F.col("authors")).alias("_authors"))
+    stance = F.when(F.col("_stance") == "contradicts", "contradicts").otherwise("supports")
+    of = evidence.join(edges.select(F.col("id").alias("edge_id"), F.col("stance").alias("_stance")), "edge_id")
+    return _evidence(of, authors, [F.coalesce("retrieved_at", F.lit("")).alias("date"), F.col("snippet"), F.col("_authors").alias("authors"), stance.alias("stance")])
 
 
 def edge_view(edges: DataFrame, nodes: DataFrame, memberships: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -54,12 +70,22 @@ def edge_view(edges: DataFrame, nodes: DataFrame, memberships: DataFrame, decisi
 
     A decision gives the status; else tier D waits for one. Tier C is inferred, all others are observed.
     """
+    return bridge_flags(_edges(edges, nodes, decisions, []), memberships)
+
+
+def _edges(edges: DataFrame, nodes: DataFrame, decisions: DataFrame, more: list[Column]) -> DataFrame:
     ids = nodes.select("id")
     known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     decided = known.join(decisions.select(F.col("edge_id").alias("id"), "decision"), "id", "left")
     status = F.when(F.col("decision") == "rejected", "rejected").when(F.col("decision") == "approved", "verified").when(F.col("tier") == "D", "pending").otherwise(F.col("status"))
-    out = decided.select("id", "src", "dst", F.col("type").alias("relation"), F.when(F.col("tier") == "C", "inferred").otherwise("observed").alias("basis"), "tier", "stance", status.alias("status"))
-    return bridge_flags(out, memberships)
+    return decided.select("id", "src", "dst", F.col("type").alias("relation"), F.when(F.col("tier") == "C", "inferred").otherwise("observed").alias("basis"), "tier", "stance", status.alias("status"), *more)
+
+
+def edge_records(edges: DataFrame, nodes: DataFrame, memberships: DataFrame, decisions: DataFrame) -> DataFrame:
+    """edge_view() with confidence, scope (the edge's note), derived_from (an empty array without any) and sample (by the id). edges: also confidence, note, derived_from."""
+    derived = F.coalesce("derived_from", F.array().cast("array<string>")).alias("derived_from")
+    more = [F.col("confidence"), F.col("note").alias("scope"), derived, F.col("id").startswith("sample_").alias("sample")]
+    return bridge_flags(_edges(edges, nodes, decisions, more), memberships)
 
 
 def nested_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries on whole action plans of the stated diseases. SQL is in oracle_plan.py."""
+"""Registered queries on whole action plans of the stated diseases, on suggested questions and on whole records of the read model. SQL is in oracle_plan.py."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, connections, links, plan, reports
+from ..operators import actions, connections, links, plan, readmodel, reports, suggestions
 from ..sources import testdata
 from ..sources.testdata import table
-from .catalogue_model import _assets, _focus, _found
+from .catalogue_model import _assets, _decisions, _focus, _found, _sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,31 @@ def plan_summary(s: SparkSession, d: str) -> DataFrame:
     signals = plan.touching_signals(scoped, reports.duplicate_signals(members, genes), members)
     there = connections.communities(testdata.group_edges(s, d), parents)
     return plan.summary(_focus(s, d), sections, plan_assets(s, d), plan_people(s, d), signals, there)
+
+
+@query
+def suggested_questions(s: SparkSession, d: str) -> DataFrame:
+    """For a researcher and for a family at every disease, mechanism, gene and person."""
+    n = testdata.nodes(s, d)
+    synonyms = F.when(F.col("type") == "disease", F.array("name", F.when(_number("id") % 2 == 0, F.upper("id")))).otherwise(F.array().cast("array<string>"))
+    asked = n.where("type in ('disease', 'mechanism', 'gene', 'person')").select(F.explode(F.array(F.lit("researcher"), F.lit("family"))).alias("role"), F.col("id").alias("focus"))
+    labels = table(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.concat(F.lit("Region: "), "r_name").alias("label"))
+    few = _memberships(s, d)
+    return suggestions.suggested(asked.withColumn("asker", F.concat_ws(" ", "role", "focus")), n.withColumn("synonyms", synonyms), testdata.edges(s, d), few, labels, "d4", "none")
+
+
+@query
+def read_evidence_records(s: SparkSession, d: str) -> DataFrame:
+    authors = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")))).otherwise(F.array().cast("array<string>"))
+    titles = table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("pmid"), F.concat(F.lit("Order of "), "o_orderpriority").alias("title"), authors.alias("authors"))
+    edges = testdata.mechanism_edges(s, d).groupBy(F.concat_ws("|", "src", "dst").alias("id")).agg(F.min("stance").alias("stance"))
+    return readmodel.evidence_records(_sources(s, d), titles, edges).withColumn("authors", F.array_join("authors", ";"))
+
+
+@query
+def read_edge_records(s: SparkSession, d: str) -> DataFrame:
+    all_ = testdata.mechanism_edges(s, d).unionByName(testdata.parent_edges(s, d))
+    derived = F.when(F.col("tier") == "C", F.array("src", "dst"))
+    more = all_.withColumns({"confidence": F.least(F.col("n_records") / 4, F.lit(1.0)), "note": F.when(F.col("n_records") > 1, F.concat(F.col("n_records").cast("string"), F.lit(" records"))), "derived_from": derived})
+    out = readmodel.edge_records(more, testdata.nodes(s, d), testdata.mechanism_clusters(s, d), _decisions(s, d))
+    return out.withColumn("derived_from", F.array_join("derived_from", ";"))

@@ -312,5 +312,5 @@ ORACLE_SQL: dict[str, str] = {name: GRAPH + sql for name, sql in _GRAPH_SQL.item
 }
 
 ORACLE_SQL |= oracle_model.ORACLE_SQL | {name: GRAPH + sql for name, sql in oracle_model.GRAPH_SQL.items()}
-ORACLE_SQL |= {name: GRAPH + sql for name, sql in (oracle_graph.GRAPH_SQL | oracle_build.GRAPH_SQL).items()} | oracle_build.SQL
+ORACLE_SQL |= {name: GRAPH + sql for name, sql in (oracle_graph.GRAPH_SQL | oracle_build.GRAPH_SQL | oracle_plan.GRAPH_SQL).items()} | oracle_build.SQL | oracle_plan.ORACLE_SQL
 ORACLE_SQL |= {name: GRAPH + _FOCUS + sql for name, sql in (oracle_model.FOCUS_SQL | oracle_plan.FOCUS_SQL).items()}

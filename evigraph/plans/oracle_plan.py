@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .oracle_model import _DECISIONS
+from .oracle_model import ORACLE_SQL as _MODEL
+
 #: The diseases that a plan reaches, and what it finds there.
 _PLAN = """, viable as (select * from conn where kind = 'mechanism' and supported),
 seeds as (select fid as focus, fid as disease, false as partner from focus union all select focus, candidate, true from viable),
@@ -80,3 +83,33 @@ FOCUS_SQL = {
           (select count(distinct patient_group) from (select disease, patient_group from own_groups union all select p.src, o.patient_group from parents p join own_groups o on o.disease = p.dst) where disease = fid) as n_communities
         from focus""",
 }
+
+_CLUSTERS = """, tier_a as (select distinct m.src as disease, cluster_id from mech m join mc on mc.node_id = m.dst where m.stance = 'supports' and m.status = 'verified' and m.tier = 'A'),
+in_clusters as (select * from tier_a union select p.dst, cluster_id from parents p join tier_a on disease = p.src)
+"""
+
+#: Those that read the tables as a graph.
+GRAPH_SQL = {
+    "suggested_questions": _CLUSTERS
+    + """, deg as (select node_id, count(*) as n from (select src as node_id from edges union all select dst from edges) group by 1),
+        of_gene as (select e.dst as gene, e.src as disease from edges e join deg on node_id = e.src join nodes on nodes.id = e.src where e.type = 'disease_gene'
+          qualify row_number() over (partition by e.dst order by n desc, name, e.src) = 1),
+        facts as (select p.id as disease, case when substr(p.id, 2)::bigint % 2 = 0 then upper(p.id) else p.name end as short, (select min(cluster_id) from in_clusters c where c.disease = p.id) as cluster_id,
+          (select g.name from edges e join nodes g on g.id = e.dst where e.type = 'disease_gene' and e.src = p.id) as gene from nodes p where type = 'disease'),
+        a as (select role, n.id, n.type, n.name, case type when 'disease' then n.id when 'gene' then of_gene.disease else 'd4' end as disease
+          from nodes n cross join (values ('researcher'), ('family')) r(role) left join of_gene on gene = n.id where type in ('disease', 'mechanism', 'gene', 'person')),
+        t as (select a.*, short, coalesce('region ' || r_name, 'region ' || (select r_name from region order by r_regionkey limit 1)) as label, coalesce(gene, 'none') as gene
+          from a join facts using (disease) left join region on 'r' || r_regionkey = cluster_id)
+        select role || ' ' || id as asker, unnest([0, 1, 2])::int as place,
+          unnest(case role when 'researcher' then ['Who else works on ' || case type when 'mechanism' then lower(name[1]) || name[2:] else label end || '?', 'Which findings contradict a shared mechanism?',
+            'Which NIH awards fund ' || case type when 'gene' then name else gene end || ' research?']
+          else ['Which communities share a mechanism with ' || short || '?', 'What should we do this week about ' || short || '?', 'Who is researching ' || short || '?'] end) as question from t""",
+    "read_edge_records": _DECISIONS
+    + """select v.*, least(n_records / 4, 1.0) as confidence, case when n_records > 1 then n_records || ' records' end as scope, case when v.tier = 'C' then v.src || ';' || v.dst else '' end as derived_from, false as sample
+        from view v join edges e using (id)""",
+}
+
+_MORE = """pmid, sample, retrieved_at as date, snippet, case when pmid is not null and key % 4 = 0 then 'c' || o_custkey end as authors,
+          case when edge_id in (select 'd' || l_partkey || '|m' || l_suppkey from lineitem where l_returnflag = 'R') then 'contradicts' else 'supports' end as stance"""
+
+ORACLE_SQL = {"read_evidence_records": _MODEL["read_model_evidence"].replace("pmid, sample", _MORE)}  # the view's columns, and more
