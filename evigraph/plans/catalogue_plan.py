@@ -26,7 +26,7 @@ def _number(column: str) -> Column:
 
 
 def _scope(s: SparkSession, d: str) -> DataFrame:
-    return plan.scope(_focus(s, d), _found(s, d), testdata.parent_edges(s, d))
+    return testdata.kept(s, d, "plan_scope", lambda: plan.scope(_focus(s, d), _found(s, d), testdata.parent_edges(s, d)), "focus")
 
 
 def _categories(s: SparkSession, d: str) -> DataFrame:
@@ -47,12 +47,12 @@ def plan_scope(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def plan_assets(s: SparkSession, d: str) -> DataFrame:
-    return plan.reachable_assets(_scope(s, d), testdata.asset_edges(s, d), _categories(s, d))
+    return testdata.kept(s, d, "plan_assets", lambda: plan.reachable_assets(_scope(s, d), testdata.asset_edges(s, d), _categories(s, d)), "focus")
 
 
 @query
 def plan_people(s: SparkSession, d: str) -> DataFrame:
-    return plan.reachable_people(_scope(s, d), _found(s, d), testdata.investigator_edges(s, d), _memberships(s, d))
+    return testdata.kept(s, d, "plan_people", lambda: plan.reachable_people(_scope(s, d), _found(s, d), testdata.investigator_edges(s, d), _memberships(s, d)), "focus")
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
