@@ -6,8 +6,7 @@ Texts are sequences of words (A-Z lowered), each a token, and an end token. The
 Method: a probabilistic suffix tree.
 
 1. The lexicon: every word's count over all documents, and over the training ones, a table in the shared folder. It
-   gives the base score's counts and the empty context's distribution: the base probability for the ``head`` words
-   most frequent in training texts, and for all other words, seen or not, equal shares of what is left.
+   gives the base score's counts and the empty context's distribution, the base probability of every word.
 2. A context is retained if ``least_count`` training tokens follow it, whatever the size of the input, and the
    divergence of its next-word distribution from that of its longest retained suffix is at least ``least_bits``. Its
    distribution is interpolated with the suffix's, weighed by its number of distinct next words.
@@ -18,11 +17,18 @@ Method: a probabilistic suffix tree.
 4. A word before more than ``part`` tokens would overfill its part. Strings after such a hot context are counted by an
    aggregation with partial sums and sent to the context's several parts, over which positions are dealt by the next
    word before, or by where they come from if there is none. The same holds for hot contexts of two words or more.
-
-Words are numbers to the tree: the rank of a head word, a 32-bit hash of any other one. Contexts are made of head words;
-a word outside the head (beyond ``head`` words it is a rare one) ends the context of the tokens after it.
-
-Null and empty texts are the end token alone. A token with no head word before it has the empty context's probability. Very long texts are cut nowhere; repeated rows score alike and train as often as they come; ties do not
+5. The ``at_hand`` words most frequent in training texts, and those that hot contexts may hold, go to every task with
+   their counts. Of the others, each part gets the counts of those among its tokens by a join with the lexicon, and
+   contexts hold them like any word, unless each has fewer than ``least_count`` training tokens and so no retained
+   context. Which words are at hand changes no result.
+
+Words are numbers to the tree: the rank of a word at hand, a 63-bit hash of any other one. With ``head``, a model of a
+limited vocabulary is made instead: contexts are of the ``head`` most frequent training words alone, a word outside ends
+the context of the tokens after it, and all words outside, seen or not, have equal shares of what the head's leave of the
+empty context's distribution.
+
+Null and empty texts are the end token alone. A token with no context word before it has the empty context's probability.
+Very long texts are cut nowhere; repeated rows score alike and train as often as they come; ties do not
 occur; a null doc_id counts as empty text for the split. Without training documents all counts are 0, the base score is
 that of its formula, and the model's score is 0, for its one outcome is a word never seen. An empty table gives no rows.
 Other columns of docs, whatever their names, are not read.
@@ -34,6 +40,7 @@ import io
 import math
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +52,8 @@ from pyspark.sql import functions as F
 from .common import Batches, discard, held_out, mix, row_numbers, text_frame, written
 
 DEPTH = 3
-#: Words that go to every task.
-HEAD = 300_000
+#: Most frequent words that go to every task.
+AT_HAND = 300_000
 #: Training tokens that follow a retained context at least, at any size of the input, and its divergence.
 LEAST_COUNT, LEAST_BITS = 12, 0.05
 #: Positions of a part of the tree. Small inputs have LEAST_PARTS of LEAST_PART positions at least; with MOST_PARTS, parts grow.
@@ -54,11 +61,12 @@ PART, LEAST_PARTS, LEAST_PART, MOST_PARTS = 1 << 19, 128, 1 << 14, 1 << 16
 CHUNK, CHUNK_DOCS = 1 << 20, 30_000
 END = b""
 NONE = np.uint32(0xFFFFFFFF)
-#: Numbers of words outside the head start here.
+#: Numbers of words that are not at hand start here; hashes have the highest bit.
 TAIL = 1 << 20
+_HASH, _SEED = 1 << 63, 42
 _FLUSH = 400_000
 _HELD = 1 << 15
-POSITIONS, STRINGS, DOCUMENTS = 0, 1, 2
+POSITIONS, STRINGS, COUNTS, DOCUMENTS = 0, 1, 2, 3
 ROW = "key int, kind int, chunk long, payload binary"
 
 
@@ -107,7 +115,7 @@ def _most_frequent(words: DataFrame, most: int) -> int:
 
 
 class Numbers(dict):
-    """Word -> number: 0 the end, then head words by rank, then hashes of others; bounded."""
+    """Word -> number: 0 the end, then words at hand by rank, then hashes of others; bounded."""
 
     def __init__(self, words: list[bytes]):
         super().__init__()
@@ -118,7 +126,7 @@ class Numbers(dict):
         if len(self) > 400_000:
             self.clear()
         if (s := self.head.get(word)) is None:
-            s = TAIL + xxhash.xxh64_intdigest(word) % (0xFFFFFFFF - TAIL)
+            s = _HASH | xxhash.xxh64_intdigest(word, _SEED)  # as _hash()
         self[word] = s
         return s
 
@@ -126,9 +134,17 @@ class Numbers(dict):
         return Numbers, (self.words,)
 
 
+def _hash(word: str) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(-_HASH))
+
+
 @dataclass
 class Root:
-    """The words' numbers, and by number of head words their counts and the empty context's probabilities."""
+    """The words' numbers, and by number of words at hand their counts and the empty context's probabilities.
+
+    whole: all other words have their own probabilities, and tail_p is that of one never seen; else tail_p is each other
+    one's. goes_on: contexts hold other words too. others: there are other words in training texts.
+    """
 
     numbers: Numbers
     count: np.ndarray
@@ -136,48 +152,103 @@ class Root:
     tail_p: float
     below: float
     tokens: int
+    whole: bool = False
+    goes_on: bool = False
+    others: bool = False
 
     def of(self, s: np.ndarray) -> np.ndarray:
         return np.where(s < len(self.p), self.p[np.minimum(s, len(self.p) - 1)], self.tail_p)
 
 
-def root(words: DataFrame, head: int) -> tuple[Root, int, dict[int, int], int]:
-    """The root, the least class of training counts in the head, counts of all texts by head number, and the sum of these counts.
+def part_size(tokens: int, part: int = PART, least_part: int = LEAST_PART) -> int:
+    return max(min(part, tokens // LEAST_PARTS), least_part, -(-tokens // MOST_PARTS))
+
 
-    Which words are the head is decided by training texts alone; counts of all texts only size the parts of the tree.
+def root(words: DataFrame, head: int, whole: bool = False, least_count: int = LEAST_COUNT, part: int = PART, least_part: int = LEAST_PART) -> tuple[Root, int, dict[int, int], int]:
+    """The root, the least class of training counts at hand, counts of all texts by number at hand, and the sum of these counts.
+
+    Which words are the head is decided by training texts alone; counts of all texts only size the parts of the tree. With
+    whole, the words of more tokens than a part are at hand too: MOST_PARTS at most.
     """
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("v"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     least = _most_frequent(words, head)
-    top = words.where(((F.col("n") > 0) & (_grade(F.col("n")) >= least)) | (F.octet_length("word") == 0)).toPandas()  # head rows at most, and the end
+    at_hand = ((F.col("n") > 0) & (_grade(F.col("n")) >= least)) | (F.octet_length("word") == 0)
+    most = 0
+    if whole:
+        at_hand |= F.col("m") > part_size(sums["m"], part, least_part)
+        most = words.where(~at_hand).agg(F.max("n")).first()[0] or 0
+    top = words.where(at_hand).toPandas()  # head rows at most, the end, and the words of more tokens than a part
     top["word"] = top["word"].map(bytes)
     top = top.sort_values(["n", "word"], ascending=[False, True])
     end = top["word"] == END
     top = top[~end], top[end]
     count = np.concatenate([[top[1]["n"].sum()], top[0]["n"]]).astype(np.int64)
     below = sums["n"] + 0.5 * (sums["v"] + 1)
-    rest = sums["v"] - int((count > 0).sum()) + 1  # other known words, and the one never seen
-    tail_p = (sums["n"] - int(count.sum()) + 0.5 * rest) / below / rest
+    # other known words, and the one never seen, that share what is left
+    left, rest = (0, 1) if whole else (sums["n"] - int(count.sum()), sums["v"] - int((count > 0).sum()) + 1)
+    tail_p = (left + 0.5 * rest) / below / rest
     p = np.where(count > 0, (count + 0.5) / below, tail_p)
     every = dict(enumerate(top[0]["m"].tolist(), 1))
-    return Root(Numbers(top[0]["word"].tolist()), count, p, tail_p, below, sums["n"]), least, every, sums["m"]
+    return Root(Numbers(top[0]["word"].tolist()), count, p, tail_p, below, sums["n"], whole, most >= least_count, most > 0), least, every, sums["m"]
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length, byte by byte of each, compressed."""
-    planes = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(1).compress(b"".join(planes))
+def _wide(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Numbers of words, those of words not at hand as hashes; table: these hashes, from number TAIL."""
+    out = words.astype(np.uint64)
+    other = np.flatnonzero((words >= TAIL) & (words != NONE))
+    out[other] = table[words[other] - TAIL]
+    return out
 
 
-def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    n, at, out = len(raw) // sum(sizes), 0, []
-    for k, size in zip(kinds, sizes, strict=True):
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length, byte by byte of each."""
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def _from_planes(raw: np.ndarray, n: int, *kinds) -> list[np.ndarray]:
+    at, out = 0, []
+    for size, k in ((np.dtype(k).itemsize, k) for k in kinds):
         out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).reshape(n))
         at += n * size
     return out
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(_planes(list(columns)))
+
+
+def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+    return _from_planes(raw, len(raw) // sum(np.dtype(k).itemsize for k in kinds), *kinds)
+
+
+def _pack_rows(words: list[np.ndarray], last: np.ndarray, table: np.ndarray) -> bytes:
+    """Columns of words, where TAIL stands for words that are not at hand, and another column; then these words' hashes."""
+    hashes = []
+    if len(table):
+        words = list(words)
+        for k, c in enumerate(words):
+            other = np.flatnonzero((c >= TAIL) & (c != NONE))
+            if len(other):
+                hashes.append(table[c[other] - TAIL])
+                words[k] = c.copy()
+                words[k][other] = TAIL
+    tail = _planes([np.concatenate(hashes)]) if hashes else b""
+    return zstandard.ZstdCompressor(1).compress(len(last).to_bytes(8, "little") + _planes([*words, last]) + tail)
+
+
+def _unpack_rows(payload: bytes, width: int, kind) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Columns of words, each one's hashes, and the other column."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    kinds = [*[np.uint32] * width, kind]
+    rest = 8 + n * sum(np.dtype(k).itemsize for k in kinds)
+    *words, last = _from_planes(raw[8:rest], n, *kinds)
+    (hashes,) = _from_planes(raw[rest:], (len(raw) - rest) // 8, np.uint64)
+    counts = [int(np.count_nonzero(c == TAIL)) for c in words] if len(hashes) else [0] * width
+    return words, np.split(hashes, np.cumsum(counts)[:-1]), last
+
+
 @dataclass
 class Layout:
     """Parts of the tree: `plain` by the last word, then those of hot contexts. By depth, from 1: sorted codes (the shorter context's index and the word before), parts, the first part."""
@@ -209,12 +280,12 @@ class Layout:
             rows, at = rows[hit], x[hit].astype(np.uint64)
         return rows, at.astype(np.int64)
 
-    def keys(self, h: list[np.ndarray], chunk_turn: int) -> np.ndarray:
-        out = (mix(h[0].astype(np.uint64)) % np.uint64(self.plain)).astype(np.int64)
+    def keys(self, h: list[np.ndarray], table: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        out = (mix(_wide(h[0], table)) % np.uint64(self.plain)).astype(np.int64)
         for d in range(1, len(self.codes) + 1):
             rows, at = self.find(h, d)
-            before = h[d][rows] if d < self.depth else np.full(len(rows), NONE)
-            turn = np.where(before == NONE, np.uint64(chunk_turn), mix(before.astype(np.uint64) + np.uint64(d)))
+            before = _wide(h[d][rows], table) if d < self.depth else np.full(len(rows), NONE, np.uint64)
+            turn = np.where(before == NONE, turns[rows], mix(before + np.uint64(d)))
             out[rows] = self.first[d - 1][at] + (turn % self.width[d - 1][at].astype(np.uint64)).astype(np.int64)
         return out
 
@@ -247,8 +318,8 @@ class Layout:
 class _Chunks:
     """Texts as numbers, given out as chunks of consecutive rows."""
 
-    def __init__(self, numbers: Numbers, depth: int):
-        self.numbers, self.depth = numbers, depth
+    def __init__(self, own: Root, depth: int):
+        self.own, self.depth = own, depth
         self.start = self.next = 0
         self.clear()
 
@@ -268,7 +339,7 @@ class _Chunks:
             flat += t.lower().split()
             flat.append(END)
             ends.append(len(flat))
-        ids = np.fromiter(map(self.numbers.__getitem__, flat), np.uint32, len(flat))
+        ids = np.fromiter(map(self.own.numbers.__getitem__, flat), np.uint64, len(flat))
         lengths = np.diff(np.array(ends, np.int64), prepend=0)
         self.ids.append(ids)
         self.lengths.append(lengths)
@@ -284,36 +355,57 @@ class _Chunks:
     def chunk(self) -> int:
         return int(row_numbers(1, self.start)[0])
 
-    def positions(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Words before, last first; token; document with the mark of held-out ones: where the word before is in the head."""
+    def turn(self) -> int:
+        return int(mix(np.array([self.chunk()], np.uint64))[0] >> np.uint64(2))
+
+    def positions(self, others: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Words before, last first; token; document with the mark of held-out ones: where the word before may be a context's.
+
+        The last is the hashes of words that are not at hand, from number TAIL. others: only positions of such words.
+        """
         x, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        other = np.flatnonzero(x >= TAIL)
+        table, inverse = np.unique(x[other], return_inverse=True)
+        x = x.astype(np.uint32)
+        x[other] = (inverse + TAIL).astype(np.uint32)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.flatnonzero((place > 0) & (np.roll(x, 1) < TAIL))
+        least = TAIL if others else 0
+        ends = NONE if self.own.goes_on else TAIL
+        at = np.flatnonzero((place > 0) & (np.roll(x, 1) < ends) & (x >= least))
         h, goes_on = [], np.ones(len(at), bool)
         for d in range(1, self.depth + 1):
             before = x[np.maximum(at - d, 0)]
-            goes_on &= (place[at] >= d) & (before < TAIL)
+            goes_on &= (place[at] >= d) & (before < ends)
             h.append(np.where(goes_on, before, NONE))
         marks = (doc[at] | np.where(np.concatenate(self.held), _HELD, 0)[doc[at]]).astype(np.uint16)
-        return h, x[at], marks
+        return h, x[at], marks, table
+
+    def keys(self, layout: Layout, h: list[np.ndarray], s: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The positions' parts. Words not at hand have few tokens and are dealt by themselves, so that their counts find them."""
+        turns = np.full(len(s), self.turn(), np.uint64)
+        if self.own.whole:
+            other = np.flatnonzero(s >= TAIL)
+            turns[other] = mix(table[s[other] - TAIL])
+        return layout.keys(h, table, turns)
 
 
 def _hot_strings(shared_root, shared_layout, d: int):
     """context, s, n, m: strings after hot contexts of d words, counted in each chunk."""
 
     def run(batches: Batches) -> Batches:
-        chunks = _Chunks(shared_root.value.numbers, d)
+        chunks = _Chunks(shared_root.value, d)
         layout = shared_layout.value
 
         def out() -> pa.RecordBatch:
-            h, s, marks = chunks.positions()
+            h, s, marks, table = chunks.positions()
             chunks.clear()
             rows, at = layout.find(h, d)
             code, inverse = np.unique(at << 32 | s[rows].astype(np.int64), return_inverse=True)
             n = np.bincount(inverse, marks[rows] < _HELD, len(code)).astype(np.int64)
             m = np.bincount(inverse, minlength=len(code)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (code >> 32, code & 0xFFFFFFFF, n, m)], names=["context", "s", "n", "m"])
+            string = _wide((code & 0xFFFFFFFF).astype(np.uint32), table).view(np.int64)  # hashes are below 0
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (code >> 32, string, n, m)], names=["context", "s", "n", "m"])
 
         for b in batches:
             if b.num_rows:
@@ -328,7 +420,7 @@ def _hot_strings(shared_root, shared_layout, d: int):
 
 def plan(frame: DataFrame, own: Root, shared_root, every: dict[int, int], tokens: int, depth: int, part: int, least_part: int) -> tuple[Layout, list[DataFrame]]:
     """The parts, and by depth the strings after hot contexts as tables."""
-    part = max(min(part, tokens // LEAST_PARTS), least_part, -(-tokens // MOST_PARTS))
+    part = part_size(tokens, part, least_part)
     layout = Layout(depth, max(1, -(-tokens // part)), part)
     hot = {s: m for s, m in every.items() if m > part}
     tables: list[DataFrame] = []
@@ -340,7 +432,7 @@ def plan(frame: DataFrame, own: Root, shared_root, every: dict[int, int], tokens
         tables.append(written(counted.groupBy("context", "s").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), f"lm-hot-{d}"))
         hot = {}
         if d < depth:  # a hot string's last words are a hot context: tokens / part rows at most
-            for r in tables[-1].where(F.col("m") > part).collect():
+            for r in tables[-1].where((F.col("m") > part) & (F.col("s") >= 0)).collect():
                 words = [r["s"], *layout.words(d, r["context"])]
                 rows, at = layout.find([np.array([w], np.uint32) for w in words[:d]], d)
                 if len(rows):
@@ -360,12 +452,16 @@ def _hot_rows(shared_layout, d: int):
 
         def out() -> pa.RecordBatch:
             context, s, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("context", "s", "n"))
+            other = np.flatnonzero(s < 0)
+            table = s[other].view(np.uint64)
+            s = np.where(s < 0, 0, s).astype(np.uint32)
+            s[other] = TAIL + np.arange(len(other), dtype=np.uint32)
             keys, payloads = [], []
             for c in np.unique(context).tolist():
                 at = context == c
                 words = layout.words(d, c)
                 h = [np.full(int(at.sum()), words[k] if k < d else NONE, np.uint32) for k in range(layout.depth)]
-                payload = _pack(*h, s[at].astype(np.uint32), n[at])
+                payload = _pack_rows([*h, s[at]], n[at], table)
                 keys += (own := receivers[d, c])
                 payloads += [payload] * len(own)
             return _packed(keys, STRINGS, 0, payloads)
@@ -382,13 +478,66 @@ def _hot_rows(shared_layout, d: int):
     return run
 
 
+def _other_tokens(shared_root, shared_layout):
+    """key, hash: words not at hand among the tokens of each part's positions."""
+
+    def run(batches: Batches) -> Batches:
+        layout = shared_layout.value
+        chunks = _Chunks(shared_root.value, layout.depth)
+
+        def out() -> pa.RecordBatch:
+            h, s, _, table = chunks.positions(others=True)
+            code = np.unique(chunks.keys(layout, h, s, table) << 32 | s.astype(np.int64))
+            chunks.clear()
+            hashes = table[(code & 0xFFFFFFFF) - TAIL].view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(code >> 32, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "hash"])
+
+        for b in batches:
+            if b.num_rows:
+                chunks.add(b)
+            if chunks.full():
+                yield out()
+        if chunks.rows:
+            yield out()
+
+    return run
+
+
+def _count_rows(batches: Batches) -> Batches:
+    """Rows for the parts, of key, hash, n sorted by key."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def out() -> pa.RecordBatch:
+        key, hashes, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "hash", "n"))
+        keys, first = np.unique(key, return_index=True)
+        cuts = [*first.tolist(), len(key)]
+        return _packed(keys.tolist(), COUNTS, 0, [_pack(hashes[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows > _FLUSH:
+            yield out()
+            held, rows = [], 0
+    if rows:
+        yield out()
+
+
+def other_counts(frame: DataFrame, rare: DataFrame, shared_root, shared_layout) -> DataFrame:
+    """Rows for the parts: training counts of words not at hand. Each has at most one row a part, and parts have few tokens."""
+    pairs = frame.select("text", "held_out").mapInArrow(_other_tokens(shared_root, shared_layout), "key int, hash long").distinct()
+    found = pairs.join(rare.select(_hash("word").alias("hash"), F.col("c").alias("n")), "hash")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(_count_rows, ROW)
+
+
 def _packed(keys: list[int], kind: int, chunk: int, payloads: list[bytes]) -> pa.RecordBatch:
     n = len(keys)
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(payloads, pa.binary())], names=["key", "kind", "chunk", "payload"])
 
 
 _DOCUMENT = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()})
-_WORDS = pa.schema({"doc": pa.int32(), "word": pa.binary(), "n": pa.int64()})
+_WORDS = pa.schema({"doc": pa.int32(), "word": pa.binary(), "n": pa.int64(), "alone": pa.int64()})
 
 
 def _ipc(t: pa.RecordBatch) -> bytes:
@@ -403,22 +552,21 @@ def _read_ipc(payload: bytes) -> pa.Table:
 
 
 def _positions(shared_root, shared_layout):
-    """Rows for the parts: packed positions; and for each chunk its documents with what the head gives, then its other words."""
+    """Rows for the parts: packed positions; and for each chunk its documents with what words at hand give, then its other words."""
 
     def run(batches: Batches) -> Batches:
         own, layout = shared_root.value, shared_layout.value
-        chunks = _Chunks(own.numbers, layout.depth)
+        chunks = _Chunks(own, layout.depth)
 
         def out() -> Batches:
-            h, s, marks = chunks.positions()
-            chunk = chunks.chunk()
-            turn = int(mix(np.array([chunk], np.uint64))[0] >> np.uint64(2))
-            key = layout.keys(h, turn)
+            h, s, marks, table = chunks.positions()
+            chunk, turn = chunks.chunk(), chunks.turn()
+            key = chunks.keys(layout, h, s, table)
             order = np.argsort(key.astype(np.uint64) << np.uint64(32) | h[0], kind="stable")
-            key, columns = key[order], [c[order] for c in (*h, s, marks)]
+            key, marks, columns = key[order], marks[order], [c[order] for c in (*h, s)]
             keys, first = np.unique(key, return_index=True)
             cuts = [*first.tolist(), len(key)]
-            yield _packed(keys.tolist(), POSITIONS, chunk, [_pack(*(c[a:b] for c in columns)) for a, b in zip(cuts, cuts[1:], strict=False)])
+            yield _packed(keys.tolist(), POSITIONS, chunk, [_pack_rows([c[a:b] for c in columns], marks[a:b], table) for a, b in zip(cuts, cuts[1:], strict=False)])
             docs = pa.Table.from_batches([x[0] for x in chunks.extra]).combine_chunks().to_batches()[0]
             words = pa.Table.from_batches([x[1] for x in chunks.extra], _WORDS).combine_chunks().to_batches()
             payload = _ipc(docs), _ipc(words[0] if words else pa.RecordBatch.from_pylist([], _WORDS))
@@ -437,13 +585,14 @@ def _positions(shared_root, shared_layout):
             n = np.where(inside, own.count[np.where(inside, ids, 0)], 0)
             known = np.bincount(doc, n > 0, len(lengths)).astype(np.int64)
             base = np.bincount(doc, np.where(inside, np.log10((n + 0.5) / own.below), 0.0), len(lengths))
-            alone = np.append(True, ids[:-1] >= TAIL)
+            alone = np.append(True, ids[:-1] >= TAIL) & (not own.goes_on)
             alone[starts] = True
-            without = np.bincount(doc, np.where(alone, np.log10(own.of(ids)), 0.0), len(lengths))
+            without = np.bincount(doc, np.where(alone & (inside | (not own.whole)), np.log10(own.of(ids)), 0.0), len(lengths))
             rest = np.flatnonzero(~inside)
-            found = Counter(zip((doc[rest] + before).tolist(), map(flat.__getitem__, rest.tolist()), strict=True))
+            others = list(zip((doc[rest] + before).tolist(), map(flat.__getitem__, rest.tolist()), strict=True))
+            found, lone = Counter(others), Counter(compress(others, alone[rest].tolist()))
             values = [b.column("doc_id"), b.column("held_out"), lengths, known, base, without]
-            words = [[d for d, _ in found], [w for _, w in found], list(found.values())]
+            words = [[d for d, _ in found], [w for _, w in found], list(found.values()), [lone[x] for x in found]]
             chunks.extra.append(
                 (
                     pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, np.ndarray) else v for v, k in zip(values, _DOCUMENT.types, strict=True)], schema=_DOCUMENT),
@@ -490,22 +639,38 @@ def probabilities(h: list[np.ndarray], s: np.ndarray, weight, root_p: np.ndarray
 def _score_part(layout: Layout, own: Root, key: int, rows: list[tuple[int, int, bytes]], least_count: int, least_bits: float) -> tuple[list[tuple[int, bytes]], int]:
     """(chunk, packed documents' sums) for a part's rows (kind, chunk, payload), and its retained contexts."""
     hot, depth = layout.hot_depth(key), layout.depth
-    words = [np.uint32] * (depth + 1)
-    columns, chunks = [], []
+    columns, hashes, chunks, counts = [], [], [], []
     for kind, chunk, payload in sorted(rows):
-        *x, last = _unpack(payload, *words, np.uint16 if kind == POSITIONS else np.int64)
+        if kind == COUNTS:
+            counts.append(_unpack(payload, np.uint64, np.int64))
+            continue
+        x, other, last = _unpack_rows(payload, depth + 1, np.uint16 if kind == POSITIONS else np.int64)
+        hashes.append(other)
         if kind == POSITIONS:
             chunks.append((chunk, last & (_HELD - 1)))
             columns.append([*x, np.where(last < _HELD, -1, 0).astype(np.int64)])  # -1: a training position
         else:
             columns.append([*x, last])
     *h, s, count = (np.concatenate(c) for c in zip(*columns, strict=True))
+    by_column = [np.concatenate(c) for c in zip(*hashes, strict=True)]
+    table, number = np.unique(np.concatenate(by_column), return_inverse=True)
+    if len(table):
+        number = (number + TAIL).astype(np.uint32)
+        for x, own_numbers in zip((*h, s), np.split(number, np.cumsum([len(c) for c in by_column])[:-1]), strict=True):
+            x[x == TAIL] = own_numbers
+    root_p = own.of(s)
+    if counts:
+        asked, n = (np.concatenate(c) for c in zip(*counts, strict=True))
+        p = np.full(len(table), own.tail_p)
+        p[np.searchsorted(table, asked)] = (n + 0.5) / own.below
+        other = np.flatnonzero(s >= TAIL)
+        root_p[other] = p[s[other] - TAIL]
     length = sum((x != NONE).astype(np.int8) for x in h)  # of a hot context, in its strings' rows
 
     def weight(d: int) -> np.ndarray:
         return np.where(count < 0, 1.0 if d > hot else 0.0, np.where(length == d, count, 0.0))
 
-    p, retained = probabilities(h, s, weight, own.of(s), least_count, least_bits)
+    p, retained = probabilities(h, s, weight, root_p, least_count, least_bits)
     out, at = [], 0
     for chunk, docs in chunks:  # positions come first
         sums = np.bincount(docs, np.log10(p[at : at + len(docs)]))
@@ -557,26 +722,44 @@ def _other_words(batches: Batches) -> Batches:
     for b in batches:
         for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), strict=True):
             for t in _read_ipc(payload).to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array(chunk + t.column("doc").to_numpy().astype(np.int64)), t.column("word"), t.column("n")], names=["uid", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk + t.column("doc").to_numpy().astype(np.int64)), t.column("word"), t.column("n"), t.column("alone")], names=["uid", "word", "n", "alone"])
 
 
 def score(
-    docs: DataFrame, modulus: int = 5, remainder: int = 1, head: int = HEAD, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_bits: float = LEAST_BITS, part: int = PART, least_part: int = LEAST_PART
+    docs: DataFrame,
+    modulus: int = 5,
+    remainder: int = 1,
+    head: int | None = None,
+    depth: int = DEPTH,
+    least_count: int = LEAST_COUNT,
+    least_bits: float = LEAST_BITS,
+    part: int = PART,
+    least_part: int = LEAST_PART,
+    at_hand: int = AT_HAND,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id: an integer)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id: an integer).
+
+    head: a limited vocabulary, if one is wanted. at_hand: words in each task's memory; it changes no result.
+    """
     spark = docs.sparkSession
-    if not 0 < head <= TAIL - 2:
+    if head is not None and not 0 < head <= TAIL - 2:
         raise ValueError(f"head: 1 to {TAIL - 2} words")
+    if not 0 <= at_hand <= TAIL - MOST_PARTS - 2:
+        raise ValueError(f"at_hand: 0 to {TAIL - MOST_PARTS - 2} words")
     frame = text_frame(docs, held_out(remainder, modulus).alias("held_out")).withColumn("doc_id", F.col("doc_id").cast("long"))
     words = lexicon(frame)
-    own, least, every, tokens = root(words, head)
-    shared_root = spark.sparkContext.broadcast(own)  # head words at most
+    own, least, every, tokens = root(words, at_hand if head is None else head, head is None, least_count, part, least_part)
+    shared_root = spark.sparkContext.broadcast(own)  # at_hand + MOST_PARTS words at most
     layout, tables = plan(frame, own, shared_root, every, tokens, depth, part, least_part)
     shared = spark.sparkContext.broadcast(layout)  # MOST_PARTS contexts of each depth at most
+    # a known word that is not at hand is in few training texts; one of held-out texts alone matches nothing, and the outer join splits it
+    rare = words.where((_grade(F.col("n")) < least) & (F.col("n") > 0)).select("word", F.col("n").alias("c"))
 
     rows = frame.mapInArrow(_positions(shared_root, shared), ROW)
     for d, t in enumerate(tables, 1):
         rows = rows.unionByName(t.where("n > 0").select("context", "s", "n").mapInArrow(_hot_rows(shared, d), ROW))
+    if own.others:
+        rows = rows.unionByName(other_counts(frame, rare, shared_root, shared))
     scored = rows.repartition(layout.parts, "key").mapInArrow(_score(shared_root, shared, least_count, least_bits), ROW)
     scored = written(scored, "lm-scored")
     discard(*tables)
@@ -584,11 +767,11 @@ def score(
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (4 * CHUNK))
     out = scored.where(F.col("kind") <= DOCUMENTS).repartition(tasks, "chunk")
     out = out.mapInArrow(_finish, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    # a known word outside the head is in few training texts; one of held-out texts alone matches nothing, and the outer join splits it
-    rare = words.where((_grade(F.col("n")) < least) & (F.col("n") > 0)).select("word", F.col("n").alias("c"))
-    tail = scored.where(F.col("kind") == DOCUMENTS + 1).select("chunk", "payload").mapInArrow(_other_words, "uid long, word binary, n long").join(rare, "word", "left")
+    tail = scored.where(F.col("kind") == DOCUMENTS + 1).select("chunk", "payload").mapInArrow(_other_words, "uid long, word binary, n long, alone long").join(rare, "word", "left")
+    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(own.below))
     tail = tail.groupBy("uid").agg(
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(own.below))).alias("tail_base"),
+        F.sum(F.col("n") * base).alias("tail_base"),
+        F.sum(F.col("alone") * base).alias("tail_score"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
     )
     return out.join(tail, "uid", "left").select(
@@ -598,5 +781,5 @@ def score(
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(own.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score") if own.whole else F.col("score"),
     )

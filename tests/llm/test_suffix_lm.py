@@ -169,3 +169,38 @@ def test_held_out_texts_change_no_training_score(spark, tiny):
     other = docs.withColumn("text", F.when(out, F.repeat(F.concat(F.lit("zebra quagga "), F.substring("text", 1, 40), F.lit(" ")), 300)).otherwise(F.col("text")))
     a, b = ({r["doc_id"]: r["score"] for r in suffix_lm.score(d, head=500).where("not held_out").collect()} for d in (docs, other))
     assert len(a) > 100 and a == pytest.approx(b, rel=1e-6)  # parts sum in 4-byte floats
+
+
+@pytest.mark.parametrize(("at_hand", "depth", "least_count", "part"), [(200, 3, 12, 1 << 19), (0, 3, 12, 1500), (30, 3, 5, 400), (2000, 2, 1, 1 << 19)])
+def test_words_at_hand_change_no_result(spark, tiny, at_hand, depth, least_count, part):
+    """Words that do not go to every task are in contexts, and have probabilities, like any other."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, kept = brute(rows, depth, least_count, 0.05)
+    frame = suffix_lm.text_frame(docs, suffix_lm.held_out(1).alias("held_out"))
+    own = suffix_lm.root(suffix_lm.lexicon(frame), at_hand, True, least_count, part, 1)[0]
+    assert own.goes_on and any(w.encode() not in own.numbers.head for c in kept for w in c)
+    got = suffix_lm.score(docs, depth=depth, least_count=least_count, part=part, least_part=1, at_hand=at_hand).collect()
+    for r, w in zip(sorted(got, key=lambda r: r["doc_id"]), base(sorted(rows)), strict=True):
+        same(row(r), w)
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-5)
+
+
+def test_words_at_hand_with_hot_contexts_of_every_length(spark):
+    """Also with a word of most held-out texts that training texts do not have, which is at hand for its many tokens."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = [(i, ("zebra q " * 90 if held(i) else "a b a b c " * 40) + f"word{i % 7} a b rare{i % 3} x") for i in range(60)] + [(i, f"x{i} y z") for i in range(60, 90)] + [(90, "a"), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, _ = brute(rows, 3, 12, 0.05)
+    for part in (50, 1000):
+        got = {r["doc_id"]: r["score"] for r in suffix_lm.score(docs, part=part, least_part=1, at_hand=2).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_more_words_than_any_task_holds(spark):
+    """About 400,000 training words without a frequent context: each has the base probability, and so has one never seen."""
+    rows = [(i, " ".join([*(f"w{i * 900 + k}" for k in range(900)), *(f"v{i // 2 * 600 + k}" for k in range(600))])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = suffix_lm.score(docs).collect()
+    assert len(got) == 400 and sum(r["n_tokens"] - r["n_known"] for r in got if r["held_out"]) > 40_000
+    assert all(r["score"] == pytest.approx(r["base_score"], rel=1e-6) for r in got)
