@@ -19,8 +19,10 @@ Method: a probabilistic suffix tree.
    word before, or by where they come from if there is none. The same holds for hot contexts of two words or more.
 5. The ``at_hand`` words most frequent in training texts, and those that hot contexts may hold, go to every task with
    their counts. Of the others, each part gets the counts of those among its tokens by a join with the lexicon, and
-   contexts hold them like any word, unless each has fewer than ``least_count`` training tokens and so no retained
-   context. Which words are at hand changes no result.
+   contexts hold them like any word. Two bit maps of fixed size spare work where they can: a word whose bit is not set
+   has fewer than ``least_count`` training tokens, so no retained context, and ends the context of the tokens after it;
+   or it has at most one, so exactly one if it is a training token. Words that share a bit cost work, and change nothing:
+   neither they nor which words are at hand change a result.
 
 Words are numbers to the tree: the rank of a word at hand, a 63-bit hash of any other one. With ``head``, a model of a
 limited vocabulary is made instead: contexts are of the ``head`` most frequent training words alone, a word outside ends
@@ -40,7 +42,6 @@ import io
 import math
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,8 @@ NONE = np.uint32(0xFFFFFFFF)
 #: Numbers of words that are not at hand start here; hashes have the highest bit.
 TAIL = 1 << 20
 _HASH, _SEED = 1 << 63, 42
+#: 8-byte words of a bit map of hashes, and of its slices.
+BITS, SLICE = 1 << 19, 1 << 13
 _FLUSH = 400_000
 _HELD = 1 << 15
 POSITIONS, STRINGS, COUNTS, DOCUMENTS = 0, 1, 2, 3
@@ -143,7 +146,8 @@ class Root:
     """The words' numbers, and by number of words at hand their counts and the empty context's probabilities.
 
     whole: all other words have their own probabilities, and tail_p is that of one never seen; else tail_p is each other
-    one's. goes_on: contexts hold other words too. others: there are other words in training texts.
+    one's. others: there are other words in training texts. frequent, twice: bit maps of those with least_count training
+    tokens, and with two; all others may be missing.
     """
 
     numbers: Numbers
@@ -153,12 +157,53 @@ class Root:
     below: float
     tokens: int
     whole: bool = False
-    goes_on: bool = False
     others: bool = False
+    frequent: np.ndarray | None = None
+    twice: np.ndarray | None = None
 
     def of(self, s: np.ndarray) -> np.ndarray:
         return np.where(s < len(self.p), self.p[np.minimum(s, len(self.p) - 1)], self.tail_p)
 
+    def in_contexts(self, s: np.ndarray) -> np.ndarray:
+        """Which words contexts hold; others end them."""
+        out = s < TAIL
+        if self.frequent is not None:
+            other = np.flatnonzero(~out)
+            out[other] = _has(self.frequent, s[other])
+        return out
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (bits[(hashes >> np.uint64(6)) & np.uint64(BITS - 1)] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _slices(least_counts: list[int]):
+    def run(batches: Batches) -> Batches:
+        maps: dict[int, np.ndarray] = {}
+        for b in batches:
+            part, at, n = (b.column(c).to_numpy() for c in ("slice", "at", "n"))
+            for s in np.unique(part).tolist():
+                bits = maps.setdefault(s, np.zeros((len(least_counts), SLICE * 64), bool))
+                for k, c in enumerate(least_counts):
+                    bits[k, at[(part == s) & (n >= c)]] = True
+        for s, bits in maps.items():
+            payload = zstandard.ZstdCompressor(1).compress(np.packbits(bits, axis=1, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([payload], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def bit_maps(words: DataFrame, least_counts: list[int]) -> list[np.ndarray]:
+    """For each count, a bit map of the hashes of the words with as many training tokens; its slices are made by tasks."""
+    bit = _hash("word").bitwiseAND(F.lit(BITS * 64 - 1))
+    rows = words.where(F.col("n") >= min(least_counts)).select((bit / (SLICE * 64)).cast("int").alias("slice"), (bit % (SLICE * 64)).cast("int").alias("at"), "n")
+    out = [np.zeros(BITS, np.uint64) for _ in least_counts]
+    for r in rows.repartition("slice").mapInArrow(_slices(least_counts), "slice int, bits binary").collect():  # BITS / SLICE rows
+        bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint64).reshape(len(out), SLICE)
+        for k, b in enumerate(out):
+            b[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = bits[k]
+    return out
+
 
 def part_size(tokens: int, part: int = PART, least_part: int = LEAST_PART) -> int:
     return max(min(part, tokens // LEAST_PARTS), least_part, -(-tokens // MOST_PARTS))
@@ -173,10 +218,12 @@ def root(words: DataFrame, head: int, whole: bool = False, least_count: int = LE
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("v"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     least = _most_frequent(words, head)
     at_hand = ((F.col("n") > 0) & (_grade(F.col("n")) >= least)) | (F.octet_length("word") == 0)
-    most = 0
+    most, maps = 0, [None, None]
     if whole:
         at_hand |= F.col("m") > part_size(sums["m"], part, least_part)
         most = words.where(~at_hand).agg(F.max("n")).first()[0] or 0
+        if most:
+            maps = bit_maps(words.where(~at_hand), [least_count, 2])
     top = words.where(at_hand).toPandas()  # head rows at most, the end, and the words of more tokens than a part
     top["word"] = top["word"].map(bytes)
     top = top.sort_values(["n", "word"], ascending=[False, True])
@@ -189,7 +236,7 @@ def root(words: DataFrame, head: int, whole: bool = False, least_count: int = LE
     tail_p = (left + 0.5 * rest) / below / rest
     p = np.where(count > 0, (count + 0.5) / below, tail_p)
     every = dict(enumerate(top[0]["m"].tolist(), 1))
-    return Root(Numbers(top[0]["word"].tolist()), count, p, tail_p, below, sums["n"], whole, most >= least_count, most > 0), least, every, sums["m"]
+    return Root(Numbers(top[0]["word"].tolist()), count, p, tail_p, below, sums["n"], whole, most > 0, *maps), least, every, sums["m"]
 
 
 def _wide(words: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -361,22 +408,27 @@ class _Chunks:
     def positions(self, others: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Words before, last first; token; document with the mark of held-out ones: where the word before may be a context's.
 
-        The last is the hashes of words that are not at hand, from number TAIL. others: only positions of such words.
+        The last is the hashes of words that are not at hand, from number TAIL. others: only positions of such words whose
+        training count is not known to be one.
         """
         x, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        inside = self.own.in_contexts(x)
         other = np.flatnonzero(x >= TAIL)
         table, inverse = np.unique(x[other], return_inverse=True)
         x = x.astype(np.uint32)
         x[other] = (inverse + TAIL).astype(np.uint32)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        least = TAIL if others else 0
-        ends = NONE if self.own.goes_on else TAIL
-        at = np.flatnonzero((place > 0) & (np.roll(x, 1) < ends) & (x >= least))
+        asked = (place > 0) & np.roll(inside, 1)
+        if others:
+            unknown = x >= TAIL
+            unknown[other] &= _has(self.own.twice, table)[inverse] | np.repeat(np.concatenate(self.held), lengths)[other]
+            asked &= unknown
+        at = np.flatnonzero(asked)
         h, goes_on = [], np.ones(len(at), bool)
         for d in range(1, self.depth + 1):
             before = x[np.maximum(at - d, 0)]
-            goes_on &= (place[at] >= d) & (before < ends)
+            goes_on &= (place[at] >= d) & inside[np.maximum(at - d, 0)]
             h.append(np.where(goes_on, before, NONE))
         marks = (doc[at] | np.where(np.concatenate(self.held), _HELD, 0)[doc[at]]).astype(np.uint16)
         return h, x[at], marks, table
@@ -479,7 +531,7 @@ def _hot_rows(shared_layout, d: int):
 
 
 def _other_tokens(shared_root, shared_layout):
-    """key, hash: words not at hand among the tokens of each part's positions."""
+    """0, key, hash: words not at hand among the tokens of each part's positions, if their training count is not known to be one."""
 
     def run(batches: Batches) -> Batches:
         layout = shared_layout.value
@@ -490,7 +542,7 @@ def _other_tokens(shared_root, shared_layout):
             code = np.unique(chunks.keys(layout, h, s, table) << 32 | s.astype(np.int64))
             chunks.clear()
             hashes = table[(code & 0xFFFFFFFF) - TAIL].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(code >> 32, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "hash"])
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(code), np.int32), pa.int32()), pa.array(code >> 32, pa.int64()), pa.array(hashes, pa.int64())], names=["d", "key", "hash"])
 
         for b in batches:
             if b.num_rows:
@@ -503,32 +555,44 @@ def _other_tokens(shared_root, shared_layout):
     return run
 
 
-def _count_rows(batches: Batches) -> Batches:
-    """Rows for the parts, of key, hash, n sorted by key."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+def _count_rows(shared_layout):
+    """Rows for the parts, of d, key, hash, n sorted by the first two: for part key, or with d for all of a hot context's."""
 
-    def out() -> pa.RecordBatch:
-        key, hashes, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "hash", "n"))
-        keys, first = np.unique(key, return_index=True)
-        cuts = [*first.tolist(), len(key)]
-        return _packed(keys.tolist(), COUNTS, 0, [_pack(hashes[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+    def run(batches: Batches) -> Batches:
+        receivers = shared_layout.value.receivers()
+        held: list[pa.RecordBatch] = []
+        rows = 0
 
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows > _FLUSH:
+        def out() -> pa.RecordBatch:
+            d, key, hashes, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("d", "key", "hash", "n"))
+            first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (key[1:] != key[:-1]))).tolist()
+            keys, payloads = [], []
+            for a, b in zip(first, [*first[1:], len(key)], strict=True):
+                own = receivers[int(d[a]), int(key[a])] if d[a] else [int(key[a])]
+                keys += own
+                payloads += [_pack(hashes[a:b], n[a:b])] * len(own)
+            return _packed(keys, COUNTS, 0, payloads)
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows > _FLUSH:
+                yield out()
+                held, rows = [], 0
+        if rows:
             yield out()
-            held, rows = [], 0
-    if rows:
-        yield out()
 
+    return run
 
-def other_counts(frame: DataFrame, rare: DataFrame, shared_root, shared_layout) -> DataFrame:
-    """Rows for the parts: training counts of words not at hand. Each has at most one row a part, and parts have few tokens."""
-    pairs = frame.select("text", "held_out").mapInArrow(_other_tokens(shared_root, shared_layout), "key int, hash long").distinct()
-    found = pairs.join(rare.select(_hash("word").alias("hash"), F.col("c").alias("n")), "hash")
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(_count_rows, ROW)
+
+def other_counts(frame: DataFrame, tables: list[DataFrame], rare: DataFrame, shared_root, shared_layout) -> DataFrame:
+    """Rows for the parts: training counts of words not at hand among the tokens of positions and among hot contexts' strings."""
+    asked = frame.select("text", "held_out").mapInArrow(_other_tokens(shared_root, shared_layout), "d int, key long, hash long")
+    for d, t in enumerate(tables, 1):
+        asked = asked.unionByName(t.where("n > 0 and s < 0").select(F.lit(d).alias("d"), F.col("context").alias("key"), F.col("s").alias("hash")))
+    found = asked.join(rare.select(_hash("word").alias("hash"), F.col("c").alias("n")), "hash").where("d = 0 or n > 1")  # a string's word has one at least
+    spread = F.when(F.col("d") == 0, F.col("key")).otherwise(F.col("hash"))
+    return found.repartition(spread).sortWithinPartitions("d", "key").mapInArrow(_count_rows(shared_layout), ROW)
 
 
 def _packed(keys: list[int], kind: int, chunk: int, payloads: list[bytes]) -> pa.RecordBatch:
@@ -537,7 +601,7 @@ def _packed(keys: list[int], kind: int, chunk: int, payloads: list[bytes]) -> pa
 
 
 _DOCUMENT = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()})
-_WORDS = pa.schema({"doc": pa.int32(), "word": pa.binary(), "n": pa.int64(), "alone": pa.int64()})
+_WORDS = pa.schema({"doc": pa.int32(), "word": pa.binary(), "n": pa.int64()})
 
 
 def _ipc(t: pa.RecordBatch) -> bytes:
@@ -585,14 +649,13 @@ def _positions(shared_root, shared_layout):
             n = np.where(inside, own.count[np.where(inside, ids, 0)], 0)
             known = np.bincount(doc, n > 0, len(lengths)).astype(np.int64)
             base = np.bincount(doc, np.where(inside, np.log10((n + 0.5) / own.below), 0.0), len(lengths))
-            alone = np.append(True, ids[:-1] >= TAIL) & (not own.goes_on)
+            alone = np.append(True, ~own.in_contexts(ids[:-1]))
             alone[starts] = True
             without = np.bincount(doc, np.where(alone & (inside | (not own.whole)), np.log10(own.of(ids)), 0.0), len(lengths))
-            rest = np.flatnonzero(~inside)
-            others = list(zip((doc[rest] + before).tolist(), map(flat.__getitem__, rest.tolist()), strict=True))
-            found, lone = Counter(others), Counter(compress(others, alone[rest].tolist()))
+            rest = np.flatnonzero(~inside & (alone | (not own.whole)))  # the parts know the counts of all others
+            found = Counter(zip((doc[rest] + before).tolist(), map(flat.__getitem__, rest.tolist()), strict=True))
             values = [b.column("doc_id"), b.column("held_out"), lengths, known, base, without]
-            words = [[d for d, _ in found], [w for _, w in found], list(found.values()), [lone[x] for x in found]]
+            words = [[d for d, _ in found], [w for _, w in found], list(found.values())]
             chunks.extra.append(
                 (
                     pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, np.ndarray) else v for v, k in zip(values, _DOCUMENT.types, strict=True)], schema=_DOCUMENT),
@@ -636,8 +699,8 @@ def probabilities(h: list[np.ndarray], s: np.ndarray, weight, root_p: np.ndarray
     return p, retained
 
 
-def _score_part(layout: Layout, own: Root, key: int, rows: list[tuple[int, int, bytes]], least_count: int, least_bits: float) -> tuple[list[tuple[int, bytes]], int]:
-    """(chunk, packed documents' sums) for a part's rows (kind, chunk, payload), and its retained contexts."""
+def _score_part(layout: Layout, own: Root, key: int, rows: list[tuple[int, int, bytes]], least_count: int, least_bits: float) -> tuple[list[tuple[int, int, bytes]], int]:
+    """(kind, chunk, packed documents' sums, or training counts of their words not at hand) for a part's rows (kind, chunk, payload), and its retained contexts."""
     hot, depth = layout.hot_depth(key), layout.depth
     columns, hashes, chunks, counts = [], [], [], []
     for kind, chunk, payload in sorted(rows):
@@ -658,13 +721,15 @@ def _score_part(layout: Layout, own: Root, key: int, rows: list[tuple[int, int,
         number = (number + TAIL).astype(np.uint32)
         for x, own_numbers in zip((*h, s), np.split(number, np.cumsum([len(c) for c in by_column])[:-1]), strict=True):
             x[x == TAIL] = own_numbers
-    root_p = own.of(s)
+    root_p, other = own.of(s), np.flatnonzero(s >= TAIL)
+    other = other if own.whole else other[:0]
+    number = s[other] - TAIL
+    known = np.zeros(len(table), np.int64)
+    known[number[count[other] != 0]] = 1  # a training token whose count is not given has this one
     if counts:
         asked, n = (np.concatenate(c) for c in zip(*counts, strict=True))
-        p = np.full(len(table), own.tail_p)
-        p[np.searchsorted(table, asked)] = (n + 0.5) / own.below
-        other = np.flatnonzero(s >= TAIL)
-        root_p[other] = p[s[other] - TAIL]
+        known[np.searchsorted(table, asked)] = n
+    root_p[other] = (known[number] + 0.5) / own.below
     length = sum((x != NONE).astype(np.int8) for x in h)  # of a hot context, in its strings' rows
 
     def weight(d: int) -> np.ndarray:
@@ -674,9 +739,12 @@ def _score_part(layout: Layout, own: Root, key: int, rows: list[tuple[int, int,
     out, at = [], 0
     for chunk, docs in chunks:  # positions come first
         sums = np.bincount(docs, np.log10(p[at : at + len(docs)]))
-        at += len(docs)
         some = np.unique(docs)
-        out.append((chunk, _pack(some.astype(np.uint16), sums[some].astype(np.float32))))
+        out.append((POSITIONS, chunk, _pack(some.astype(np.uint16), sums[some].astype(np.float32))))
+        a, b = np.searchsorted(other, [at, at + len(docs)])
+        if a < b:
+            out.append((COUNTS, chunk, _pack(docs[other[a:b] - at].astype(np.uint16), known[number[a:b]])))
+        at += len(docs)
     return out, retained
 
 
@@ -695,34 +763,43 @@ def _score(shared_root, shared_layout, least_count: int, least_bits: float):
         for key in sorted(parts):
             rows = parts.pop(key)
             if any(kind == POSITIONS for kind, _, _ in rows):
-                for chunk, payload in _score_part(shared_layout.value, shared_root.value, key, rows, least_count, least_bits)[0]:
-                    yield _packed([key], POSITIONS, chunk, [payload])
+                for kind, chunk, payload in _score_part(shared_layout.value, shared_root.value, key, rows, least_count, least_bits)[0]:
+                    yield _packed([key], kind, chunk, [payload])
 
     return run
 
 
-def _finish(batches: Batches) -> Batches:
+def _finish(below: float):
     """uid and a document's columns, with the sums of all parts."""
-    chunks: dict[int, list[tuple[int, int, bytes]]] = {}
-    for b in batches:
-        for key, kind, chunk, payload in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "chunk", "payload")), strict=True):
-            chunks.setdefault(chunk, []).append((-kind, key, payload))
-    for chunk in sorted(chunks):
-        (_, _, payload), *parts = sorted(chunks.pop(chunk))
-        docs = _read_ipc(payload)
-        score = docs.column("score").to_numpy().copy()
-        for _, _, p in parts:  # in the order of the parts, so that reruns agree
-            at, sums = _unpack(p, np.uint16, np.float32)
-            score[at] += sums
-        columns = [pa.array(chunk + np.arange(len(score))), *(docs.column(c).combine_chunks() for c in _DOCUMENT.names[:-1]), pa.array(score)]
-        yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["uid", *_DOCUMENT.names])
+
+    def run(batches: Batches) -> Batches:
+        chunks: dict[int, list[tuple[int, int, bytes]]] = {}
+        for b in batches:
+            for key, kind, chunk, payload in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "chunk", "payload")), strict=True):
+                chunks.setdefault(chunk, []).append((-kind, key, payload))
+        for chunk in sorted(chunks):
+            (_, _, payload), *parts = sorted(chunks.pop(chunk))
+            docs = _read_ipc(payload)
+            known, base, score = (docs.column(c).to_numpy().copy() for c in ("n_known", "base", "score"))
+            for kind, _, p in parts:  # in the order of the parts, so that reruns agree
+                if kind == -COUNTS:
+                    at, n = _unpack(p, np.uint16, np.int64)
+                    known += np.bincount(at, n > 0, len(known)).astype(np.int64)
+                    base += np.bincount(at, np.log10((n + 0.5) / below), len(base))
+                else:
+                    at, sums = _unpack(p, np.uint16, np.float32)
+                    score[at] += sums
+            columns = [pa.array(chunk + np.arange(len(score))), *(docs.column(c).combine_chunks() for c in _DOCUMENT.names[:-3]), pa.array(known), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["uid", *_DOCUMENT.names])
+
+    return run
 
 
 def _other_words(batches: Batches) -> Batches:
     for b in batches:
         for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), strict=True):
             for t in _read_ipc(payload).to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array(chunk + t.column("doc").to_numpy().astype(np.int64)), t.column("word"), t.column("n"), t.column("alone")], names=["uid", "word", "n", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk + t.column("doc").to_numpy().astype(np.int64)), t.column("word"), t.column("n")], names=["uid", "word", "n"])
 
 
 def score(
@@ -759,19 +836,17 @@ def score(
     for d, t in enumerate(tables, 1):
         rows = rows.unionByName(t.where("n > 0").select("context", "s", "n").mapInArrow(_hot_rows(shared, d), ROW))
     if own.others:
-        rows = rows.unionByName(other_counts(frame, rare, shared_root, shared))
+        rows = rows.unionByName(other_counts(frame, tables, rare, shared_root, shared))
     scored = rows.repartition(layout.parts, "key").mapInArrow(_score(shared_root, shared, least_count, least_bits), ROW)
     scored = written(scored, "lm-scored")
     discard(*tables)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (4 * CHUNK))
     out = scored.where(F.col("kind") <= DOCUMENTS).repartition(tasks, "chunk")
-    out = out.mapInArrow(_finish, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    tail = scored.where(F.col("kind") == DOCUMENTS + 1).select("chunk", "payload").mapInArrow(_other_words, "uid long, word binary, n long, alone long").join(rare, "word", "left")
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(own.below))
+    out = out.mapInArrow(_finish(own.below), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    tail = scored.where(F.col("kind") == DOCUMENTS + 1).select("chunk", "payload").mapInArrow(_other_words, "uid long, word binary, n long").join(rare, "word", "left")
     tail = tail.groupBy("uid").agg(
-        F.sum(F.col("n") * base).alias("tail_base"),
-        F.sum(F.col("alone") * base).alias("tail_score"),
+        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(own.below))).alias("tail_base"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
     )
     return out.join(tail, "uid", "left").select(
@@ -781,5 +856,5 @@ def score(
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(own.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score") if own.whole else F.col("score"),
+        (F.col("score") + F.coalesce("tail_base", F.lit(0.0))).alias("score") if own.whole else F.col("score"),
     )

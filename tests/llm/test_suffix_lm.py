@@ -179,7 +179,7 @@ def test_words_at_hand_change_no_result(spark, tiny, at_hand, depth, least_count
     want, kept = brute(rows, depth, least_count, 0.05)
     frame = suffix_lm.text_frame(docs, suffix_lm.held_out(1).alias("held_out"))
     own = suffix_lm.root(suffix_lm.lexicon(frame), at_hand, True, least_count, part, 1)[0]
-    assert own.goes_on and any(w.encode() not in own.numbers.head for c in kept for w in c)
+    assert own.others and any(w.encode() not in own.numbers.head for c in kept for w in c)
     got = suffix_lm.score(docs, depth=depth, least_count=least_count, part=part, least_part=1, at_hand=at_hand).collect()
     for r, w in zip(sorted(got, key=lambda r: r["doc_id"]), base(sorted(rows)), strict=True):
         same(row(r), w)
