@@ -204,3 +204,13 @@ def test_more_words_than_any_task_holds(spark):
     got = suffix_lm.score(docs).collect()
     assert len(got) == 400 and sum(r["n_tokens"] - r["n_known"] for r in got if r["held_out"]) > 40_000
     assert all(r["score"] == pytest.approx(r["base_score"], rel=1e-6) for r in got)
+
+
+def test_hot_contexts_know_their_strings_counts(spark):
+    """After a the words are as frequent as anywhere, so a is retained only if their counts are missing."""
+    rows = [(i, " ".join(f"a w{(i * 7 + k) % 100}" for k in range(40))) for i in range(80)]
+    want, kept = brute(rows, 1, 12, 1.5)
+    assert ("a",) not in kept
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_lm.score(docs, depth=1, least_bits=1.5, part=200, least_part=1, at_hand=1).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
