@@ -45,12 +45,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, discard, held_out, mix, row_numbers, text_frame, written
+from .common import SPACE, Batches, discard, held_out, mix, row_numbers, text_frame, written
 
 DEPTH = 3
 #: Most frequent words that go to every task.
@@ -68,30 +69,55 @@ _HASH, _SEED = 1 << 63, 42
 #: 8-byte words of a bit map of hashes, and of its slices.
 BITS, SLICE = 1 << 19, 1 << 13
 _FLUSH = 400_000
+_IN_WORD = bytes(c not in SPACE for c in range(256))
 _HELD = 1 << 15
 POSITIONS, STRINGS, COUNTS, DOCUMENTS = 0, 1, 2, 3
 ROW = "key int, kind int, chunk long, payload binary"
 
 
+def _tokens(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' tokens, A-Z lowered, ends as empty words; the texts' lengths in tokens."""
+    text = text.cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    ends = offsets[1:] - offsets[0]
+    raw = text.buffers()[2].slice(offsets[0], ends[-1]).to_pybytes().lower() if ends[-1] else b""
+    inside = np.frombuffer(raw.translate(_IN_WORD), bool)
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[0] = begins[ends] = True
+    begins[1:-1] |= ~inside[:-1]
+    begins = begins[:-1] & inside
+    to = np.searchsorted(np.flatnonzero(begins), ends)  # words up to each text's end
+    packed = np.frombuffer(raw, np.uint8)[inside]
+    starts = np.append(np.flatnonzero(begins[inside]), len(packed))
+    starts = np.insert(starts, to, starts[to])
+    flat = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(packed)])
+    return flat, np.diff(to, prepend=0) + 1
+
+
 def _count_words(batches: Batches) -> Batches:
-    counts: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
+    """Words are counted by batch, then batches are summed."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    rows = 0
 
     def out() -> pa.RecordBatch:
-        words = [*counts[0], *counts[1]]
-        n = [*counts[0].values(), *[0] * len(counts[1])]
-        m = [*counts[0].values(), *counts[1].values()]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["word", "n", "m"])
+        words = pa.concat_arrays([w for w, _, _ in held]).dictionary_encode()
+        at = words.indices.to_numpy()
+        n, m = (np.bincount(at, np.concatenate(c), len(words.dictionary)).astype(np.int64) for c in list(zip(*held, strict=True))[1:])
+        return pa.RecordBatch.from_arrays([words.dictionary.cast(pa.binary()), pa.array(n), pa.array(m)], names=["word", "n", "m"])
 
     for b in batches:
-        for text, away in zip(b.column("text").to_pylist(), b.column("held_out").to_pylist(), strict=True):
-            own = counts[away]
-            own.update(text.lower().split())
-            own[END] += 1
-            if len(counts[0]) + len(counts[1]) > _FLUSH:
-                yield out()
-                counts[0].clear()
-                counts[1].clear()
-    yield out()
+        if not b.num_rows:
+            continue
+        flat, lengths = _tokens(b.column("text"))
+        words = flat.dictionary_encode()
+        at, away = words.indices.to_numpy(), np.repeat(np.array(b.column("held_out").to_pylist(), bool), lengths)
+        held.append((words.dictionary, np.bincount(at[~away], minlength=len(words.dictionary)), np.bincount(at)))
+        rows += len(words.dictionary)
+        if rows > _FLUSH:
+            yield out()
+            held, rows = [], 0
+    if rows:
+        yield out()
 
 
 def lexicon(frame: DataFrame) -> DataFrame:
@@ -117,21 +143,25 @@ def _most_frequent(words: DataFrame, most: int) -> int:
     return least
 
 
-class Numbers(dict):
-    """Word -> number: 0 the end, then words at hand by rank, then hashes of others; bounded."""
+class Numbers:
+    """Word -> number: 0 the end, then words at hand by rank, then hashes of others."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__()
         self.words = words
-        self.head = {w: i + 1 for i, w in enumerate(words)} | {END: 0}
+        self.ranks = pa.array([END, *words], pa.large_binary())
+
+    @property
+    def head(self) -> dict[bytes, int]:
+        return {w: i + 1 for i, w in enumerate(self.words)} | {END: 0}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        if (s := self.head.get(word)) is None:
-            s = _HASH | xxhash.xxh64_intdigest(word, _SEED)  # as _hash()
-        self[word] = s
-        return s
+    def of(self, flat: pa.Array) -> np.ndarray:
+        """Tokens' numbers. Only distinct words are looked up, and only those not at hand are hashed."""
+        encoded = flat.dictionary_encode()
+        found = pc.index_in(encoded.dictionary, value_set=self.ranks)
+        numbers = found.fill_null(0).to_numpy().astype(np.uint64)
+        other = encoded.dictionary.filter(found.is_null()).to_numpy(zero_copy_only=False)
+        numbers[found.is_null().to_numpy(zero_copy_only=False)] = np.fromiter((_HASH | xxhash.xxh64_intdigest(w, _SEED) for w in other), np.uint64, len(other))  # as _hash()
+        return numbers[encoded.indices.to_numpy()]
 
     def __reduce__(self):
         return Numbers, (self.words,)
@@ -371,30 +401,28 @@ class _Chunks:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: list[np.ndarray] = []
+        self.batches: list[pa.RecordBatch] = []
+        self.flat: list[pa.Array] = []
         self.lengths: list[np.ndarray] = []
-        self.held: list[np.ndarray] = []
-        self.extra: list = []
         self.tokens = self.rows = 0
         self.start = self.next
 
-    def add(self, b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """All tokens, their numbers, and the texts' lengths in tokens."""
-        flat: list[bytes] = []
-        ends = []
-        for t in b.column("text").to_pylist():
-            flat += t.lower().split()
-            flat.append(END)
-            ends.append(len(flat))
-        ids = np.fromiter(map(self.own.numbers.__getitem__, flat), np.uint64, len(flat))
-        lengths = np.diff(np.array(ends, np.int64), prepend=0)
-        self.ids.append(ids)
+    def add(self, b: pa.RecordBatch) -> None:
+        flat, lengths = _tokens(b.column("text"))
+        self.batches.append(b.drop_columns("text"))
+        self.flat.append(flat)
         self.lengths.append(lengths)
-        self.held.append(np.array(b.column("held_out").to_pylist(), bool))
-        self.tokens += len(ids)
+        self.tokens += len(flat)
         self.rows += len(lengths)
         self.next += len(lengths)
-        return flat, ids, lengths
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All tokens, their numbers, and the texts' lengths in tokens."""
+        flat = pa.concat_arrays(self.flat)
+        return flat, self.own.numbers.of(flat), np.concatenate(self.lengths)
+
+    def column(self, name: str) -> pa.Array:
+        return pa.concat_arrays([b.column(name) for b in self.batches])
 
     def full(self) -> bool:
         return self.tokens >= CHUNK or self.rows >= CHUNK_DOCS
@@ -405,13 +433,13 @@ class _Chunks:
     def turn(self) -> int:
         return int(mix(np.array([self.chunk()], np.uint64))[0] >> np.uint64(2))
 
-    def positions(self, others: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def positions(self, x: np.ndarray, lengths: np.ndarray, others: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Words before, last first; token; document with the mark of held-out ones: where the word before may be a context's.
 
-        The last is the hashes of words that are not at hand, from number TAIL. others: only positions of such words whose
-        training count is not known to be one.
+        x, lengths: as numbered() gives them. The last is the hashes of words that are not at hand, from number TAIL. others:
+        only positions of such words whose training count is not known to be one.
         """
-        x, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        held = self.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         inside = self.own.in_contexts(x)
         other = np.flatnonzero(x >= TAIL)
         table, inverse = np.unique(x[other], return_inverse=True)
@@ -422,7 +450,7 @@ class _Chunks:
         asked = (place > 0) & np.roll(inside, 1)
         if others:
             unknown = x >= TAIL
-            unknown[other] &= _has(self.own.twice, table)[inverse] | np.repeat(np.concatenate(self.held), lengths)[other]
+            unknown[other] &= _has(self.own.twice, table)[inverse] | np.repeat(held, lengths)[other]
             asked &= unknown
         at = np.flatnonzero(asked)
         h, goes_on = [], np.ones(len(at), bool)
@@ -430,7 +458,7 @@ class _Chunks:
             before = x[np.maximum(at - d, 0)]
             goes_on &= (place[at] >= d) & inside[np.maximum(at - d, 0)]
             h.append(np.where(goes_on, before, NONE))
-        marks = (doc[at] | np.where(np.concatenate(self.held), _HELD, 0)[doc[at]]).astype(np.uint16)
+        marks = (doc[at] | np.where(held, _HELD, 0)[doc[at]]).astype(np.uint16)
         return h, x[at], marks, table
 
     def keys(self, layout: Layout, h: list[np.ndarray], s: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -450,7 +478,7 @@ def _hot_strings(shared_root, shared_layout, d: int):
         layout = shared_layout.value
 
         def out() -> pa.RecordBatch:
-            h, s, marks, table = chunks.positions()
+            h, s, marks, table = chunks.positions(*chunks.numbered()[1:])
             chunks.clear()
             rows, at = layout.find(h, d)
             code, inverse = np.unique(at << 32 | s[rows].astype(np.int64), return_inverse=True)
@@ -538,7 +566,7 @@ def _other_tokens(shared_root, shared_layout):
         chunks = _Chunks(shared_root.value, layout.depth)
 
         def out() -> pa.RecordBatch:
-            h, s, _, table = chunks.positions(others=True)
+            h, s, _, table = chunks.positions(*chunks.numbered()[1:], others=True)
             code = np.unique(chunks.keys(layout, h, s, table) << 32 | s.astype(np.int64))
             chunks.clear()
             hashes = table[(code & 0xFFFFFFFF) - TAIL].view(np.int64)
@@ -623,26 +651,20 @@ def _positions(shared_root, shared_layout):
         chunks = _Chunks(own, layout.depth)
 
         def out() -> Batches:
-            h, s, marks, table = chunks.positions()
+            flat, ids, lengths = chunks.numbered()
             chunk, turn = chunks.chunk(), chunks.turn()
+            for k, t in enumerate(documents(flat, ids, lengths)):
+                yield _packed([turn % layout.parts], DOCUMENTS + k, chunk, [_ipc(t)])
+            h, s, marks, table = chunks.positions(ids, lengths)
             key = chunks.keys(layout, h, s, table)
             order = np.argsort(key.astype(np.uint64) << np.uint64(32) | h[0], kind="stable")
             key, marks, columns = key[order], marks[order], [c[order] for c in (*h, s)]
             keys, first = np.unique(key, return_index=True)
             cuts = [*first.tolist(), len(key)]
             yield _packed(keys.tolist(), POSITIONS, chunk, [_pack_rows([c[a:b] for c in columns], marks[a:b], table) for a, b in zip(cuts, cuts[1:], strict=False)])
-            docs = pa.Table.from_batches([x[0] for x in chunks.extra]).combine_chunks().to_batches()[0]
-            words = pa.Table.from_batches([x[1] for x in chunks.extra], _WORDS).combine_chunks().to_batches()
-            payload = _ipc(docs), _ipc(words[0] if words else pa.RecordBatch.from_pylist([], _WORDS))
-            for k, p in enumerate(payload):
-                yield _packed([turn % layout.parts], DOCUMENTS + k, chunk, [p])
             chunks.clear()
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            before = chunks.rows
-            flat, ids, lengths = chunks.add(b)
+        def documents(flat: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
             starts = np.cumsum(lengths) - lengths
             doc = np.repeat(np.arange(len(lengths)), lengths)
             inside = ids < len(own.count)
@@ -653,15 +675,17 @@ def _positions(shared_root, shared_layout):
             alone[starts] = True
             without = np.bincount(doc, np.where(alone & (inside | (not own.whole)), np.log10(own.of(ids)), 0.0), len(lengths))
             rest = np.flatnonzero(~inside & (alone | (not own.whole)))  # the parts know the counts of all others
-            found = Counter(zip((doc[rest] + before).tolist(), map(flat.__getitem__, rest.tolist()), strict=True))
-            values = [b.column("doc_id"), b.column("held_out"), lengths, known, base, without]
+            found = Counter(zip(doc[rest].tolist(), flat.take(pa.array(rest)).to_numpy(zero_copy_only=False), strict=True))
+            values = [chunks.column("doc_id"), chunks.column("held_out"), lengths, known, base, without]
             words = [[d for d, _ in found], [w for _, w in found], list(found.values())]
-            chunks.extra.append(
-                (
-                    pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, np.ndarray) else v for v, k in zip(values, _DOCUMENT.types, strict=True)], schema=_DOCUMENT),
-                    pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(words, _WORDS.types, strict=True)], schema=_WORDS),
-                )
+            return (
+                pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, np.ndarray) else v for v, k in zip(values, _DOCUMENT.types, strict=True)], schema=_DOCUMENT),
+                pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(words, _WORDS.types, strict=True)], schema=_WORDS),
             )
+
+        for b in batches:
+            if b.num_rows:
+                chunks.add(b)
             if chunks.full():
                 yield from out()
         if chunks.rows:

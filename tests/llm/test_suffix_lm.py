@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,40 @@ def test_hot_contexts_know_their_strings_counts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in suffix_lm.score(docs, depth=1, least_bits=1.5, part=200, least_part=1, at_hand=1).collect()}
     assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_only_distinct_words_are_looked_up(monkeypatch):
+    """A word that comes again in a chunk costs no second look."""
+    asked = []
+
+    class Spy(suffix_lm.Numbers):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    digest = suffix_lm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(suffix_lm.xxhash, "xxh64_intdigest", lambda w, seed: asked.append(w) or digest(w, seed))
+    own = suffix_lm.Root(Spy([b"a", b"b"]), np.ones(3, np.int64), np.ones(3), 0.1, 10.0, 5)
+    layout = suffix_lm.Layout(1, 1, 10)
+    layout.add(np.array([1], np.uint64), np.array([20]))
+    texts = [f"a x{i % 3} B  x{i % 3}\n".encode() * 50 for i in range(20)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 5], pa.binary()), "held_out": [False] * 5}) for k in range(0, 20, 5)]
+    rows = [r for b in suffix_lm._hot_strings(Shared(own), Shared(layout), 1)(iter(batches)) for r in b.to_pylist()]
+    number = [((1 << 63) | digest(f"x{k}".encode(), 42)) - (1 << 64) for k in range(3)]
+    assert {(r["context"], r["s"]): r["n"] for r in rows} == {(0, number[0]): 350, (0, number[1]): 350, (0, number[2]): 300}
+    assert len(asked) <= 6  # of 4,020 tokens
+
+
+def test_tokens_are_those_of_split():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        texts = [bytes(rng.choice(list(b"aB \t\n\x0b\x0c\r\x00\x1c\xff\x85Z"), rng.integers(0, 9)).tolist()) for _ in range(rng.integers(1, 6))]
+        for column in (pa.array(texts, pa.binary()), pa.array([b"x y", b"", *texts], pa.binary()).slice(2)):
+            flat, lengths = suffix_lm._tokens(column)
+            flat.validate(full=True)
+            want = [[*t.lower().split(), b""] for t in texts]
+            assert flat.to_pylist() == [w for t in want for w in t] and lengths.tolist() == [len(t) for t in want]
