@@ -102,6 +102,12 @@ def test_short_quotes_are_found(spark):
     assert sorted(map(tuple, claims.contained_quotes(quotes, texts).collect())) == [(1, 1), (1, 2), (1, 3), (2, 3)]
 
 
+def test_each_quote_of_a_repeated_id_counts(spark):
+    quotes = spark.createDataFrame([(0, "a quick brown fox jumps over"), (0, "brown"), (0, "nowhere")], "item_id long, quote string")
+    texts = spark.createDataFrame([(1, "See a quick  brown fox jumps over it"), (2, "Brown"), (2, "brown bread")], "doc_id long, body string")
+    assert sorted(map(tuple, claims.contained_quotes(quotes, texts).collect())) == [(1, 0), (1, 0), (2, 0), (2, 0)]
+
+
 def test_explain_paths(spark, edges):
     cited = edges.select(F.col("id").alias("edge_id")).where("edge_id != 'D3|other|supports'")
     a, b, c, d = "D1|gof|supports", "D2a|gof|supports", "D2|gof|contradicts", "D3|other|supports"
