@@ -209,3 +209,40 @@ def test_limits_depend_on_accepted_events(spark):
     assert {r.event_id for r in limits.rate_limit(events, 10).where("accepted").collect()} == {0, 2, 4, 9}
     assert {r.event_id for r in limits.attempt_window(events, 15, 2).where("not accepted").collect()} == {2, 5}
     assert limits.rate_limit(events.limit(0)).collect() == []
+
+
+def test_phenotype_pairs_are_made_last_and_counted_without_being_made(spark):
+    ok = ("disease_phenotype", "B", "supports", "verified", 1)
+    has = {f"d{i}": {"broad"} | ({f"t{i % 3}"} if i % 2 else set()) for i in range(12)} | {"d12": {"t1"}, "d13": set(), "d14": {"lost"}}
+    phen = spark.createDataFrame([(f"{d}{t}", d, t, *ok) for d, ts in has.items() for t in ts] * 2, E)
+    e = mech(spark, [(d, "m", "supports", "verified", "A") for d in ("d0", "d1", "d3")] + [("d2", "m", "contradicts", "verified", "A")])
+    up = spark.createDataFrame([("u", "d5", "d1", "subgroup_of", "A", "supports", "verified", 1)], E)
+    nodes = spark.createDataFrame([(d, "disease", d.upper()) for d in has if d != "d11"] + [("m", "mechanism", "Gain")], "id string, type string, name string")
+    focus = spark.createDataFrame([("d0",), ("d1",), ("d13",), ("d14",)], "id string")
+    none = e.where("false")
+    way = connections.linked(focus, e, none, phen, up, none, nodes)
+    assert sorted((r.focus, r.candidate, r.n_phenotypes) for r in way.collect()) == [("d0", "d1", 1), ("d0", "d3", 1), ("d1", "d0", 1), ("d1", "d3", 1)]
+    rest = connections.by_phenotype(focus, way, e, phen, up, none, nodes)
+    family = {"d0": {"d0"}, "d1": {"d1", "d5"}}
+    gone = {(f, c) for f, cs in family.items() for c in cs} | {("d0", "d1"), ("d0", "d3"), ("d1", "d0"), ("d1", "d3")}
+    want = {(f, c, len(has[f] & has[c])) for f in family for c in has if c != "d11" and has[f] & has[c] and (f, c) not in gone}
+    got = rest.collect()
+    assert {(r.focus, r.candidate, r.n_phenotypes) for r in got} == want and len(got) == len(want)
+    assert {(r.focus, r.candidate): r.n_qualifiers for r in got if r.n_qualifiers} == {("d0", "d2"): 1, ("d1", "d2"): 1}
+    counts = {r.focus: r.n for r in connections.phenotype_counts(focus, way, phen, up, nodes).collect()}
+    assert counts == {f: sum(w[0] == f for w in want) for f in family}
+    assert sorted(r.id for r in connections.lacking(focus, way, 2).collect()) == ["d13", "d14"]
+    shared = connections.shared_phenotypes(focus, phen)
+    assert sorted((r.focus, r.candidate, r.phenotype) for r in shared.collect()) == sorted((f, c, t) for f in ("d0", "d1", "d13", "d14") for c in has for t in has[f] & has[c] if f != c)
+    for df in (shared, rest):  # no pair is shuffled
+        top, _ = df._jdf.queryExecution().executedPlan().toString().split("Generate explode(focuses", 1)
+        assert "Exchange" not in top
+
+
+def test_routes_place_the_edges_of_a_candidate_once(spark, edges, parents):
+    """Two focuses share a candidate with two parents: each has all of its edges, in the same places."""
+    up = spark.createDataFrame([(f"u{p}", "c", p, "subgroup_of", "A", "supports", "verified", 1) for p in ("p1", "p2")], E)
+    groups = spark.createDataFrame([(f"g{d}", "g", d, "group_disease", "A", "supports", "verified", 1) for d in ("c", "p1", "p2")], E)
+    found = spark.createDataFrame([(f, "c", "mechanism", "m", f, True, f"{f}m", "cm") for f in ("f1", "f2")], "focus string, candidate string, kind string, via string, member string, supported boolean, edge_a string, edge_b string")
+    got = sorted(map(tuple, connections.routes(found, up, groups, groups.where("false")).where("part = 'community'").collect()))
+    assert got == [(f, "c", "community", i, e) for f in ("f1", "f2") for i, e in enumerate(["up1", "up2", "gc", "gp1", "gp2"])]
