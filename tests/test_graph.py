@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.functions import text
-from evigraph.operators import claims, connections, governance, links, quality, reports, search
+from evigraph.operators import actions, claims, connections, governance, links, quality, reports, search
 from evigraph.sources import files
 from evigraph.streaming import limits
 
@@ -246,3 +246,29 @@ def test_routes_place_the_edges_of_a_candidate_once(spark, edges, parents):
     found = spark.createDataFrame([(f, "c", "mechanism", "m", f, True, f"{f}m", "cm") for f in ("f1", "f2")], "focus string, candidate string, kind string, via string, member string, supported boolean, edge_a string, edge_b string")
     got = sorted(map(tuple, connections.routes(found, up, groups, groups.where("false")).where("part = 'community'").collect()))
     assert got == [(f, "c", "community", i, e) for f in ("f1", "f2") for i, e in enumerate(["up1", "up2", "gc", "gp1", "gp2"])]
+
+
+def test_pairs_from_lists_against_all_pairs(spark, monkeypatch):
+    """A target's diseases in several lists; pairs are shuffled once, as lists."""
+    monkeypatch.setattr(links, "LIST", 3)
+    link = sorted({(f"d{i * i * 7 % 23}", f"m{i % 5}") for i in range(80)})
+    phen = sorted({(f"d{i}", f"t{i * k % 4}") for i in range(20) for k in (1, 2)})
+    has = lambda rows, d: {t for x, t in rows if x == d}
+    ds = sorted({d for d, _ in link})
+    want = {(a, b): has(link, a) & has(link, b) for a in ds for b in ds if a < b and has(link, a) & has(link, b)}
+    x, y = min(want)
+    known = spark.createDataFrame([("x", y, x, "t", "A", "supports", "verified", 1)], E)
+    frame = spark.createDataFrame(link, "disease string, target string")
+    assert {(r.a, r.b): r.n_shared for r in links.pair_counts(frame).collect()} == {p: len(s) for p, s in want.items()}
+    got = links.weights(frame, spark.createDataFrame(phen, "disease string, target string"))
+    assert {(r.a, r.b): (r.n_phenotypes, r.weight) for r in got.collect()} == {(a, b): (n := len(has(phen, a) & has(phen, b)), 3 * len(s) + n) for (a, b), s in want.items()}
+    near = links.jaccard(frame, known)
+    assert {(r.a, r.b): r.jaccard for r in near.collect()} == {(a, b): len(s) / len(has(link, a) | has(link, b)) for (a, b), s in want.items() if (a, b) != (x, y)}
+    urls = {k: {f"u{(i * 3 + j) % 7}" for j in range(i % 7)} for i, k in enumerate(link)}
+    told = spark.createDataFrame([(*k, u) for k, us in urls.items() for u in us] * 2, "disease string, target string, url string")
+    made = actions.bridge_proposals(frame, known, told)
+    count = lambda a, b: min(4, len(set().union(*[urls[d, t] for t in want[a, b] for d in (a, b)])))
+    assert {(r.src, r.dst): (r.note, len(r.evidence_ids)) for r in made.collect()} == {(a, b): ("Shared: " + ", ".join(sorted(s)), count(a, b)) for (a, b), s in want.items() if (a, b) != (x, y)}
+    for df in (near, got, made):
+        top, _ = df._jdf.queryExecution().executedPlan().toString().split("Generate ", 1)
+        assert "Exchange" not in top
