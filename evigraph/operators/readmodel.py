@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import host, id_url, url_id
-from .links import bridge_flags, centrality, supported
+from .links import centrality, supported
 
 # The names that source types have for readers.
 SOURCES = {
@@ -70,22 +70,25 @@ def edge_view(edges: DataFrame, nodes: DataFrame, memberships: DataFrame, decisi
 
     A decision gives the status; else tier D waits for one. Tier C is inferred, all others are observed.
     """
-    return bridge_flags(_edges(edges, nodes, decisions, []), memberships)
+    return _edges(edges, nodes, memberships, decisions, [])
 
 
-def _edges(edges: DataFrame, nodes: DataFrame, decisions: DataFrame, more: list[Column]) -> DataFrame:
-    ids = nodes.select("id")
-    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+def _edges(edges: DataFrame, nodes: DataFrame, memberships: DataFrame, decisions: DataFrame, more: list[Column]) -> DataFrame:
+    """Each end is looked up once, for the node and for its clusters: bridge, as of links.bridge_flags()."""
+    sets = memberships.groupBy(F.col("node_id").alias("id")).agg(F.collect_set("cluster_id").alias("own"))  # a node's clusters
+    ends = nodes.select("id").distinct().join(sets, "id", "left")
+    known = edges.join(ends.select(F.col("id").alias("src"), F.col("own").alias("_x")), "src").join(ends.select(F.col("id").alias("dst"), F.col("own").alias("_y")), "dst")
+    known = known.withColumn("_bridge", F.coalesce(~F.arrays_overlap("_x", "_y"), F.lit(False))).drop("_x", "_y")
     decided = known.join(decisions.select(F.col("edge_id").alias("id"), "decision"), "id", "left")
     status = F.when(F.col("decision") == "rejected", "rejected").when(F.col("decision") == "approved", "verified").when(F.col("tier") == "D", "pending").otherwise(F.col("status"))
-    return decided.select("id", "src", "dst", F.col("type").alias("relation"), F.when(F.col("tier") == "C", "inferred").otherwise("observed").alias("basis"), "tier", "stance", status.alias("status"), *more)
+    return decided.select("id", "src", "dst", F.col("type").alias("relation"), F.when(F.col("tier") == "C", "inferred").otherwise("observed").alias("basis"), "tier", "stance", status.alias("status"), *more, F.col("_bridge").alias("bridge"))
 
 
 def edge_records(edges: DataFrame, nodes: DataFrame, memberships: DataFrame, decisions: DataFrame) -> DataFrame:
     """edge_view() with confidence, scope (the edge's note), derived_from (an empty array without any) and sample (by the id). edges: also confidence, note, derived_from."""
     derived = F.coalesce("derived_from", F.array().cast("array<string>")).alias("derived_from")
     more = [F.col("confidence"), F.col("note").alias("scope"), derived, F.col("id").startswith("sample_").alias("sample")]
-    return bridge_flags(_edges(edges, nodes, decisions, more), memberships)
+    return _edges(edges, nodes, memberships, decisions, more)
 
 
 def nested_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -70,3 +70,21 @@ def test_whole_records(spark):
         ("e1", "v1", "PubMed", "Title", "https://p", "7", False, "2020-01-02", "s", ["A", "B"], "contradicts"),
         ("sample_2", "v2", "other", "Placeholder: no real source yet", "", None, True, "", None, None, "supports"),
     ]
+
+
+def test_each_end_of_an_edge_is_looked_up_once(spark):
+    """A repeated node repeats no edge; an edge whose ends share no cluster is a bridge, one of an end without clusters is none."""
+    frame = spark.createDataFrame
+    rows = [(f"{s}{d}", s, d, "disease_mechanism", "A", "supports", "verified") for s, d in (("a", "b"), ("a", "c"), ("a", "n"), ("a", "gone"))]
+    edges = frame(rows, "id string, src string, dst string, type string, tier string, stance string, status string")
+    nodes, members = frame([("a",), ("a",), ("b",), ("c",), ("n",)], "id string"), frame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "3"), ("gone", "1")], "node_id string, cluster_id string")
+    view = readmodel.edge_view(edges, nodes, members, frame([], "edge_id string, decision string"))
+    assert sorted((r.id, r.bridge) for r in view.collect()) == [("ab", False), ("ac", True), ("an", False)]
+    lines = view._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    leaf = next(i for i, line in enumerate(lines) if "LogicalRDD" in line and "stance" in line)
+    above, joins = depth(lines[leaf]), 0
+    for line in reversed(lines[:leaf]):
+        if depth(line) < above:
+            above, joins = depth(line), joins + ("Join " in line)
+    assert joins == 3  # the source, the target, the decision
